@@ -20,6 +20,7 @@ class SyncOptions:
     prune: bool = True
     mtime_granularity_ns: int = 1
     dst_base: str = ""
+    dst_rows: bool = True
     hot_rows: int = 1_000_000
 
 
@@ -55,7 +56,8 @@ def delete_order(x: DataFrame) -> DataFrame:
 
 def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions()) -> DataFrame:
     """Action and reason per path. Directories and symlinks are always made again; for regular
-    files the order of tests is filter, skip, hardlink, copy."""
+    files the order of tests is filter, skip, hardlink, copy. Without `dst_rows` only source
+    entries are planned, for sources that come in piece by piece."""
     same = same_mtime(F.col("mtime_ns"), F.col("d_mtime_ns"), opts.mtime_granularity_ns) & (
         F.col("size") == F.col("d_size"))
     dst = d.select("rel_path", F.col("file_type").alias("d_type"), F.col("size").alias("d_size"),
@@ -71,7 +73,7 @@ def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions(
     else:
         src = src.withColumn("first_path", F.lit(None).cast("string"))
 
-    both = src.join(dst, "rel_path", "full_outer")
+    both = src.join(dst, "rel_path", "full_outer" if opts.dst_rows else "left")
     no_src, no_dst = F.col("file_type").isNull(), F.col("d_type").isNull()
     kept = F.col("matched") & ~F.col("pruned")
     regular = F.col("file_type") == "regular"
