@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.globs import FilterChain
 from driftline.functions.paths import ancestors, destination_base, map_path, parent
 from driftline.operators.hardlinks import hardlink_targets
+from driftline.session import cut
 
 WRITES = ("mkdir", "symlink", "hardlink", "copy_new", "copy_changed")
 DELETES = ("delete_file", "delete_dir")
@@ -118,8 +119,9 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 def apply_plan(s: DataFrame, d: DataFrame, plan: DataFrame) -> DataFrame:
     """The destination manifest after the plan has run: untouched entries stay, written ones take
-    the source's row. Removing a directory also removes protected entries below it."""
-    acts = plan.select("rel_path", "action", "reason")
+    the source's row. Removing a directory also removes protected entries below it. The plan is
+    written once and read for each step."""
+    acts = cut(plan.select("rel_path", "action", "reason"))
     stays = d.join(acts, "rel_path").filter(~F.col("action").isin(*WRITES, *DELETES))
     # Ancestors are expanded once per parent directory, not once per file.
     parents = (acts.filter((F.col("reason") == "protected")).select(parent("rel_path").alias("dir"))

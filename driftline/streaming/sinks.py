@@ -24,7 +24,7 @@ def write_batches(stream: DataFrame, path: str, mode="append", transform=None, n
 
 
 def read_batches(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    return spark.read.schema(schema).parquet(f"{path}/rows").select(*schema.names)
 
 
 def read_latest(spark, path: str, schema, keys) -> DataFrame:

@@ -17,10 +17,10 @@ def use_rocksdb(spark) -> None:
 
 
 class _Worker(StatefulProcessor):
-    """Latest state of one worker, finished files, and files without an end for too long.
+    """What one worker does now: its latest event is all the state there is.
 
-    Rows of a micro-batch come in any order: the latest event is found by comparison, and starts
-    and ends meet by path, whichever comes first."""
+    Each Arrow batch is folded in event order on top of the latest event, so memory does not grow
+    with the worker's history. An event older than the latest one never replaces it."""
 
     columns = ("run_id", "worker", "kind", "path", "size", "at_us", "duration_us")
     schema = "run_id string, worker int, kind string, path string, size bigint, at_us bigint, duration_us bigint"
@@ -31,53 +31,41 @@ class _Worker(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.latest = handle.getValueState("latest", "us bigint, seq bigint, type string, path string, size bigint")
-        self.open = handle.getMapState("open", "path string", "us bigint")
-        self.ended = handle.getMapState("ended", "path string", "us bigint, size bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        best, out = self.latest.get(), []
+        cols = ["us", "seq", "type", "path", "size"]
+        last, out = self.latest.get(), []
         for pdf in rows:
-            for us, seq, kind, path, size in zip(pdf["us"], pdf["seq"], pdf["type"], pdf["path"], pdf["size"]):
-                us, seq, size = int(us), int(seq), int(size)
-                if best is None or (us, seq) > tuple(best[:2]):
-                    best = (us, seq, kind, path, size)
-                if kind == "FileStarted":
-                    if self.ended.containsKey((path,)):
-                        end, size = self.ended.getValue((path,))
-                        self.ended.removeKey((path,))
-                        out.append((*key, "finished", path, size, end, end - us))
-                    else:
-                        self.open.updateValue((path,), (us,))
-                        self.handle.registerTimer((us + self.stall_us) // 1000 + 1)
-                elif kind in ("FileCompleted", "FileFailed"):
-                    if self.open.containsKey((path,)):
-                        start = self.open.getValue((path,))[0]
-                        self.open.removeKey((path,))
-                        out.append((*key, "finished", path, size, us, us - start))
-                    else:
-                        self.ended.updateValue((path,), (us, size))
-                        self.handle.registerTimer((us + self.stall_us) // 1000 + 1)
-        self.latest.update(best)
-        us, _, kind, path, size = best
-        state = "in_flight" if kind == "FileStarted" else "idle"
-        out.append((*key, state, path, size, us, None))
-        yield self._frame(out)
+            ev = pdf[cols].sort_values(["us", "seq"])
+            if last is not None:
+                head = pd.DataFrame([last], columns=cols)
+                ev = pd.concat([head, ev]).sort_values(["us", "seq"], kind="stable").reset_index(drop=True)
+            prev = ev.shift(1)
+            done = ev["type"].isin(["FileCompleted", "FileFailed"]) & (prev["type"] == "FileStarted")
+            if last is not None:
+                done &= ~((ev["us"] == last[0]) & (ev["seq"] == last[1]))
+            end = ev[done]
+            out.append(self._frame(key, "finished", end["path"], end["size"], end["us"],
+                                   end["us"] - prev["us"][done].astype("int64")))
+            last = tuple(v.item() if hasattr(v, "item") else v for v in ev.iloc[-1])
+        self.latest.update(last)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        busy = last[2] == "FileStarted"
+        if busy:
+            self.handle.registerTimer((last[0] + self.stall_us) // 1000 + 1)
+        out.append(self._frame(key, "in_flight" if busy else "idle", [last[3]], [last[4]], [last[0]], [None]))
+        yield pd.concat(out, ignore_index=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        out = []
-        for (path,), (us,) in list(self.open.iterator()):
-            if us + self.stall_us < now:
-                self.open.removeKey((path,))
-                out.append((*key, "stalled", path, None, us, self.stall_us))
-        for (path,), (us, _) in list(self.ended.iterator()):
-            if us + self.stall_us < now:
-                self.ended.removeKey((path,))
-        yield self._frame(out)
-
-    def _frame(self, rows):
-        pdf = pd.DataFrame(rows, columns=self.columns)
-        return pdf.astype({"size": "Int64", "at_us": "Int64", "duration_us": "Int64"})
+        us, _, kind, path, _ = self.latest.get()
+        stalled = kind == "FileStarted" and us + self.stall_us < expiredTimerInfo.getExpiryTimeInMs() * 1000
+        yield self._frame(key, "stalled", *(([path], [None], [us], [self.stall_us]) if stalled else ([], [], [], [])))
+
+    def _frame(self, key, kind, path, size, at, took):
+        pdf = pd.DataFrame({"path": list(path), "size": list(size), "at_us": list(at), "duration_us": list(took)})
+        pdf = pdf.assign(run_id=key[0], worker=key[1], kind=kind)[list(self.columns)]
+        return pdf.astype({"path": "object", "size": "Int64", "at_us": "Int64", "duration_us": "Int64", "worker": "int32"})
 
     def close(self):
         pass

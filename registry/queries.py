@@ -57,7 +57,7 @@ def src_03_load_manifest(spark, sf):
     m = x.dst(spark, sf).withColumn("top", F.split("rel_path", "/")[0])
     tables.write_table(m, out, partition_by=["top"])
     return tables.load_manifest(spark, out).groupBy("file_type").agg(
-        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("mtime_ns").cast("decimal(38,0)").cast("string").alias("mtimes"))
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("mtime_ns").alias("newest_ns"))
 
 
 @query
