@@ -3,19 +3,19 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import BROADCAST_ROWS, cut
+from driftline.session import BROADCAST_ROWS
 
 
 def lookup_groups(rows: DataFrame, groups: DataFrame, keys, n="n", hot_rows=1_000_000) -> DataFrame:
     """Left join `rows` to `groups` (one row per key with the row count in column `n`).
 
+    `groups` is read twice and should be cheap to make (an aggregate over a written table).
     Groups above `hot_rows` rows are joined by broadcast: there are at most total/hot_rows of
     them, which is checked here. All others are joined by shuffle, where no key then holds more
     than `hot_rows` rows; rows already served get a scattered key so that they do not pile up.
     """
     keys = list(keys)
     values = [c for c in groups.columns if c not in (*keys, n)]
-    groups = cut(groups)
     hot = groups.filter(F.col(n) > hot_rows)
     found = hot.limit(BROADCAST_ROWS + 1).count()
     if found > BROADCAST_ROWS:

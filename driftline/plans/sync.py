@@ -33,13 +33,21 @@ def same_mtime(a: Column, b: Column, granularity_ns=1) -> Column:
     return (a - F.pmod(a, g)) == (b - F.pmod(b, g))
 
 
-def skipped(s: DataFrame, d: DataFrame, granularity_ns=1) -> DataFrame:
-    """Regular source files whose destination has the same path, size and time. The type of the
-    destination entry is not looked at."""
+def _unchanged(s: DataFrame, d: DataFrame, granularity_ns, how) -> DataFrame:
     s, d = s.alias("s"), d.select("rel_path", "size", "mtime_ns").alias("d")
     same = ((F.col("s.rel_path") == F.col("d.rel_path")) & (F.col("s.size") == F.col("d.size"))
             & same_mtime(F.col("s.mtime_ns"), F.col("d.mtime_ns"), granularity_ns))
-    return s.filter(F.col("file_type") == "regular").join(d, same, "left_semi")
+    return s.filter(F.col("file_type") == "regular").join(d, same, how)
+
+
+def skipped(s: DataFrame, d: DataFrame, granularity_ns=1) -> DataFrame:
+    """Regular source files whose destination has the same path, size and time. The type of the
+    destination entry is not looked at."""
+    return _unchanged(s, d, granularity_ns, "left_semi")
+
+
+def not_skipped(s: DataFrame, d: DataFrame, granularity_ns=1) -> DataFrame:
+    return _unchanged(s, d, granularity_ns, "left_anti")
 
 
 def extraneous(s: DataFrame, d: DataFrame, chain=FilterChain()) -> DataFrame:
@@ -67,10 +75,10 @@ def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions(
                    chain.matches().alias("matched"),
                    (chain.under_excluded_dir() if opts.prune else F.lit(False)).alias("pruned"))
     if opts.hardlinks:
-        to_copy = s.filter((F.col("file_type") == "regular") & (F.col("nlink") > 1) & chain.keeps(opts.prune))
-        src = src.join(
-            hardlink_targets(_not_in(to_copy, skipped(to_copy, d, opts.mtime_granularity_ns)), opts.hot_rows),
-            "rel_path", "left")
+        # Only files with several links and still to be copied can become links.
+        several = s.filter((F.col("nlink") > 1) & chain.keeps(opts.prune))
+        links = hardlink_targets(not_skipped(several, d, opts.mtime_granularity_ns), opts.hot_rows)
+        src = src.join(links, "rel_path", "left")
     else:
         src = src.withColumn("first_path", F.lit(None).cast("string"))
 
@@ -108,10 +116,6 @@ def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions(
         .filter("action <> 'ignored'"))
 
 
-def _not_in(rows: DataFrame, other: DataFrame) -> DataFrame:
-    return rows.join(other.select("rel_path"), "rel_path", "left_anti")
-
-
 def plan_summary(plan: DataFrame) -> DataFrame:
     """Entries and bytes per action."""
     return plan.groupBy("action").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

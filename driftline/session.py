@@ -1,6 +1,7 @@
 """Session defaults and the one place where lineage is cut."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,18 @@ def checkpoint_dir(spark) -> str:
     return folder
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read on from there. Used where later
-    steps depend on how rows were laid out, so that a lost executor cannot change the answer."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the shared checkpoint folder and read on from there. Used where
+    later steps depend on how rows were laid out, so that a lost executor cannot change the
+    answer, and where an intermediate result is read more than once."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark) -> int:

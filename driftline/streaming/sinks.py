@@ -1,17 +1,10 @@
 """Idempotent stream sinks: every micro-batch overwrites its own folder, so a retried batch
 leaves no duplicates; readers take the newest row per key where rows are updated."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import checkpoint_dir
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from driftline.session import scratch
 
 
 def write_batches(stream: DataFrame, path: str, mode="append", transform=None, name=None, **trigger):

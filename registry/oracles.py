@@ -94,15 +94,15 @@ _AUTO = "greatest(512, least(131072, CAST(floor(sqrt(octet_length(content))) AS
 # Every window of every source file against the basis blocks, then a greedy walk by recursion.
 _MATCH = f"""
 basis AS (SELECT rel_path, content, octet_length(content) AS n, {_AUTO} AS w FROM dst_files WHERE octet_length(content) > 0),
-bb AS (SELECT rel_path, b AS block_idx, w, least(w, n - b * w) AS len, sha256(content[b * w + 1 : (b + 1) * w]) AS h
+bb AS (SELECT rel_path, b AS block_idx, w, least(w, n - b * w) AS len, content[b * w + 1 : (b + 1) * w] AS bytes
        FROM (SELECT *, unnest(range((n + w - 1) // w)) AS b FROM basis)),
-uniq AS (SELECT rel_path, w, len, h, min(block_idx) AS block_idx FROM bb GROUP BY ALL),
-wins AS (SELECT rel_path, p, len, sha256(content[p + 1 : p + len]) AS h FROM (
-         SELECT s.rel_path, s.content, u.len, CASE WHEN u.len = u.w THEN unnest(range(octet_length(s.content) - u.len + 1))
-                ELSE octet_length(s.content) - u.len END AS p
-         FROM src_files s JOIN (SELECT DISTINCT rel_path, w, len FROM uniq) u USING (rel_path)
-         WHERE octet_length(s.content) >= u.len)),
-hits AS (SELECT DISTINCT wins.rel_path, p, wins.len, block_idx FROM wins JOIN uniq USING (rel_path, len, h)),
+uniq AS (SELECT rel_path, w, len, bytes, hash(bytes) AS h, min(block_idx) AS block_idx FROM bb GROUP BY ALL),
+spans AS (SELECT s.rel_path, u.len, s.content, octet_length(s.content) - u.len AS last, CASE WHEN u.len = u.w THEN 0 ELSE octet_length(s.content) - u.len END AS first
+         FROM src_files s JOIN (SELECT DISTINCT rel_path, w, len FROM uniq) u USING (rel_path) WHERE octet_length(s.content) >= u.len),
+wins AS (SELECT rel_path, len, unnest(range(first, last + 1)) AS p, unnest(list_transform(range(first, last + 1), lambda q: hash(content[q + 1 : q + len]))) AS h FROM spans),
+hits AS (SELECT DISTINCT m.rel_path, p, m.len, block_idx FROM (SELECT wins.rel_path, p, wins.len, block_idx, bytes
+           FROM wins JOIN uniq USING (rel_path, len, h)) m JOIN src_files s USING (rel_path)
+         WHERE s.content[p + 1 : p + m.len] = m.bytes),
 nexts AS (SELECT a.rel_path, a.p, a.len, a.block_idx, b.p AS nx
           FROM hits a ASOF LEFT JOIN hits b ON a.rel_path = b.rel_path AND b.p >= a.p + a.len),
 chain AS (WITH RECURSIVE walk AS (
@@ -329,7 +329,7 @@ ORACLES = {
           ELSE 'DEBUG' END AS level FROM ev)""", """SELECT sink, level, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes
         FROM l JOIN (VALUES ('all', 0), ('info', 1), ('errors', 2)) t(sink, lowest)
         ON CASE level WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 ELSE 2 END >= lowest GROUP BY sink, level"""),
-    "udf_01_match_blocks": _with(f"{_FILES}, {_MATCH}", """SELECT rel_path, seq, CAST(block_idx AS INTEGER) AS block_idx,
+    "udf_01_match_blocks": _with(f"{_FILES}, {_MATCH}", """SELECT rel_path, CAST(seq AS INTEGER) AS seq, CAST(block_idx AS INTEGER) AS block_idx,
         CAST(CASE WHEN block_idx < 0 THEN 0 ELSE block_idx * w END AS BIGINT) AS "offset", CAST(len AS INTEGER) AS length,
         CASE WHEN block_idx < 0 THEN sha256(content[pos + 1 : pos + len]) END AS literal_sha FROM ops JOIN src_files USING (rel_path)"""),
     "udf_02_delta_sync": _with(f"{_FILES}, {_MATCH}", """SELECT rel_path,

@@ -7,6 +7,7 @@ from driftline.functions.globs import filter_chain, glob_col, size_bounds
 from driftline.operators import delta, events, filtering, hardlinks, packing, progress
 from driftline.plans import sync, verify
 from driftline.plans.delta_sync import delta_sync
+from driftline.session import scratch
 from driftline.sources import tables, tree
 from driftline.streaming import events as live
 from driftline.streaming import planning, sinks, stateful
@@ -36,7 +37,7 @@ def _plan(spark, sf, **opts):
 @query
 def src_01_read_tree(spark, sf):
     """Documents written out as a partitioned folder, then listed as a tree (its directories)."""
-    out = sinks.scratch(spark, "tree")
+    out = scratch(spark, "tree")
     x.table(spark, sf, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").parquet(out)
     return tree.read_tree(spark, out.removeprefix("file:")).filter("file_type = 'dir'").select("rel_path", "file_type")
 
@@ -53,7 +54,7 @@ def src_02_children(spark, sf):
 
 @query
 def src_03_load_manifest(spark, sf):
-    out = sinks.scratch(spark, "manifest")
+    out = scratch(spark, "manifest")
     m = x.dst(spark, sf).withColumn("top", F.split("rel_path", "/")[0])
     tables.write_table(m, out, partition_by=["top"])
     return tables.load_manifest(spark, out).groupBy("file_type").agg(
@@ -63,7 +64,7 @@ def src_03_load_manifest(spark, sf):
 @query
 def src_04_read_content(spark, sf):
     """Documents written as text files, read back as bytes; one line break per document."""
-    out = sinks.scratch(spark, "content")
+    out = scratch(spark, "content")
     x.table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(out)
     files = tables.read_content(spark, out).filter(F.col("rel_path").endswith(".txt"))
     return files.groupBy(F.substring_index("rel_path", "/", 1).alias("dir")).agg(
@@ -72,7 +73,7 @@ def src_04_read_content(spark, sf):
 
 @query
 def src_05_read_events(spark, sf):
-    out = sinks.scratch(spark, "log")
+    out = scratch(spark, "log")
     ev = x.transfer_events(spark, sf)
     (ev.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.lit("INFO").alias("level"),
                F.lit("event").alias("msg"), "type", "path", "size", "worker", "error").write.json(out))
@@ -85,7 +86,7 @@ def src_05_read_events(spark, sf):
 @query
 def snk_01_write_table(spark, sf):
     """A table written twice holds the second content only."""
-    out = sinks.scratch(spark, "table")
+    out = scratch(spark, "table")
     tables.write_table(x.src(spark, sf), out)
     tables.write_table(x.dst(spark, sf), out)
     return spark.read.parquet(out).select("rel_path", "file_type", "size", "mtime_ns")
@@ -462,7 +463,7 @@ def set_02_replan(spark, sf):
 @query
 def stm_01_stream_events(spark, sf):
     """Events written as JSON logs and streamed back from the log folder."""
-    out = sinks.scratch(spark, "log")
+    out = scratch(spark, "log")
     (x.transfer_events(spark, sf).select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.lit("event").alias("msg"),
         "type", "path", "size", "worker", "error").write.json(out))
@@ -514,7 +515,7 @@ def stm_06_stream_batches(spark, sf):
 
 @query
 def stm_07_incremental_plan(spark, sf):
-    out = sinks.scratch(spark, "plan")
+    out = scratch(spark, "plan")
     planning.incremental_plan(x.src_stream(spark, sf), x.dst(spark, sf), out, CHAIN).awaitTermination()
     return planning.read_plan(spark, out).select("rel_path", "action", "reason")
 
@@ -526,7 +527,7 @@ def stm_08_live_failures(spark, sf):
 
 @query
 def stm_09_fan_out(spark, sf):
-    base = sinks.scratch(spark, "fan")
+    base = scratch(spark, "fan")
     ev = x.event_stream(spark, sf).withColumn("level", F.when(events.is_type("FileFailed", "VerifyFailed"), "ERROR")
                                               .when(events.is_type("FileCompleted"), "INFO").otherwise("DEBUG"))
     conditions = {"all": None, "info": sinks.at_least("INFO"), "errors": sinks.at_least("ERROR")}
