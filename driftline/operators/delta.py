@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.operators import rolling
 
@@ -57,9 +58,9 @@ def changed_blocks(src_sig: DataFrame, dst_sig: DataFrame) -> DataFrame:
         "rel_path", "block_idx", "offset", "length")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _roll(blocks: pd.Series) -> pd.Series:
-    return blocks.map(rolling.block_hash)
+    return pd.Series(rolling.block_hashes(blocks.tolist()))
 
 
 def match_signatures(basis: DataFrame) -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from driftline.operators.ordered import Scan, ordered_scan
 
-WHEN = F.struct("ts", "seq")
 # Event types that end whatever a worker was doing.
 CLEARS = ("FileCompleted", "FileFailed", "DirCreated", "HardlinkCreated")
 
 
+def moment() -> Column:
+    return F.struct("ts", "seq")
+
+
 def is_type(*names) -> Column:
     return F.col("type").isin(*names)
 
@@ -65,7 +68,7 @@ def error_text() -> Column:
 def error_summary(ev: DataFrame) -> DataFrame:
     """First error of each run and how many more there were."""
     bad = ev.filter(is_type("FileFailed")).groupBy("run_id").agg(
-        F.min_by(F.coalesce("error", F.lit("error")), WHEN).alias("first_error"), (F.count("*") - 1).alias("more"))
+        F.min_by(F.coalesce("error", F.lit("error")), moment()).alias("first_error"), (F.count("*") - 1).alias("more"))
     more = F.concat(F.col("first_error"), F.lit(" (and "), F.col("more").cast("string"), F.lit(" more errors)"))
     return bad.withColumn("message", F.when(F.col("more") > 0, more).otherwise(F.col("first_error")))
 
@@ -86,7 +89,7 @@ def recent_errors(ev: DataFrame, n=5) -> DataFrame:
 
 def file_outcomes(ev: DataFrame) -> DataFrame:
     """Final outcome of every path of a run: done, skipped or failed."""
-    last = F.max_by(F.struct("type", "size", F.when(is_type("FileFailed"), error_text()).alias("error")), WHEN)
+    last = F.max_by(F.struct("type", "size", F.when(is_type("FileFailed"), error_text()).alias("error")), moment())
     outcome = (F.when(F.col("last.type") == "FileCompleted", "done")
                 .when(F.col("last.type") == "FileSkipped", "skipped").otherwise("failed"))
     return (ev.filter(is_type("FileCompleted", "FileSkipped", "FileFailed"))
@@ -101,8 +104,8 @@ def in_flight(ev: DataFrame, at) -> DataFrame:
     state = is_type("FileStarted", *CLEARS)
     progress = is_type("FileProgress")
     last = ev.filter((F.col("ts") <= at) & (state | progress)).groupBy("run_id", "worker").agg(
-        F.max_by(F.struct("type", "path", "size", "ts", "seq"), F.when(state, WHEN)).alias("s"),
-        F.max_by(F.struct("size", "ts", "seq"), F.when(progress, WHEN)).alias("p"))
+        F.max_by(F.struct("type", "path", "size", "ts", "seq"), F.when(state, moment())).alias("s"),
+        F.max_by(F.struct("size", "ts", "seq"), F.when(progress, moment())).alias("p"))
     fresh = F.struct("p.ts", "p.seq") > F.struct("s.ts", "s.seq")
     return (last.filter("s.type = 'FileStarted'")
             .select("run_id", "worker", F.col("s.path").alias("path"), F.col("s.size").alias("size"),

@@ -41,9 +41,20 @@ def window_hashes(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     return (prefix[width:] - prefix[:n - width + 1]) * down[:n - width + 1]
 
 
-def block_hash(block: bytes) -> int:
-    data = np.frombuffer(block, dtype=np.uint8)
-    return int(window_hashes(data, len(data))[0].astype(np.int64)) if len(data) else 0
+def block_hashes(blocks, slab=8 << 20) -> np.ndarray:
+    """Hash of each block, equal to the window hash of the same bytes. Blocks of one length are
+    worked on together, at most `slab` bytes at a time."""
+    lengths = np.fromiter((len(b) for b in blocks), dtype=np.int64, count=len(blocks))
+    out = np.zeros(len(blocks), dtype=np.uint64)
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        step = max(1, slab // n)
+        up = _powers(0, False, _pow2(n))[:n]
+        for lo in range(0, len(at), step):
+            part = at[lo:lo + step]
+            data = np.frombuffer(b"".join(blocks[k] for k in part), dtype=np.uint8).reshape(len(part), n)
+            out[part] = (_tables(0)[data] * up).sum(axis=1, dtype=np.uint64)
+    return out.astype(np.int64)
 
 
 def full_matches(buf: bytes, width: int, rolls: np.ndarray, strongs, limit: int):
