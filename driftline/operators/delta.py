@@ -4,6 +4,7 @@ Files are cut into chunks before any Python runs, so the unit of work is a chunk
 the greedy match of a large file is found chunk by chunk in parallel and then stitched exactly.
 """
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,34 +77,26 @@ def match_signatures(basis: DataFrame) -> DataFrame:
                          F.col("sig.roll").alias("rolls"), F.col("sig.strong").alias("strongs"))
 
 
-_CHUNK = ("rel_path", "chunk_idx", "start", "length", "src_size", "n_chunks", "block_size",
-          "basis_size", "rolls", "strongs", "buf")
+def _source_chunks(src: DataFrame, chunk_bytes: int, reach: int) -> DataFrame:
+    """Chunks of the source files, each with the bytes a window can reach past its end."""
+    size = F.octet_length("content").cast("bigint")
+    return (src.select("rel_path", "content", size.alias("src_size")).filter("src_size > 0")
+            .withColumn("n_chunks", F.ceil(F.col("src_size") / chunk_bytes).cast("int"))
+            .withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+            .withColumn("start", F.col("chunk_idx").cast("bigint") * chunk_bytes)
+            .select("rel_path", "src_size", "n_chunks", "chunk_idx", "start",
+                    F.least(F.lit(chunk_bytes), F.col("src_size") - F.col("start")).cast("int").alias("length"),
+                    F.substring("content", (F.col("start") + 1).cast("int"), F.lit(chunk_bytes + reach - 1)).alias("buf")))
 
 
-def _source_chunks(src: DataFrame, sig: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Chunks of the source files, each with the bytes a window can reach past its end and the
-    file's signature. Rows are spread by (file, chunk), so one huge file feeds many tasks."""
-    size = F.octet_length("content").cast("bigint")
-    sig = sig.withColumn("chunk", F.greatest(F.lit(chunk_bytes), F.col("block_size")))
-    files = (src.select("rel_path", "content", size.alias("src_size")).filter("src_size > 0")
-                .join(sig, "rel_path", "left")
-                .withColumn("block_size", F.coalesce("block_size", F.lit(MIN_BLOCK)))
-                .withColumn("chunk", F.coalesce("chunk", F.lit(max(chunk_bytes, MIN_BLOCK))))
-                .withColumn("n_chunks", F.ceil(F.col("src_size") / F.col("chunk")).cast("int")))
-    return (files.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-            .withColumn("start", F.col("chunk_idx").cast("bigint") * F.col("chunk"))
-            .withColumn("length", F.least(F.col("chunk"), F.col("src_size") - F.col("start")).cast("int"))
-            .withColumn("buf", F.substring("content", (F.col("start") + 1).cast("int"),
-                                           F.col("length") + F.col("block_size") - 1))
-            .select(*_CHUNK)
-            .repartition("rel_path", "chunk_idx"))
-
-
-def _matches_of(row):
+def _matches_of(row, reach):
     """Match positions of one chunk row."""
-    width = int(row.block_size)
     if row.rolls is None or len(row.rolls) == 0:
-        return rolling.chunk_matches(b"", 0, width, rolling.np.empty(0), [], 0, b"", -1, -1) + (width, -1, 0, -1)
+        none = np.empty(0, dtype="int64")
+        return none, none, MIN_BLOCK, -1, 0, -1
+    width = int(row.block_size)
+    if width > reach:
+        raise ValueError(f"block size {width} of {row.rel_path} is above the reach of {reach} bytes")
     n = len(row.rolls)
     basis = int(row.basis_size)
     tail_len = basis % width
@@ -111,72 +104,86 @@ def _matches_of(row):
     full = n - 1 if tail_len else n
     tail_at = int(row.src_size) - tail_len - int(row.start)
     pos, idx = rolling.chunk_matches(
-        row.buf, int(row.length), width, rolling.np.asarray(row.rolls[:full], dtype="int64"),
+        row.buf, int(row.length), width, np.asarray(row.rolls[:full], dtype="int64"),
         list(row.strongs[:full]), tail_len, row.strongs[-1] if tail_len else b"", tail_idx, tail_at)
     return pos, idx, width, tail_idx, tail_len, tail_at
 
 
-def _exit_tables(batches):
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            pos, idx, width, tail_idx, tail_len, tail_at = _matches_of(row)
-            if row.chunk_idx == row.n_chunks - 1:
-                continue
-            starts, to = rolling.exits(pos, width, int(row.length), tail_at, tail_len)
-            out.append((row.rel_path, row.chunk_idx, starts, to))
-        yield pd.DataFrame(out, columns=["rel_path", "chunk_idx", "entries", "exits"])
+def _exit_tables(reach):
+    def tables(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                pos, idx, width, tail_idx, tail_len, tail_at = _matches_of(row, reach)
+                if row.chunk_idx == row.n_chunks - 1:
+                    continue
+                starts, to = rolling.exits(pos, width, int(row.length), tail_at, tail_len)
+                out.append((row.rel_path, row.chunk_idx, starts, to))
+            yield pd.DataFrame(out, columns=["rel_path", "chunk_idx", "starts", "exits"])
+    return tables
 
 
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
     """Follow the exit of each chunk into the next: one look-up per chunk of a file."""
     pdf = pdf.sort_values("chunk_idx")
-    entry, out = 0, []
-    for c, starts, to in zip(pdf.chunk_idx, pdf.entries, pdf.exits):
-        entry = int(to[rolling.np.searchsorted(starts, entry, side="right") - 1])
-        out.append((pdf.rel_path.iloc[0], c + 1, entry))
-    return pd.DataFrame(out, columns=["rel_path", "chunk_idx", "entry"])
+    entries = [0]
+    for starts, to in zip(pdf.starts, pdf.exits):
+        entries.append(int(to[np.searchsorted(starts, entries[-1], side="right") - 1]))
+    return pd.DataFrame([(pdf.rel_path.iloc[0], entries)], columns=["rel_path", "entries"])
 
 
-def _chunk_ops(batches):
+def _chunk_ops(reach):
     cols = ["rel_path", "src_offset", "block_idx", "offset", "length", "literal"]
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            pos, idx, width, tail_idx, tail_len, _ = _matches_of(row)
-            start, length, at = int(row.start), int(row.length), int(row.entry)
-            for p, b, n in rolling.walk(pos, idx, width, tail_idx, tail_len, at, length):
-                if p > at:
-                    out.append((row.rel_path, start + at, -1, 0, p - at, row.buf[at:p]))
-                out.append((row.rel_path, start + p, b, b * width, n, None))
-                at = p + n
-            if at < length:
-                out.append((row.rel_path, start + at, -1, 0, length - at, row.buf[at:length]))
-        yield pd.DataFrame(out, columns=cols)
-
-
-def match_blocks(src: DataFrame, sig: DataFrame, chunk_bytes=4 << 20) -> DataFrame:
+
+    def ops(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                pos, idx, width, tail_idx, tail_len, _ = _matches_of(row, reach)
+                start, length = int(row.start), int(row.length)
+                at = 0 if row.entries is None else int(row.entries[row.chunk_idx])
+                for p, b, n in rolling.walk(pos, idx, width, tail_idx, tail_len, at, length):
+                    if p > at:
+                        out.append((row.rel_path, start + at, -1, 0, p - at, row.buf[at:p]))
+                    out.append((row.rel_path, start + p, b, b * width, n, None))
+                    at = p + n
+                if at < length:
+                    out.append((row.rel_path, start + at, -1, 0, length - at, row.buf[at:length]))
+            yield pd.DataFrame(out, columns=cols)
+    return ops
+
+
+def match_blocks(src: DataFrame, sig: DataFrame, chunk_bytes=4 << 20, reach=MAX_BLOCK) -> DataFrame:
     """Exact greedy delta of every source file against the signature of its basis.
 
     At each position the window is looked up among the basis blocks; a hit becomes a copy op
-    (lowest block) and the walk jumps behind it, otherwise one byte goes to the literal. Literals
-    end at chunk borders, so no op is larger than a chunk. Files without basis are all literal.
-
-    A chunk does not know where the walk enters it, so a first pass gives, per chunk, the exit
-    for every possible entry; chaining these small tables per file yields the true entries, and
-    the second pass emits the ops. Files of one chunk skip the first pass.
+    (lowest block) and the walk jumps behind it, otherwise one byte goes to the literal. Ops are
+    ordered by `src_offset`. Literals end at chunk borders, so no op is larger than a chunk.
+    Files without basis are all literal.
+
+    A chunk does not know where the walk enters it, so a first pass over files of several chunks
+    gives, per chunk, the exit for every possible entry; chaining these small tables per file
+    yields the true entries, which join the signature row. The second pass emits the ops. Each
+    pass moves the source bytes through one shuffle on `rel_path`; the hash join is asked for
+    because it need not sort them, and a small signature table must not pin the work to the
+    tasks that happen to read the source.
     """
-    chunks = _source_chunks(src, sig, chunk_bytes)
-    tables = (chunks.filter("n_chunks > 1")
-              .mapInPandas(_exit_tables, "rel_path string, chunk_idx int, entries array<int>, exits array<int>"))
-    entries = tables.groupBy("rel_path").applyInPandas(_stitch, "rel_path string, chunk_idx int, entry int")
-    placed = (chunks.join(entries, ["rel_path", "chunk_idx"], "left")
-              .withColumn("entry", F.coalesce("entry", F.lit(0))))
-    ops = placed.mapInPandas(
-        _chunk_ops, "rel_path string, src_offset bigint, block_idx int, offset bigint, length int, literal binary")
+    if chunk_bytes < reach:
+        raise ValueError("chunks must not be shorter than the reach of a block")
+    chunks = _source_chunks(src, chunk_bytes, reach)
+    first = chunks.filter("n_chunks > 1").join(sig.hint("shuffle_hash"), "rel_path")
+    entries = (first.mapInPandas(_exit_tables(reach), "rel_path string, chunk_idx int, starts array<int>, exits array<int>")
+               .groupBy("rel_path").applyInPandas(_stitch, "rel_path string, entries array<int>"))
+    guide = sig.join(entries, "rel_path", "left")
+    return chunks.join(guide.hint("shuffle_hash"), "rel_path", "left").mapInPandas(
+        _chunk_ops(reach),
+        "rel_path string, src_offset bigint, block_idx int, offset bigint, length int, literal binary")
+
+
+def numbered(ops: DataFrame) -> DataFrame:
+    """Ops with their number within the file in `seq`."""
     order = W.partitionBy("rel_path").orderBy("src_offset")
-    return ops.select("rel_path", (F.row_number().over(order) - 1).alias("seq"), "src_offset",
-                      "block_idx", "offset", "length", "literal")
+    return ops.withColumn("seq", F.row_number().over(order) - 1)
 
 
 def delta_stats(ops: DataFrame) -> DataFrame:
@@ -189,11 +196,13 @@ def delta_stats(ops: DataFrame) -> DataFrame:
 
 
 def apply_delta(ops: DataFrame, basis: DataFrame) -> DataFrame:
-    """Rebuild files from ops and basis bytes. Copy ops join single basis blocks, so a large
-    basis is spread over tasks; only the finished file is put together per path."""
-    blocks = _blocks(basis).select("rel_path", "block_idx", "bytes")
-    copies = (ops.filter("block_idx >= 0").join(blocks, ["rel_path", "block_idx"])
-                 .select("rel_path", "src_offset", F.substring("bytes", F.lit(1), F.col("length")).alias("piece")))
+    """Rebuild files from ops and basis bytes. Basis and literals move through one shuffle on
+    `rel_path` each; the pieces then lie where their file is put together. The hash join holds
+    the copy ops, which are small, and lets the basis bytes stream by unsorted."""
+    copy_ops = ops.filter("block_idx >= 0").select("rel_path", "src_offset", "offset", "length")
+    copies = basis.join(copy_ops.hint("shuffle_hash"), "rel_path").select(
+        "rel_path", "src_offset",
+        F.substring("content", (F.col("offset") + 1).cast("int"), F.col("length")).alias("piece"))
     literals = ops.filter("block_idx < 0").select("rel_path", "src_offset", F.col("literal").alias("piece"))
-    return (copies.unionByName(literals).groupBy("rel_path")
+    return (copies.unionByName(literals.repartition("rel_path")).groupBy("rel_path")
             .agg(F.expr("listagg(piece, X'') WITHIN GROUP (ORDER BY src_offset)").alias("content")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.session import cut, shuffle_partitions
+from driftline.session import cut
 
 BLOCK = "_block"
 
@@ -27,11 +27,12 @@ class Scan:
 
 
 def range_blocks(df: DataFrame, by, order, parts=None) -> DataFrame:
-    """Range-partition on (by, order) and name each slice in `_block`. The result is cut, so the
+    """Range-partition on (by, order) and name each slice in `_block`. Without `parts` the
+    adaptive engine sizes the slices; merged neighbours keep the order. The result is cut, so the
     slices stay the same when a lost executor's work is redone."""
-    parts = parts or shuffle_partitions(df.sparkSession)
     keys = [F.col(c) for c in (*by, *order)]
-    return cut(df.repartitionByRange(parts, *keys).withColumn(BLOCK, F.spark_partition_id()))
+    sliced = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    return cut(sliced.withColumn(BLOCK, F.spark_partition_id()))
 
 
 def block_scan(df: DataFrame, by, order, scans: dict, block=BLOCK) -> DataFrame:

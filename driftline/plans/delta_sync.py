@@ -3,18 +3,24 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.delta import apply_delta, delta_stats, match_blocks, match_signatures
+from driftline.operators.delta import MAX_BLOCK, apply_delta, delta_stats, match_blocks, match_signatures
 from driftline.plans.verify import file_hashes
+from driftline.session import cut
 
 
-def delta_sync(src: DataFrame, dst: DataFrame, delta_min=64 * 1024, chunk_bytes=4 << 20) -> DataFrame:
-    """Per source file the delta statistics and whether the rebuilt bytes equal the source.
-    Files below `delta_min` or without a basis travel as literals. Every job step is per chunk or
-    per block; push and pull make no difference inside one cluster."""
+def delta_ops(src: DataFrame, dst: DataFrame, delta_min=64 * 1024, chunk_bytes=4 << 20, reach=MAX_BLOCK) -> DataFrame:
+    """Ops for every source file, written once as a table. Files below `delta_min` or without a
+    basis are literals. The threshold is applied to the small signature rows, not to the bytes."""
     large = src.filter(F.octet_length("content") >= delta_min).select("rel_path")
-    basis = dst.join(large, "rel_path", "left_semi").filter(F.octet_length("content") > 0)
-    ops = match_blocks(src, match_signatures(basis), chunk_bytes)
-    rebuilt = file_hashes(apply_delta(ops, basis)).withColumnRenamed("hash", "rebuilt")
+    sig = match_signatures(dst).join(large, "rel_path", "left_semi")
+    return cut(match_blocks(src, sig, chunk_bytes, reach))
+
+
+def delta_sync(src: DataFrame, dst: DataFrame, delta_min=64 * 1024, chunk_bytes=4 << 20, reach=MAX_BLOCK) -> DataFrame:
+    """Per source file the delta statistics and whether the rebuilt bytes equal the source. Push
+    and pull make no difference inside one cluster."""
+    ops = delta_ops(src, dst, delta_min, chunk_bytes, reach)
+    rebuilt = file_hashes(apply_delta(ops, dst)).withColumnRenamed("hash", "rebuilt")
     return (file_hashes(src).join(delta_stats(ops), "rel_path").join(rebuilt, "rel_path")
             .select("rel_path", "matched_blocks", "literal_bytes", "bytes",
                     (F.col("hash") == F.col("rebuilt")).alias("identical")))

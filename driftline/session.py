@@ -52,7 +52,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -17,17 +17,14 @@ LOG_SCHEMA = T.StructType([
 
 
 def load_manifest(spark, path: str) -> DataFrame:
-    """The stored manifest of a tree, empty before the first sync. Schemas only grow: columns a
-    stored manifest lacks are null, and files written at different times are merged."""
+    """The stored manifest of a tree, empty before the first sync. The schema is given, so no
+    footers are read for it, and columns that older files lack come out null."""
     try:
-        m = spark.read.option("mergeSchema", "true").parquet(path)
+        return spark.read.schema(MANIFEST).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
         return spark.createDataFrame([], MANIFEST)
-    have = set(m.columns)
-    cols = [F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in MANIFEST]
-    return m.select(*cols, *[c for c in m.columns if c not in MANIFEST.names])
 
 
 def write_table(df: DataFrame, path: str, partition_by=(), mode="overwrite", fmt="parquet") -> None:
@@ -71,3 +68,11 @@ def read_events(spark, path: str, run_id=None) -> DataFrame:
     """Transfer events of JSON logs. By default each log file is one run."""
     raw = spark.read.schema(LOG_SCHEMA).json(path)
     return events_from_log(raw, F.col("_metadata.file_name") if run_id is None else run_id)
+
+
+def write_bucketed(m: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store a manifest as an external table bucketed and sorted by `rel_path`. Plans over two
+    manifests with equal bucket counts join without a shuffle."""
+    (m.repartition(buckets, "rel_path").write.mode("overwrite").bucketBy(buckets, "rel_path").sortBy("rel_path")
+      .option("path", path).saveAsTable(table))
+    return m.sparkSession.table(table)

@@ -543,7 +543,7 @@ def stm_09_fan_out(spark, sf):
 
 @query
 def udf_01_match_blocks(spark, sf):
-    return _ops(spark, sf).select("rel_path", "seq", "block_idx", "offset", "length",
+    return delta.numbered(_ops(spark, sf)).select("rel_path", "seq", "block_idx", "offset", "length",
                                   F.sha2("literal", 256).alias("literal_sha"))
 
 

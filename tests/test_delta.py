@@ -57,7 +57,7 @@ def pair_tables(spark):
 @pytest.mark.parametrize("chunk_bytes", [4 << 20, 512, 1000, 3000])
 def test_greedy_match_for_any_chunk_size(pair_tables, chunk_bytes):
     src, dst = pair_tables
-    ops = delta.match_blocks(src, delta.match_signatures(dst), chunk_bytes)
+    ops = delta.numbered(delta.match_blocks(src, delta.match_signatures(dst), chunk_bytes, reach=512))
     got = {}
     for r in ops.orderBy("rel_path", "seq").collect():
         mine = got.setdefault(r.rel_path, [])
@@ -87,7 +87,7 @@ def test_signatures(pair_tables):
 
 def test_stats_and_job(pair_tables):
     src, dst = pair_tables
-    out = {r.rel_path: r for r in delta_sync(src, dst, delta_min=100, chunk_bytes=2000).collect()}
+    out = {r.rel_path: r for r in delta_sync(src, dst, delta_min=100, chunk_bytes=2000, reach=512).collect()}
     assert all(r.identical for r in out.values())
     assert out["identical"].literal_bytes == 0 and out["identical"].matched_blocks == 8
     assert out["different"].literal_bytes == 4096 and out["different"].matched_blocks == 0

@@ -8,7 +8,7 @@ from driftline.operators import delta, filtering, progress
 from driftline.plans import sync
 from driftline.plans.verify import verify_trees
 from driftline.schemas import TRANSFER_EVENTS
-from driftline.sources.tables import load_manifest, write_table
+from driftline.sources.tables import load_manifest, write_bucketed, write_table
 from registry import samples
 from registry.queries import QUERIES
 from tests_util import SF
@@ -56,6 +56,19 @@ def test_plan_shuffles_each_side_once(spark, stored):
     assert "xattrs" not in text.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_bucketed_manifests_join_without_a_shuffle(spark, stored, tmp_path):
+    a, b = (write_bucketed(stored, f"bucketed_{n}", str(tmp_path / n), 4) for n in "ab")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sync.sync_plan(a, b, opts=sync.SyncOptions(delete=True, hardlinks=False))
+        assert "Exchange" not in explain(plan).split("\n\n")[0]
+        assert plan.filter("action not in ('skip', 'mkdir')").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_a")
+        spark.sql("DROP TABLE bucketed_b")
+
+
 def test_verify_shuffles_digests_not_bytes(spark, stored):
     c = samples.src_content(spark, SF)
     text = explain(verify_trees(stored, stored, c, c))
