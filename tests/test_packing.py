@@ -33,7 +33,7 @@ def fold(rows, cfg):
 
 CASES = [
     (0, BatchConfig(1000, 300, 5)), (1, BatchConfig(1000, 300, 5)), (60, BatchConfig(500, 600, 7)),
-    (400, BatchConfig(2000, 400, 11)), (1500, BatchConfig(10**6, 10**5, 20)), (1500, BatchConfig(100, 100, 3)), (300, BatchConfig(1, 1, 1)),
+    (400, BatchConfig(2000, 400, 11)), (1500, BatchConfig(10**6, 10**5, 20)), (300, BatchConfig(100, 100, 3)), (300, BatchConfig(1, 1, 1)),
 ]
 
 
