@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.operators.ordered import Scan, ordered_scan
+from driftline.session import cut
 
 
 def chunks(plan: DataFrame, chunk_bytes=256 << 20) -> DataFrame:
@@ -68,31 +69,49 @@ def _block_table(cfg: BatchConfig, block_rows: int, by):
                 leave[i], spill[i], begun[i] = j - m, max(0, end[i] - m), int(starts)
         k = min(m, cfg.max_count)
         row = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame([{**row, "_blk": block, "m": m, "leave": leave[:k], "spill": spill[:k], "begun": begun[:k]}])
+        return pd.DataFrame([{**row, "at": block, "m": m, "leave": leave[:k], "spill": spill[:k], "begun": begun[:k]}])
     return table
 
 
-def _enter_blocks(by):
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, spill, base, out = 0, 0, 0, []
-        for r in pdf.sort_values("_blk").itertuples():
-            out.append((r.blk, entry, spill, base))
-            if entry < r.m:
-                base += r.begun[entry]
-                entry, spill = r.leave[entry], r.spill[entry]
-            else:
-                entry, spill = entry - r.m, max(0, spill - r.m)
-        got = pd.DataFrame(out, columns=["_blk", "_entry", "_spill", "_base"])
+def _follow(rows, entry, spill, base):
+    """Offsets at which a walk enters each of some consecutive blocks, and where it ends up."""
+    entered = []
+    for r in rows:
+        entered.append((r.at, entry, spill, base))
+        if entry < r.m:
+            base += r.begun[entry]
+            entry, spill = r.leave[entry], r.spill[entry]
+    return entered, (entry, spill, base)
+
+
+def _compose(by):
+    """The table of a run of consecutive blocks, by following every offset through them."""
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf.sort_values("at").itertuples())
+        ends = [_follow(rows, e, 0, 0)[1] for e in range(len(rows[0].leave))]
+        leave, spill, begun = (list(c) for c in zip(*ends))
+        row = {c: pdf[c].iloc[0] for c in by}
+        return pd.DataFrame([{**row, "run": pdf["run"].iloc[0], "at": pdf["run"].iloc[0], "m": rows[0].m,
+                              "leave": leave, "spill": spill, "begun": begun}])
+    return compose
+
+
+def _enter(by, inside):
+    """Entry of every run of blocks or, `inside` a run whose own entry is known, of its blocks."""
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = [int(pdf[c].iloc[0]) for c in ("entry", "spilled", "base")] if inside else (0, 0, 0)
+        entered, _ = _follow(pdf.sort_values("at").itertuples(), *start)
+        got = pd.DataFrame(entered, columns=["at", "entry", "spilled", "base"])
         for c in by:
             got[c] = pdf[c].iloc[0]
         return got
-    return follow
+    return enter
 
 
 def _number_batches(cfg: BatchConfig):
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at").reset_index(drop=True)
-        entry, spill, batch = (int(pdf[c].iloc[0]) for c in ("_entry", "_spill", "_base"))
+        entry, spill, batch = (int(pdf[c].iloc[0]) for c in ("entry", "spilled", "base"))
         end, nxt = (a.tolist() for a in _batch_ends(pdf["_ok"].to_numpy(), pdf["size"].to_numpy(), cfg))
         ids = np.full(len(pdf), -1, dtype=np.int64)
         ids[:spill] = batch - 1
@@ -107,13 +126,14 @@ def _number_batches(cfg: BatchConfig):
     return number
 
 
-def pack_batches(plan: DataFrame, cfg=BatchConfig(), by=(), block_rows=1 << 17, parts=None) -> DataFrame:
+def pack_batches(plan: DataFrame, cfg=BatchConfig(), by=(), block_rows=1 << 17, run_blocks=1024, parts=None) -> DataFrame:
     """Greedy small-file batches in path order, exact and in parallel; batch_id is null for files
     that travel alone. `by` starts a separate order per key (for example a destination).
 
     A batch spans at most `max_count` files, so what a block of rows needs to know about the
     blocks before it is one offset below `max_count`. Each block first gives its outcome for
-    every such offset, one short pass chains these rows, then each block numbers its batches.
+    every such offset, runs of blocks are composed to one table each, and the few run tables are
+    chained. Then each run enters its blocks and each block numbers its batches.
     """
     by = list(by)
     block_rows = max(block_rows, cfg.max_count)
@@ -122,20 +142,23 @@ def pack_batches(plan: DataFrame, cfg=BatchConfig(), by=(), block_rows=1 << 17,
     rows = ordered_scan(rows, by, ["rel_path"], {"_at": Scan("sum", F.lit(1), before=True)}, parts)
     rows = rows.withColumn("_blk", F.floor(F.col("_at") / block_rows).cast("bigint"))
     keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name in by)
+    table = keys + "at bigint, m int, leave array<int>, spill array<int>, begun array<bigint>"
+    entry = keys + "at bigint, entry int, spilled int, base bigint"
 
     lead = (F.pmod(F.col("_at"), F.lit(block_rows)) < cfg.max_count) & (F.col("_blk") > 0)
     ahead = rows.withColumn("_blk", F.explode(
         F.when(lead, F.array(F.col("_blk"), F.col("_blk") - 1)).otherwise(F.array("_blk"))))
-    tables = ahead.groupBy(*by, "_blk").applyInPandas(
-        _block_table(cfg, block_rows, by),
-        keys + "_blk bigint, m int, leave array<int>, spill array<int>, begun array<bigint>")
-    tables = tables.withColumn("blk", F.col("_blk"))
-    entries = tables.groupBy(*by).applyInPandas(
-        _enter_blocks(by), "_blk bigint, _entry int, _spill int, _base bigint" + (", " + keys[:-2] if keys else ""))
+    blocks = cut(ahead.groupBy(*by, "_blk").applyInPandas(_block_table(cfg, block_rows, by), table)
+                 .withColumn("run", F.expr(f"at div {run_blocks}")))
+    runs = blocks.groupBy(*by, "run").applyInPandas(_compose(by), table + ", run bigint")
+    run_entries = runs.groupBy(*by).applyInPandas(_enter(by, inside=False), entry).withColumnRenamed("at", "run")
+    entries = (blocks.join(run_entries, [*by, "run"]).groupBy(*by, "run")
+               .applyInPandas(_enter(by, inside=True), entry).withColumnRenamed("at", "_blk"))
+
     numbered = rows.join(entries, [*by, "_blk"]).groupBy(*by, "_blk").applyInPandas(
         _number_batches(cfg),
         keys + "_blk bigint, rel_path string, file_type string, size bigint, _ok boolean, _at bigint, "
-               "_entry int, _spill int, _base bigint, batch_id bigint")
+               "entry int, spilled int, base bigint, batch_id bigint")
     return numbered.select(*by, "rel_path", "file_type", "size",
                            F.when(F.col("batch_id") >= 0, F.col("batch_id")).alias("batch_id"))
 

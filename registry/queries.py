@@ -316,7 +316,7 @@ def agg_12_run_outcome(spark, sf):
 
 @query
 def win_01_pack_batches(spark, sf):
-    return packing.pack_batches(x.src(spark, sf), BATCH, block_rows=256)
+    return packing.pack_batches(x.src(spark, sf), BATCH, block_rows=256, run_blocks=8)
 
 
 @query

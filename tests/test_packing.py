@@ -38,12 +38,12 @@ CASES = [
 
 
 @pytest.mark.parametrize("n,cfg", CASES)
-@pytest.mark.parametrize("block_rows", [1, 37, 5000])
-def test_batches_equal_the_fold(spark, n, cfg, block_rows):
+@pytest.mark.parametrize("block_rows,run_blocks", [(1, 4), (37, 3), (5000, 1024)])
+def test_batches_equal_the_fold(spark, n, cfg, block_rows, run_blocks):
     rows = [(f"{i:06d}", "regular" if rng.random() > 0.03 else rng.choice(["dir", "symlink"]),
              rng.choice([0, 1, 10, 100, rng.randint(0, 400), 1000])) for i in range(n)]
     df = spark.createDataFrame(rows, "rel_path string, file_type string, size bigint").repartition(3)
-    got = [r.batch_id for r in packing.pack_batches(df, cfg, block_rows=block_rows).orderBy("rel_path").collect()]
+    got = [r.batch_id for r in packing.pack_batches(df, cfg, block_rows=block_rows, run_blocks=run_blocks).orderBy("rel_path").collect()]
     assert got == fold(rows, cfg)
 
 
@@ -51,7 +51,7 @@ def test_batches_per_key(spark):
     cfg = BatchConfig(300, 200, 4)
     rows = [(k, f"{i:04d}", "regular", rng.randint(0, 250)) for i in range(200) for k in "ab"]
     df = spark.createDataFrame(rows, "dst string, rel_path string, file_type string, size bigint")
-    out = packing.pack_batches(df, cfg, by=["dst"], block_rows=16).orderBy("rel_path").collect()
+    out = packing.pack_batches(df, cfg, by=["dst"], block_rows=16, run_blocks=2).orderBy("rel_path").collect()
     for k in "ab":
         assert [r.batch_id for r in out if r.dst == k] == fold([r[1:] for r in sorted(rows) if r[0] == k], cfg)
 
