@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.globs import FilterChain
 from driftline.functions.paths import ancestors, destination_base, map_path, parent
 from driftline.operators.hardlinks import hardlink_targets
+from driftline.operators.ordered import Scan, ordered_scan
 from driftline.session import cut
 
 WRITES = ("mkdir", "symlink", "hardlink", "copy_new", "copy_changed")
@@ -63,6 +64,15 @@ def delete_order(x: DataFrame) -> DataFrame:
     return x.orderBy(is_dir, F.when(is_dir, F.col("rel_path")).desc_nulls_first(), "rel_path")
 
 
+def delete_positions(x: DataFrame, parts=None) -> DataFrame:
+    """`delete_order` as a column `position` from 0, for a delete list that is kept as a table.
+    Counted in slices of the path order; directories are counted from the end."""
+    rows = x.withColumn("_dir", (F.col("file_type") == "dir").cast("int"))
+    rows = ordered_scan(rows, ["_dir"], ["rel_path"], {"_at": Scan("sum", F.lit(1), before=True)}, parts)
+    position = F.when(F.col("_dir") == 0, F.col("_at")).otherwise(F.lit(rows.count() - 1) - F.col("_at"))
+    return rows.withColumn("position", position).drop("_dir", "_at")
+
+
 def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions()) -> DataFrame:
     """Action and reason per path. Directories and symlinks are always made again; for regular
     files the order of tests is filter, skip, hardlink, copy. Without `dst_rows` only source

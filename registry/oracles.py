@@ -292,7 +292,10 @@ ORACLES = {
     "win_12_file_durations": _with(f"{_EV}, {_STATE}", """SELECT run_id, worker, seq, path, ppath AS started_path, size, epoch_us(ts) - epoch_us(pts) AS duration_us,
         CASE WHEN ts > pts THEN size / ((epoch_us(ts) - epoch_us(pts)) / 1e6::DOUBLE) END AS bytes_per_s FROM st
         WHERE type <> 'FileStarted' AND ptype = 'FileStarted'"""),
-    "srt_01_delete_order": _with(_TREES, f"""SELECT rel_path, file_type, size FROM dst WHERE {_keep()} AND rel_path NOT IN (SELECT rel_path FROM src)"""),
+    "srt_01_delete_order": _with(_TREES, f"""SELECT rel_path, file_type, row_number() OVER (ORDER BY file_type = 'dir',
+        CASE WHEN file_type = 'dir' THEN rel_path END DESC, rel_path) - 1 AS position FROM dst
+        WHERE {_keep()} AND rel_path NOT IN (SELECT rel_path FROM src)"""),
+    "srt_01_delete_sorted": _with(_TREES, f"""SELECT rel_path, size FROM dst WHERE {_keep()} AND rel_path NOT IN (SELECT rel_path FROM src)"""),
     "srt_02_recent_errors": _with(_EV, """SELECT run_id, epoch_us(ts) AS ts, seq, path, CASE WHEN type = 'VerifyFailed' THEN 'CHECKSUM MISMATCH' ELSE error END AS error
         FROM ev WHERE type IN ('FileFailed', 'VerifyFailed') ORDER BY ev.ts DESC, seq DESC LIMIT 5"""),
     "srt_03_lowest_block": _with(f"""twice AS (SELECT concat('doc_', doc_id) AS rel_path, encode(repeat(substring(rpad(text, 512, '.'), 1, 512), 3)) AS content
@@ -302,6 +305,10 @@ ORACLES = {
     "set_01_merge_sources": _with(_TREES, f"""SELECT CAST(o AS INTEGER) AS source_ord, rel_path, b AS dst_base, concat(b, '/', rel_path) AS dst_path, size
           FROM src, (VALUES (0, '/backup'), (1, '/backup/b')) t(o, b) WHERE {_keep()} AND NOT {_pruned()}
         UNION ALL SELECT 2, rel_path, '/backup/one.txt', '/backup/one.txt', size FROM dst WHERE file_type = 'regular'"""),
+    "set_01_plan_sources": _with(f"{_TREES}, {_plan()}", f"""SELECT CAST(0 AS INTEGER) AS source_ord, concat('/backup/', rel_path) AS dst_path, action,
+        link_target FROM plan UNION ALL SELECT 1, concat('/backup/tree/', s.rel_path), CASE WHEN NOT {_keep('s.')} OR {_pruned('s.')} THEN 'excluded'
+        WHEN file_type = 'dir' THEN 'mkdir' WHEN f.first_path IS NOT NULL THEN 'hardlink' ELSE 'copy_new' END, f.first_path
+        FROM src s LEFT JOIN (SELECT * FROM {_links(f"{_keep('s.')} AND NOT {_pruned('s.')}")} WHERE rel_path <> first_path) f USING (rel_path)"""),
     "set_02_apply_plan": _with(f"{_TREES}, {_plan()}, {_AFTER}", "SELECT * FROM after"),
     "set_02_replan": _with(f"{_TREES}, {_plan()}, {_AFTER}", """SELECT action, count(*) AS n FROM (SELECT CASE WHEN reason IN ('protected', 'rule',
         'under excluded directory') THEN 'excluded' WHEN file_type = 'dir' THEN 'mkdir' ELSE 'skip' END AS action FROM plan p

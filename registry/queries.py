@@ -7,6 +7,7 @@ from driftline.functions.globs import filter_chain, glob_col, size_bounds
 from driftline.operators import delta, events, filtering, hardlinks, packing, progress
 from driftline.plans import sync, verify
 from driftline.plans.delta_sync import delta_sync
+from driftline.plans.multi import Source, plan_sources
 from driftline.session import scratch
 from driftline.sources import tables, tree
 from driftline.streaming import events as live
@@ -414,9 +415,14 @@ def win_12_file_durations(spark, sf):
 
 @query
 def srt_01_delete_order(spark, sf):
-    """The order as a number: position among files, then among directories from the last path."""
-    gone = sync.delete_order(sync.extraneous(x.src(spark, sf), x.dst(spark, sf), CHAIN))
-    return gone.select("rel_path", "file_type", "size")
+    """Files in path order, then directories from the last path, with their position."""
+    gone = sync.delete_positions(sync.extraneous(x.src(spark, sf), x.dst(spark, sf), CHAIN))
+    return gone.select("rel_path", "file_type", "position")
+
+
+@query
+def srt_01_delete_sorted(spark, sf):
+    return sync.delete_order(sync.extraneous(x.src(spark, sf), x.dst(spark, sf), CHAIN)).select("rel_path", "size")
 
 
 @query
@@ -442,6 +448,15 @@ def set_01_merge_sources(spark, sf):
     return got.select("source_ord", "rel_path", "dst_base", "dst_path", "size")
 
 
+@query
+def set_01_plan_sources(spark, sf):
+    """The same tree as contents of the destination and as a folder below it."""
+    s = x.src(spark, sf)
+    plan = plan_sources([Source("/data/tree/", s), Source("/data/tree", s)], x.dst(spark, sf), CHAIN,
+                        sync.SyncOptions(delete=True, dst_base="/backup"))
+    return plan.select("source_ord", "dst_path", "action", "link_target")
+
+
 @query
 def set_02_apply_plan(spark, sf):
     s, d = x.src(spark, sf), x.dst(spark, sf)

@@ -135,3 +135,27 @@ def test_metadata_drift(manifest):
     got = {r.rel_path: r.drift for r in sync.metadata_drift(s, d, MetadataOptions(atime=True, xattrs=True)).collect()}
     assert got == {"b": ["mtime", "atime"], "c": ["uid", "gid"], "y": ["xattrs"]}
     assert set(r.rel_path for r in sync.metadata_drift(s, d).collect()) == {"b", "c"}
+
+
+def test_plan_of_several_sources(manifest):
+    from driftline.plans.multi import Source, plan_sources
+    one = manifest("one.log")
+    d = manifest("x", "gone", "one.log", "b/", "b/x", "b/old", "b/k.log")
+    chain, opts = filter_chain(["- *.log"]), SyncOptions(delete=True, dst_base="/d")
+
+    def run(*sources):
+        return {(r.source_ord, r.dst_path): r.action for r in plan_sources(sources, d, chain, opts).collect()}
+    got = run(Source("/s/b", manifest("x", "y")), Source("/s/one.log", one, False))
+    assert got == {(0, "/d/b/x"): "skip", (0, "/d/b/y"): "copy_new", (0, "/d/b/old"): "delete_file", (0, "/d/b/k.log"): "excluded",
+                   (1, "/d/one.log"): "copy_changed"}
+    # Two sources with one destination: nothing is deleted there.
+    both = run(Source("/s/a/", manifest("x")), Source("/t/c/", manifest("z")))
+    assert both[(0, "/d/gone")] == "keep" and both[(1, "/d/x")] == "keep" and both[(1, "/d/z")] == "copy_new"
+    assert not any(a.startswith("delete") for a in both.values())
+
+
+@pytest.mark.parametrize("parts", [None, 5])
+def test_delete_positions(manifest, parts):
+    x = manifest("b", "a", "d/", "d/e/", "d/e/f", "z/", "c")
+    got = [r.rel_path for r in sync.delete_positions(x, parts).orderBy("position").collect()]
+    assert got == ["a", "b", "c", "d/e/f", "z", "d/e", "d"] == [r.rel_path for r in sync.delete_order(x).collect()]
