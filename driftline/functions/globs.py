@@ -6,6 +6,7 @@ shuffle, also for directory pruning, where a row tests its own ancestors.
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ _POSIX = {
     "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}",
     "lower": r"\p{Lower}", "space": r"\p{Space}", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}",
 }
+_MAGIC = re.compile(r"[*?\[]")
 _MAX_RULES = 10_000
 
 
@@ -59,34 +61,52 @@ def glob_regex(pattern: str) -> str:
     return "".join(out)
 
 
-def glob_col(pattern: str, path: Column = None, is_dir: Column = None) -> Column:
-    """Does a path match an rsync-style glob? A trailing slash restricts it to directories, any
-    other slash anchors it at the root, and without one it may start after any slash."""
-    path = F.col("rel_path") if path is None else path
-    is_dir = (F.col("file_type") == "dir") if is_dir is None else is_dir
+def _parts(pattern: str):
+    """(body, directories only, anchored, literal suffix after a leading star) of a pattern."""
     dir_only = pattern.endswith("/")
     body = pattern[:-1] if dir_only else pattern
     anchored = "/" in body
     body = body[1:] if body.startswith("/") else body
+    rest = body[1:] if body.startswith("*") else ""
+    return body, dir_only, anchored, "" if anchored or _MAGIC.search(rest) else rest
+
+
+def _regex(body: str, anchored: bool, end: str) -> str:
+    regex = ("^" if anchored else "(^|/)") + glob_regex(body)
+    try:
+        re.compile(re.sub(r"\\p\{\w+\}", "a", regex))
+    except re.error as e:
+        raise ValueError(f"bad filter pattern {body!r}: {e}") from None
+    return regex + end
+
 
-    plain = not re.search(r"[*?\[]", body)
-    suffix = body[1:] if body.startswith("*") else None
-    if plain and anchored:
+def glob_col(pattern: str, path: Column = None, is_dir: Column = None) -> Column:
+    """Does a path match an rsync-style glob? A trailing slash restricts it to directories, any
+    other slash anchors it at the root, and without one it may start after any slash."""
+    path = F.col("rel_path") if path is None else path
+    is_dir = (F.col("file_type") == "dir") if is_dir is None else is_dir
+    body, dir_only, anchored, suffix = _parts(pattern)
+    if not _MAGIC.search(body):
         hit = path == body
-    elif plain:
-        hit = (path == body) | path.endswith("/" + body)
-    elif suffix and not anchored and not re.search(r"[*?\[]", suffix):
+        hit = hit if anchored else hit | path.endswith("/" + body)
+    elif suffix:
         hit = path.endswith(suffix)
     else:
-        regex = ("^" if anchored else "(^|/)") + glob_regex(body) + r"\z"
-        try:
-            re.compile(re.sub(r"\\p\{\w+\}", "a", regex).replace(r"\z", r"\Z"))
-        except re.error as e:
-            raise ValueError(f"bad filter pattern {pattern!r}: {e}") from None
-        hit = path.rlike(regex)
+        hit = path.rlike(_regex(body, anchored, r"\z"))
     return (is_dir & hit) if dir_only else hit
 
 
+def glob_above(pattern: str, path: Column = None) -> Column:
+    """Does some directory above a path match the glob? The same tests, ending at a slash inside
+    the path instead of at its end."""
+    path = F.col("rel_path") if path is None else path
+    body, _, anchored, suffix = _parts(pattern)
+    if not _MAGIC.search(body):
+        hit = path.startswith(body + "/")
+        return hit if anchored else hit | path.contains("/" + body + "/")
+    return path.contains(suffix + "/") if suffix else path.rlike(_regex(body, anchored, "/"))
+
+
 def parse_rule(line: str):
     """`+ p` includes, `- p` or a bare pattern excludes; blank lines and `#` give None."""
     line = line.strip()
@@ -140,10 +160,15 @@ class FilterChain:
 
     def under_excluded_dir(self, path=None) -> Column:
         """True where an ancestor directory is excluded, i.e. a walk would not have come here.
-        Row-local, because the verdict on a directory depends on its path alone."""
+        Row-local, because the verdict on a directory depends on its path alone. Without an
+        include before an exclude, one look at the whole path answers for all its ancestors."""
         path = F.col("rel_path") if path is None else path
-        if not any(not include for include, _ in self.rules):
+        includes = [include for include, _ in self.rules]
+        excluded = [pattern for include, pattern in self.rules if not include]
+        if not excluded:
             return F.lit(False)
+        if includes == sorted(includes):
+            return reduce(lambda a, b: a | b, [glob_above(p, path) for p in excluded])
         return F.exists(ancestors(path), lambda a: ~self._rules(a, F.lit(True)))
 
     def keeps(self, prune: bool) -> Column:

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,19 @@ def test_prune_takes_the_subtree(manifest):
     assert paths_of(apply_filter(m, filter_chain(["+ a.txt", "- skip/"]), True)) == ["keep", "keep/a.txt", "x"]
 
 
+def test_both_ways_to_prune_agree(spark):
+    """Exclude-only chains look at the path once; a leading include that never matches forces the
+    ancestor-by-ancestor test."""
+    parts = ["a", "b.tmp", "build", "xbuild", "d1"]
+    paths = ["/".join(p) for n in (1, 2, 3) for p in itertools.product(parts, repeat=n)]
+    df = spark.createDataFrame([(p,) for p in paths], "rel_path string")
+    for rule in ["build/", "build", "/build", "*.tmp", "a/build/", "**/d?", "d[0-9]", "/a/*", "b*", "*", "a/**", "**"]:
+        fast, slow = filter_chain([rule]), filter_chain(["+ /no/such/path", rule])
+        rows = df.select("rel_path", fast.under_excluded_dir().alias("a"), slow.under_excluded_dir().alias("b")).collect()
+        assert all(r.a == r.b for r in rows), rule
+        assert rule in ("*", "**") or 0 < sum(r.a for r in rows) < len(rows)
+
+
 def test_small_filters(manifest):
     m = manifest("a/", "a/.f.txt.0a1b2c3d.part", "a/.f.txt.1.part", "a/f.part", ".x.12345678.part",
                  {"rel_path": "sock", "file_type": "other"})
