@@ -197,12 +197,15 @@ def delta_stats(ops: DataFrame) -> DataFrame:
 
 def apply_delta(ops: DataFrame, basis: DataFrame) -> DataFrame:
     """Rebuild files from ops and basis bytes. Basis and literals move through one shuffle on
-    `rel_path` each; the pieces then lie where their file is put together. The hash join holds
-    the copy ops, which are small, and lets the basis bytes stream by unsorted."""
-    copy_ops = ops.filter("block_idx >= 0").select("rel_path", "src_offset", "offset", "length")
-    copies = basis.join(copy_ops.hint("shuffle_hash"), "rel_path").select(
-        "rel_path", "src_offset",
-        F.substring("content", (F.col("offset") + 1).cast("int"), F.col("length")).alias("piece"))
+    `rel_path` each; the pieces then lie where their file is put together. Copy ops, a few bytes
+    per basis block, are gathered per file so that a basis row is opened once for all of them;
+    the hash join holds them and lets the basis stream by unsorted."""
+    copy_ops = ops.filter("block_idx >= 0").groupBy("rel_path").agg(
+        F.collect_list(F.struct("src_offset", "offset", "length")).alias("copies"))
+    pieces = (basis.join(copy_ops.hint("shuffle_hash"), "rel_path")
+              .select("rel_path", "content", F.explode("copies").alias("op"))
+              .select("rel_path", "op.src_offset",
+                      F.substring("content", (F.col("op.offset") + 1).cast("int"), F.col("op.length")).alias("piece")))
     literals = ops.filter("block_idx < 0").select("rel_path", "src_offset", F.col("literal").alias("piece"))
-    return (copies.unionByName(literals.repartition("rel_path")).groupBy("rel_path")
+    return (pieces.unionByName(literals.repartition("rel_path")).groupBy("rel_path")
             .agg(F.expr("listagg(piece, X'') WITHIN GROUP (ORDER BY src_offset)").alias("content")))

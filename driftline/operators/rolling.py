@@ -5,19 +5,16 @@ hash of every window of a chunk in a few vector operations, whatever the window
 """
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=2)
 def _tables(which: int):
     return np.random.default_rng(which + 1).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=4)
 def _powers(which: int, inverse: bool, n: int):
     base = _BASES[which]
     base = pow(base, -1, 2**64) if inverse else base
@@ -26,16 +23,12 @@ def _powers(which: int, inverse: bool, n: int):
     return np.multiply.accumulate(p)
 
 
-def _pow2(n):
-    return 1 << max(n, 1024).bit_length()
-
-
 def window_hashes(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """Hash of every window of `width` bytes."""
     n = len(data)
     if n < width:
         return np.empty(0, dtype=np.uint64)
-    up, down = (_powers(which, inv, _pow2(n))[:n] for inv in (False, True))
+    up, down = (_powers(which, inverse, n) for inverse in (False, True))
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_tables(which)[data] * up, out=prefix[1:])
     return (prefix[width:] - prefix[:n - width + 1]) * down[:n - width + 1]
@@ -45,47 +38,52 @@ def block_hashes(blocks, slab=8 << 20) -> np.ndarray:
     """Hash of each block, equal to the window hash of the same bytes. Blocks of one length are
     worked on together, at most `slab` bytes at a time."""
     lengths = np.fromiter((len(b) for b in blocks), dtype=np.int64, count=len(blocks))
-    out = np.zeros(len(blocks), dtype=np.uint64)
+    out, table = np.zeros(len(blocks), dtype=np.uint64), _tables(0)
     for n in np.unique(lengths[lengths > 0]).tolist():
         at = np.flatnonzero(lengths == n)
         step = max(1, slab // n)
-        up = _powers(0, False, _pow2(n))[:n]
+        up = _powers(0, False, n)
         for lo in range(0, len(at), step):
             part = at[lo:lo + step]
             data = np.frombuffer(b"".join(blocks[k] for k in part), dtype=np.uint8).reshape(len(part), n)
-            out[part] = (_tables(0)[data] * up).sum(axis=1, dtype=np.uint64)
+            out[part] = (table[data] * up).sum(axis=1, dtype=np.uint64)
     return out.astype(np.int64)
 
 
 def full_matches(buf: bytes, width: int, rolls: np.ndarray, strongs, limit: int):
     """Positions below `limit` whose window equals a basis block, and the lowest such block.
 
-    The window hash only nominates; SHA-256 decides, once per distinct window (told apart by a
-    second window hash, so repetitive data costs one digest and not one per position)."""
+    The window hash only nominates; SHA-256 decides, once per distinct hash for all windows that
+    also agree in a second hash, so repetitive data costs one digest and not one per position."""
     none = np.empty(0, dtype=np.int64)
     data = np.frombuffer(buf, dtype=np.uint8)
     hashes = window_hashes(data, width)[:limit]
     if not len(hashes) or not len(rolls):
         return none, none
-    keys = rolls.astype(np.uint64)
+    keys, by_key = np.unique(rolls.astype(np.uint64), return_inverse=True)
+    blocks_of = [[] for _ in keys]
+    for i, k in enumerate(by_key.reshape(-1).tolist()):
+        blocks_of[k].append(i)
     low = np.zeros(1 << 16, dtype=bool)
     low[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
     pos = np.flatnonzero(low[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-    pos = pos[np.isin(hashes[pos], keys)]
+    key = np.minimum(np.searchsorted(keys, hashes[pos]), len(keys) - 1)
+    same = keys[key] == hashes[pos]
+    pos, key = pos[same], key[same]
     if not len(pos):
         return none, none
-    second = window_hashes(data, width, 1)[pos]
-    pairs = np.stack([hashes[pos], second], axis=1)
-    distinct, first, which = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
-    by_roll = {}
-    for i, k in enumerate(keys.tolist()):
-        by_roll.setdefault(k, []).append(i)
-    block = np.full(len(distinct), -1, dtype=np.int64)
-    for g, f in enumerate(first.tolist()):
-        at = int(pos[f])
+
+    def block_at(at, k):
         digest = hashlib.sha256(buf[at:at + width]).digest()
-        block[g] = next((i for i in by_roll[int(distinct[g, 0])] if strongs[i] == digest), -1)
-    hit = block[which.reshape(-1)]
+        return next((i for i in blocks_of[k] if strongs[i] == digest), -1)
+
+    first = np.full(len(keys), -1, dtype=np.int64)
+    first[key[::-1]] = np.arange(len(key))[::-1]
+    verdict = np.array([block_at(int(pos[f]), k) if f >= 0 else -1 for k, f in enumerate(first.tolist())])
+    hit = verdict[key]
+    second = window_hashes(data, width, 1)[pos]
+    for n in np.flatnonzero(second != second[first[key]]).tolist():      # same hash, other bytes
+        hit[n] = block_at(int(pos[n]), int(key[n]))
     return pos[hit >= 0], hit[hit >= 0]
 
 
@@ -119,7 +117,7 @@ def exits(pos, width, length, tail_at, tail_len):
     Worked out from the end in strides of `width`: a match leads into a later stride, any other
     byte leads to the next match, so each stride is one vector step."""
     pos = np.asarray(pos, dtype=np.int64)
-    next_match = np.append(pos, length)[np.searchsorted(pos, np.arange(length))]
+    next_match = np.repeat(np.append(pos, length), np.diff(np.concatenate([[-1], pos, [length - 1]])))
     dest = np.zeros(length + width, dtype=np.int64)
     dest[length:] = np.arange(width)
     is_match = np.zeros(length + 1, dtype=bool)

@@ -19,8 +19,8 @@ def get_spark(app="driftline", master=None, **conf) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Rows with file bytes are wide: keep Arrow batches small in rows.
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        # Rows with file bytes are wide: bound Arrow batches in bytes.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.ui.showConsoleProgress": "false",
     }
     for k, v in {**defaults, **conf}.items():
