@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.llm import toxicity
+from driftline.llm import quality_rules, toxicity
 from driftline.llm.common import held_out, table
 
 QUERIES = {}
@@ -28,3 +28,35 @@ def op10_toxicity(spark, sf):
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op5_quality_rules(spark, sf):
+    judged = quality_rules.apply_rules(table(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
+ORACLES["op5_quality_rules"] = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+starts AS (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i:i+7]) AS c FROM starts),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM windows WHERE c > 1) GROUP BY r),
+m AS (SELECT w.r, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN covered ON w.r = covered.r),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines FROM m),
+h AS (SELECT host, count(*) AS n, sum(symbols::INT) AS s, sum(dup_lines::INT) AS d FROM f GROUP BY host),
+a AS (SELECT sum(s) / sum(n) AS ms, sum(d) / sum(n) AS md, var_pop(s / n) AS vs, var_pop(d / n) AS vd FROM h),
+k AS (SELECT *, CASE WHEN vs > 0 THEN greatest(2.0, least(1000.0, ms * (1 - ms) / vs - 1)) ELSE 1000.0 END AS ws,
+             CASE WHEN vd > 0 THEN greatest(2.0, least(1000.0, md * (1 - md) / vd - 1)) ELSE 1000.0 END AS wd FROM a),
+v AS (SELECT host, (s + ms * ws) / (n + ws) >= 0.5 AS bad_s, (d + md * wd) / (n + wd) >= 0.5 AS bad_d FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (symbols AND bad_s) AND NOT (dup_lines AND bad_d) AS kept
+FROM f JOIN v USING (host)
+"""
