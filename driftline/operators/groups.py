@@ -3,27 +3,24 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import BROADCAST_ROWS
+# A group is hot above this share of all rows, so there are never more hot groups than this.
+HOT_GROUPS = 1000
 
 
-def lookup_groups(rows: DataFrame, groups: DataFrame, keys, n="n", hot_rows=1_000_000) -> DataFrame:
+def lookup_groups(rows: DataFrame, groups: DataFrame, keys, n="n", hot_groups=HOT_GROUPS) -> DataFrame:
     """Left join `rows` to `groups` (one row per key with the row count in column `n`).
 
-    `groups` is read twice and should be cheap to make (an aggregate over a written table).
-    Groups above `hot_rows` rows are joined by broadcast: there are at most total/hot_rows of
-    them, which is checked here. All others are joined by shuffle, where no key then holds more
-    than `hot_rows` rows; rows already served get a scattered key so that they do not pile up.
+    `groups` is read three times and should be cheap to make (an aggregate over a written table).
+    Groups with more than 1/`hot_groups` of all rows are joined by broadcast: there are fewer than
+    `hot_groups` of them, whatever the data. All others are joined by shuffle, where no key then
+    holds more than that share; rows already served get a scattered key so that they do not pile up.
+    Nothing runs before an action does.
     """
     keys = list(keys)
     values = [c for c in groups.columns if c not in (*keys, n)]
-    hot = groups.filter(F.col(n) > hot_rows)
-    found = hot.limit(BROADCAST_ROWS + 1).count()
-    if found > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} groups above {hot_rows} rows; raise hot_rows")
-    if not found:
-        return rows.join(groups.drop(n), keys, "left")
-    hot = hot.select(*keys, F.struct(*values).alias("_hot"))
-    cold = groups.filter(F.col(n) <= hot_rows).select(
+    total = groups.agg(F.sum(n)).scalar()
+    hot = groups.filter(F.col(n) * hot_groups > total).select(*keys, F.struct(*values).alias("_hot"))
+    cold = groups.filter(F.col(n) * hot_groups <= total).select(
         *keys, F.lit(0).alias("_s"), F.struct(*values).alias("_cold"))
     scatter = F.when(F.col("_hot").isNull(), 0).otherwise(
         1 + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys]), F.lit(4096)).cast("int"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.groups import lookup_groups
+from driftline.operators.groups import HOT_GROUPS, lookup_groups
 from driftline.session import cut
 
 
@@ -17,9 +17,9 @@ def hardlink_groups(m: DataFrame) -> DataFrame:
              .select("dev", "ino", "first_path", "n", ((F.col("n") - 1) * F.col("size")).alias("bytes_saved")))
 
 
-def hardlink_targets(m: DataFrame, hot_rows=1_000_000) -> DataFrame:
+def hardlink_targets(m: DataFrame, hot_groups=HOT_GROUPS) -> DataFrame:
     """(rel_path, first_path) for every path that links to an earlier path of its inode."""
     linked = cut(m.filter((F.col("file_type") == "regular") & (F.col("nlink") > 1)).select("rel_path", "dev", "ino"))
     groups = linked.groupBy("dev", "ino").agg(F.min("rel_path").alias("first_path"), F.count("*").alias("n"))
-    return (lookup_groups(linked, groups.filter("n > 1"), ["dev", "ino"], hot_rows=hot_rows)
+    return (lookup_groups(linked, groups.filter("n > 1"), ["dev", "ino"], hot_groups=hot_groups)
             .filter("rel_path <> first_path").select("rel_path", "first_path"))
