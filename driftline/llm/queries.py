@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.llm import quality_rules, toxicity
+from driftline.llm import quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
 QUERIES = {}
@@ -60,3 +60,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (symbols AND bad_s) AND NOT (dup_lines AND bad_d) AS kept
 FROM f JOIN v USING (host)
 """
+
+
+@query
+def op9_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents")
+    scanner = secret_scan.Scanner(secret_scan.build_dictionary(docs))
+    return secret_scan.scan_secrets(docs, scanner)
