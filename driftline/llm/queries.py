@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm import quality_rules, secret_scan, toxicity
+from driftline.llm import packing, quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
+# Vocabularies are read where they are installed and passed on by path.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {}
 ORACLES = {}
 
@@ -67,3 +72,8 @@ def op9_secret_scan(spark, sf):
     docs = table(spark, sf, "documents")
     scanner = secret_scan.Scanner(secret_scan.build_dictionary(docs))
     return secret_scan.scan_secrets(docs, scanner)
+
+
+@query
+def op1_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), WORD_BPE)
