@@ -16,7 +16,7 @@ SPACE_RE = "[\\x20\\x09-\\x0D]+"
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def bounded_batches(spark, rows=2000, size="16m") -> None:
+def bounded_batches(spark, rows=1000, size="8m") -> None:
     """Bound the Arrow batches by rows and by bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm import packing, quality_rules, secret_scan, toxicity
+from driftline.llm import near_dedup, packing, quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
 # Vocabularies are read where they are installed and passed on by path.
@@ -77,3 +77,8 @@ def op9_secret_scan(spark, sf):
 @query
 def op1_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), WORD_BPE)
+
+
+@query
+def op3_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), near_dedup.Near(words=4))

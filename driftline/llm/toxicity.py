@@ -138,7 +138,7 @@ def normal_form(word: str) -> str:
 class Reader:
     """Reads words as symbols. Results are kept for words seen before, up to a bound."""
 
-    def __init__(self, words, stems, memory=400_000):
+    def __init__(self, words, stems, memory=150_000):
         cues = {}
         for symbol, listed in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             cues.update(dict.fromkeys(listed, symbol))
@@ -225,10 +225,28 @@ def learn_lexicon(sample: DataFrame, lengths=(4, 5, 6, 7), least=6, precision=0.
     common = (sample.filter("toxic = 1").mapInArrow(counted, "form string, toxic bigint")
               .groupBy("form").agg(F.sum("toxic").alias("n")).filter(F.col("n") >= least)
               .orderBy(F.desc("n"), "form").limit(20 * size))
-    candidates = frozenset(r.form for r in common.collect())
+    common_rows = common.collect()
+    candidates = frozenset(r.form for r in common_rows)
     if not candidates:
         return {}, {}
 
+    def clean(batches):
+        for b in batches:
+            hits = Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                if not toxic:
+                    words = {normal_form(w) for w in words_of(text or "")}
+                    hits.update({f for w in words if len(w) > 2 for f in _forms(w, lengths) if f in candidates})
+            yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.string()), pa.array(list(hits.values()), pa.int64())],
+                                             names=["form", "clean"])
+
+    common = {r.form: r.n for r in common_rows}
+    n_clean = sample.mapInArrow(clean, "form string, clean bigint").groupBy("form").agg(F.sum("clean").alias("n")).collect()
+    for r in n_clean:
+        if common[r.form] < precision * (common[r.form] + r.n):
+            del common[r.form]
+    candidates = frozenset(common)
+
     def contexts(batches):
         for b in batches:
             rows = set()
