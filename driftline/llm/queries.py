@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm import near_dedup, packing, quality_rules, secret_scan, toxicity
+from driftline.llm import fingerprint, near_dedup, packing, quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
 # Vocabularies are read where they are installed and passed on by path.
@@ -82,3 +82,8 @@ def op1_packing(spark, sf):
 @query
 def op3_near_dedup(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents"), near_dedup.Near(words=4))
+
+
+@query
+def op2_fingerprint(spark, sf):
+    return fingerprint.compare_edits(table(spark, sf, "documents"))
