@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer_path: str, cfg=PackConfig()) -> DataFrame:
     number times 2^33. A task holds about `block` ids and one batch of texts at a time.
     """
     bounded_batches(docs.sparkSession, rows=500)
-    ids_of = WordIds(tokenizer_path, bare_words)
+    ids_of = WordIds(tokenizer_path, bare_words, spaced=False)
     names = SCHEMA.split(", ")
     types = pa.schema([(n.split()[0], pa.int64()) for n in names])
 
