@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm import fingerprint, near_dedup, packing, quality_rules, secret_scan, toxicity
+from driftline.llm import bpe, fingerprint, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
 # Vocabularies are read where they are installed and passed on by path.
@@ -87,3 +87,28 @@ def op3_near_dedup(spark, sf):
 @query
 def op2_fingerprint(spark, sf):
     return fingerprint.compare_edits(table(spark, sf, "documents"))
+
+
+@query
+def op7_bpe(spark, sf):
+    return bpe.encode_and_decode(table(spark, sf, "documents"), BYTE_BPE)
+
+
+@query
+def op6_quality_model(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality_model.fit(docs, training_labels(spark, sf, "quality"))
+    return quality_model.score_quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_html_text(spark, sf):
+    pages = table(spark, sf, "pages")
+    return html_text.extract(pages, html_text.learn_weights(pages))
+
+
+@query
+def op4_pii(spark, sf):
+    docs = table(spark, sf, "documents")
+    return pii.find_personal_data(docs, pii.learn_patterns(docs))
