@@ -127,7 +127,11 @@ def candidates(text: str, taken) -> list[tuple]:
         before = units[i - 1][2] if i else ""
         two = units[i - 2][2] if i > 1 else ""
         after = units[i + 1][2] if i + 1 < len(units) else ""
-        out.append((a, b, word, (f"L {before}", f"LL {two} {before}", f"LR {before} {after}"), span is not None))
+        # Patterns are made of words: the edges of a text are none.
+        around = [f"L {before}"] if before else []
+        around += [f"LL {two} {before}"] if before and two else []
+        around += [f"LR {before} {after}"] if before and after else []
+        out.append((a, b, word, around, span is not None))
     return out
 
 
