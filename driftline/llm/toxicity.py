@@ -314,8 +314,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=8000) -> Model:
                      ", ".join(f"{k} double" for k in KINDS), keep=("toxic",)).toPandas()
     x, y = rows[list(KINDS)].to_numpy(float), rows["toxic"].to_numpy(float)
     weights, bias = _logistic(x, y, PRIOR)
-    # A match never lowers a score.
-    return Model(words, stems, tuple(max(w, 0.0) for w in weights), bias)
+    # A match never lowers a score, and an insult aimed at someone or a threat weighs as much as one
+    # without an aim, also where no labelled text has any.
+    weights = [max(w, 0.0) for w in weights]
+    for kind in (TARGETED, THREATENED):
+        weights[kind] = max(weights[kind], weights[PLAIN])
+    return Model(words, stems, tuple(weights), bias)
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep=("doc_id",)) -> DataFrame:
