@@ -66,9 +66,14 @@ def error_text() -> Column:
 
 
 def error_summary(ev: DataFrame) -> DataFrame:
-    """First error of each run and how many more there were."""
-    bad = ev.filter(is_type("FileFailed")).groupBy("run_id").agg(
-        F.min_by(F.coalesce("error", F.lit("error")), moment()).alias("first_error"), (F.count("*") - 1).alias("more"))
+    """First error of each run and how many more there were; where only verification failed, how
+    many files did."""
+    failed = is_type("FileFailed")
+    bad = ev.filter(is_type("FileFailed", "VerifyFailed")).groupBy("run_id").agg(
+        F.min_by(F.when(failed, F.coalesce("error", F.lit("error"))), F.when(failed, moment())).alias("_first"),
+        F.count_if(failed).alias("_n"), F.count_if(~failed).alias("_unverified")).select(
+        "run_id", F.coalesce("_first", F.concat(F.col("_unverified").cast("string"), F.lit(" files failed verification"))).alias("first_error"),
+        F.greatest(F.col("_n") - 1, F.lit(0)).alias("more"))
     more = F.concat(F.col("first_error"), F.lit(" (and "), F.col("more").cast("string"), F.lit(" more errors)"))
     return bad.withColumn("message", F.when(F.col("more") > 0, more).otherwise(F.col("first_error")))
 
@@ -87,6 +92,18 @@ def recent_errors(ev: DataFrame, n=5) -> DataFrame:
             .orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(n))
 
 
+def report_header(ev: DataFrame) -> DataFrame:
+    """Per run: start and end, seconds, files, bytes, average bytes per second, and errors."""
+    runs = ev.groupBy("run_id").agg(F.min("ts").alias("started"), F.max("ts").alias("completed"))
+    secs = (F.unix_micros("completed") - F.unix_micros("started")) / F.lit(1e6)
+    totals = snapshot(ev, ["run_id"]).select(
+        "run_id", F.col("files_copied").alias("files"), F.col("bytes_copied").alias("bytes"),
+        (F.col("files_failed") + F.col("files_verify_failed")).alias("errors"))
+    return runs.join(totals, "run_id").select(
+        "run_id", "started", "completed", secs.alias("duration_s"), "files", "bytes",
+        F.when(secs > 0, F.col("bytes") / secs).otherwise(0.0).alias("bytes_per_s"), "errors")
+
+
 def file_outcomes(ev: DataFrame) -> DataFrame:
     """Final outcome of every path of a run: done, skipped or failed."""
     last = F.max_by(F.struct("type", "size", F.when(is_type("FileFailed"), error_text()).alias("error")), moment())

@@ -176,7 +176,7 @@ def batch_outcomes(files: DataFrame, results: DataFrame, failed_batches: DataFra
     j = files.join(results.select("batch_id", "rel_path", "ok"), ["batch_id", "rel_path"], "left")
     ok = F.col("ok")
     if failed_batches is not None:
-        j = j.join(failed_batches.select("batch_id", F.lit(True).alias("_broken")), "batch_id", "left")
+        j = j.join(failed_batches.select("batch_id", F.lit(True).alias("_broken")).distinct(), "batch_id", "left")
         ok = F.when(F.col("_broken"), False).otherwise(ok)
     return j.groupBy("batch_id").agg(
         F.count_if(ok).alias("copied"), F.count_if(~ok).alias("failed"),
@@ -186,21 +186,22 @@ def batch_outcomes(files: DataFrame, results: DataFrame, failed_batches: DataFra
 
 def segments(content: DataFrame, block=4096) -> DataFrame:
     """Runs of data and of holes that tile each file. A hole is a run of aligned blocks that are
-    all zero. A binary value has at most 2 GiB / block blocks, which bounds the window per file."""
+    all zero. Runs are found within the row that holds the bytes: only runs become rows, and
+    nothing is shuffled."""
     size = F.octet_length("content")
     zero = F.lit(bytearray(block))
-    rows = (content.filter(size > 0)
-            .select("rel_path", "content", size.alias("size"),
-                    F.explode(F.expr(f"sequence(0, (octet_length(content) - 1) div {block})")).alias("b"))
-            .select("rel_path", "size", "b", F.substring("content", F.col("b") * block + 1, F.lit(block)).alias("bytes"))
-            .select("rel_path", "size", "b", (F.col("bytes") != F.substring(zero, F.lit(1), F.octet_length("bytes"))).alias("is_data")))
-    w = W.partitionBy("rel_path").orderBy("b")
-    starts = (rows.withColumn("_prev", F.lag("is_data").over(w))
-              .filter("_prev is null or _prev <> is_data")
-              .withColumn("_next", F.lead("b").over(w)))
-    offset = F.col("b").cast("bigint") * block
-    end = F.coalesce(F.col("_next").cast("bigint") * block, F.col("size").cast("bigint"))
-    return starts.select("rel_path", offset.alias("offset"), (end - offset).alias("length"), "is_data")
+    piece = lambda b: F.substring("content", (b * block + 1).cast("int"), F.lit(block))
+    blocks = F.expr(f"sequence(0, (octet_length(content) - 1) div {block})")
+    marked = (content.filter(size > 0)
+              .select("rel_path", size.cast("bigint").alias("size"), F.transform(
+                  blocks, lambda b: piece(b) != F.substring(zero, F.lit(1), F.octet_length(piece(b)))).alias("_data")))
+    starts = marked.withColumn("_starts", F.filter(
+        F.sequence(F.lit(0), F.size("_data") - 1), lambda b: (b == 0) | (F.get("_data", b) != F.get("_data", b - 1))))
+    runs = starts.select("rel_path", F.explode(F.transform("_starts", lambda b, k: F.struct(
+        (b.cast("bigint") * block).alias("offset"),
+        F.coalesce(F.get("_starts", k + 1).cast("bigint") * block, F.col("size")).alias("end"),
+        F.get("_data", b).alias("is_data")))).alias("r"))
+    return runs.select("rel_path", "r.offset", (F.col("r.end") - F.col("r.offset")).alias("length"), "r.is_data")
 
 
 def data_bytes(segs: DataFrame) -> DataFrame:

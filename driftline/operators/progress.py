@@ -11,7 +11,6 @@ from driftline.operators.events import bytes_done, is_type
 from driftline.operators.ordered import BLOCK, Scan, block_scan, trailing_frames
 
 BLOCK_TICKS = 4096
-MAX_SAMPLES = 60
 
 
 def ticks(ev: DataFrame, every_s=1) -> DataFrame:
@@ -31,21 +30,15 @@ def ticks(ev: DataFrame, every_s=1) -> DataFrame:
                     F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("files", F.lit(0)).alias("files")))
 
 
-def _samples(n):
-    if not 1 <= n <= MAX_SAMPLES:
-        raise ValueError(f"between 1 and {MAX_SAMPLES} samples are kept")
-    return n
-
-
 def rolling(t: DataFrame, n: int) -> DataFrame:
     """Average bytes and files per tick over the last n ticks, or over those there are."""
-    return trailing_frames(t, ["run_id"], "idx", _samples(n), {
+    return trailing_frames(t, ["run_id"], "idx", max(n, 1), {
         "avg_bytes": lambda w: F.avg("bytes").over(w), "avg_files": lambda w: F.avg("files").over(w)})
 
 
 def last_samples(t: DataFrame, n: int) -> DataFrame:
     """The bytes of the last n ticks, oldest first."""
-    return trailing_frames(t, ["run_id"], "idx", _samples(n), {
+    return trailing_frames(t, ["run_id"], "idx", max(n, 1), {
         "samples": lambda w: F.collect_list("bytes").over(w)})
 
 

@@ -5,10 +5,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of a side that may be broadcast because its row count is bounded by construction.
-BROADCAST_ROWS = 200_000
-
-
 def get_spark(app="driftline", master=None, **conf) -> SparkSession:
     """A session with the settings the operators are tuned for; `conf` wins over them."""
     b = SparkSession.builder.appName(app)
@@ -30,11 +26,14 @@ def get_spark(app="driftline", master=None, **conf) -> SparkSession:
 
 def checkpoint_dir(spark) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`. Only where neither the
-    configuration nor the context has one (local tests) is a temporary folder set."""
+    configuration nor the context has one, and all executors are threads of this process, is a
+    temporary folder set; on a cluster its executors would not see each other's files."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return configured or current
+    if not configured and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="spark-driftline-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -1,5 +1,8 @@
 """Manifests, file contents, event logs, and the sink they share."""
 
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ LOG_SCHEMA = T.StructType([
     T.StructField("msg", T.StringType()), T.StructField("type", T.StringType()),
     T.StructField("path", T.StringType()), T.StructField("size", T.LongType()),
     T.StructField("worker", T.IntegerType()), T.StructField("error", T.StringType()),
+    # Position of the line in its log, written by whoever writes the log; orders events of one moment.
+    T.StructField("seq", T.LongType()),
 ])
 
 
@@ -20,18 +25,49 @@ def load_manifest(spark, path: str) -> DataFrame:
     """The stored manifest of a tree, empty before the first sync. The schema is given, so no
     footers are read for it, and columns that older files lack come out null."""
     try:
-        return spark.read.schema(MANIFEST).parquet(path)
+        return spark.read.schema(MANIFEST).parquet(table_folder(spark, path))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
         return spark.createDataFrame([], MANIFEST)
 
 
-def write_table(df: DataFrame, path: str, partition_by=(), mode="overwrite", fmt="parquet") -> None:
-    """Replace a table as a whole; readers never see a half-written one under Spark's commit
-    protocol. Partition manifests by a coarse path column to prune directories at read time."""
-    w = df.write.mode(mode).format(fmt)
-    (w.partitionBy(*partition_by) if partition_by else w).save(path)
+_COMMIT = re.compile(r"_committed-(\d{12})-(\w+)$")
+
+
+def _names(spark, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def table_folder(spark, path: str) -> str:
+    """Where the newest committed version of a table lies; `path` itself if it has no versions."""
+    done = max((n for n in _names(spark, path) if _COMMIT.match(n)), default=None)
+    return f"{path}/version-{done.removeprefix('_committed-')}" if done else path
+
+
+def read_table(spark, path: str, fmt="parquet") -> DataFrame:
+    return spark.read.format(fmt).load(table_folder(spark, path))
+
+
+def write_table(df: DataFrame, path: str, partition_by=(), fmt="parquet") -> None:
+    """Replace a table as a whole. The rows go to a folder of their own, which counts only once an
+    empty file says that it is complete: a write that fails leaves the table as it was, and readers
+    keep the version they opened until the next but one write. Partition manifests by a coarse path
+    column to prune directories at read time."""
+    spark = df.sparkSession
+    done = max((int(m[1]) for m in map(_COMMIT.match, _names(spark, path)) if m), default=0)
+    version = f"{done + 1:012d}-{uuid.uuid4().hex[:8]}"
+    w = df.write.format(fmt)
+    (w.partitionBy(*partition_by) if partition_by else w).save(f"{path}/version-{version}")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.create(jvm.Path(f"{path}/_committed-{version}"), False).close()
+    for name in _names(spark, path):
+        number = re.match(r"(?:version|_committed)-(\d{12})-", name)
+        if number and int(number[1]) < done:
+            fs.delete(jvm.Path(f"{path}/{name}"), True)
 
 
 def binary_listing(spark, root: str, recursive=True) -> DataFrame:
@@ -59,7 +95,7 @@ def events_from_log(raw: DataFrame, run_id=None) -> DataFrame:
     """Transfer events from parsed log lines; lines of other kinds are dropped."""
     run = run_id if isinstance(run_id, Column) else F.lit(run_id).cast("string")
     cols = {"run_id": run, "ts": F.col("time"), "type": F.col("type"), "path": F.col("path"),
-            "size": F.col("size"), "worker": F.col("worker"), "error": F.col("error")}
+            "size": F.col("size"), "worker": F.col("worker"), "error": F.col("error"), "seq": F.col("seq")}
     return raw.filter(F.col("type").isin(*EVENT_TYPES)).select(
         *[cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TRANSFER_EVENTS])
 

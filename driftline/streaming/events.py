@@ -42,9 +42,20 @@ def live_failures(ev: DataFrame) -> DataFrame:
         "run_id", "ts", "seq", "type", "path", error_text().alias("error"))
 
 
-def session_batches(tasks: DataFrame, gap="50 milliseconds", by=("run_id",), delay="1 second") -> DataFrame:
-    """Batches that end when no task came for `gap`: start, end, files and bytes per batch."""
-    return (tasks.withWatermark("ts", delay).groupBy(*by, F.session_window("ts", gap))
+def late_rows(seen: DataFrame, kept: DataFrame, keys) -> DataFrame:
+    """Rows of a finished stream's input that its windows left out as late: `seen` is the input and
+    `kept` the windows (keys and `events`), as batch tables; the result counts the difference."""
+    n = seen.groupBy(*keys).agg(F.count("*").alias("seen"))
+    k = kept.groupBy(*keys).agg(F.sum("events").alias("kept"))
+    return n.join(k, list(keys), "left").select(*keys, (F.col("seen") - F.coalesce("kept", F.lit(0))).alias("late"))
+
+
+def session_batches(tasks: DataFrame, gap="50 milliseconds", by=("run_id",), delay=None) -> DataFrame:
+    """Batches that end when no task came for `gap`: start, end, files and bytes per batch. Without
+    `delay` no task is ever too late (output mode complete or update; all sessions are kept). With
+    it, tasks that much behind the newest are left out and sessions are forgotten after it."""
+    seen = tasks.withWatermark("ts", delay) if delay else tasks
+    return (seen.groupBy(*by, F.session_window("ts", gap))
             .agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
             .select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"),
                     "files", "bytes"))

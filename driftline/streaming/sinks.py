@@ -54,10 +54,12 @@ def fan_out(stream: DataFrame, sinks: dict, checkpoint: str, **trigger):
     boolean column (None keeps all rows). The batch is computed once and filtered per sink."""
     def save(df, batch_id):
         df.persist()
-        for path, keep in sinks.items():
-            out = df if keep is None else df.filter(keep)
-            out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        df.unpersist()
+        try:
+            for path, keep in sinks.items():
+                out = df if keep is None else df.filter(keep)
+                out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            df.unpersist()
     return (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 

@@ -1,7 +1,7 @@
 """Arbitrary state per key: workers and small-file batches."""
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -16,11 +16,17 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _in_order(rows, columns, order):
+    """The rows of a key in a micro-batch, in order. They come in several frames, in any order."""
+    pdf = pd.concat([r[columns] for r in rows], ignore_index=True).sort_values(order, kind="stable")
+    return zip(*(pdf[c] for c in columns))
+
+
 class _Worker(StatefulProcessor):
     """What one worker does now: its latest event is all the state there is.
 
-    Each Arrow batch is folded in event order on top of the latest event, so memory does not grow
-    with the worker's history. An event older than the latest one never replaces it."""
+    The events of a micro-batch are folded in order on top of the latest event, so memory does not
+    grow with the worker's history. An event older than the latest one never replaces it."""
 
     columns = ("run_id", "worker", "kind", "path", "size", "at_us", "duration_us")
     schema = "run_id string, worker int, kind string, path string, size bigint, at_us bigint, duration_us bigint"
@@ -35,19 +41,18 @@ class _Worker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         cols = ["us", "seq", "type", "path", "size"]
         last, out = self.latest.get(), []
-        for pdf in rows:
-            ev = pdf[cols].sort_values(["us", "seq"])
-            if last is not None:
-                head = pd.DataFrame([last], columns=cols)
-                ev = pd.concat([head, ev]).sort_values(["us", "seq"], kind="stable").reset_index(drop=True)
-            prev = ev.shift(1)
-            done = ev["type"].isin(["FileCompleted", "FileFailed"]) & (prev["type"] == "FileStarted")
-            if last is not None:
-                done &= ~((ev["us"] == last[0]) & (ev["seq"] == last[1]))
-            end = ev[done]
-            out.append(self._frame(key, "finished", end["path"], end["size"], end["us"],
-                                   end["us"] - prev["us"][done].astype("int64")))
-            last = tuple(v.item() if hasattr(v, "item") else v for v in ev.iloc[-1])
+        ev = pd.concat([pdf[cols] for pdf in rows], ignore_index=True)
+        if last is not None:
+            ev = pd.concat([pd.DataFrame([last], columns=cols), ev])
+        ev = ev.sort_values(["us", "seq"], kind="stable").reset_index(drop=True)
+        prev = ev.shift(1)
+        done = ev["type"].isin(["FileCompleted", "FileFailed"]) & (prev["type"] == "FileStarted")
+        if last is not None:
+            done &= ~((ev["us"] == last[0]) & (ev["seq"] == last[1]))
+        end = ev[done]
+        out.append(self._frame(key, "finished", end["path"], end["size"], end["us"],
+                               end["us"] - prev["us"][done].astype("int64")))
+        last = tuple(v.item() if hasattr(v, "item") else v for v in ev.iloc[-1])
         self.latest.update(last)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
@@ -86,12 +91,14 @@ def worker_state(ev: DataFrame, stall_after_s=60, delay="10 seconds") -> DataFra
 
 class _Batcher(StatefulProcessor):
     """Greedy batching of what arrives, closed by count, by bytes, by a file that may not join,
-    or by an idle timer. Only counters are kept; each file gets its batch number at once."""
+    by a pause between tasks, or by an idle timer. Only counters are kept; each file gets its batch
+    number at once. All tasks of a lane in a micro-batch are put in order first, and a task that
+    comes later than others of its time joins the open batch: none is left out."""
 
     schema = "lane int, kind string, batch_no bigint, rel_path string, files int, size bigint"
 
-    def __init__(self, cfg, idle_us):
-        self.cfg, self.idle_us = cfg, idle_us
+    def __init__(self, cfg, idle_us, timer):
+        self.cfg, self.idle_us, self.timer = cfg, idle_us, timer
 
     def init(self, handle):
         self.handle = handle
@@ -107,27 +114,25 @@ class _Batcher(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         cfg, lane, out = self.cfg, int(key[0]), []
         state = list(self.open.get() or (0, 0, 0, 0))
-        for pdf in rows:
-            pdf = pdf.sort_values(["us", "rel_path"])
-            for us, path, kind, size in zip(pdf["us"], pdf["rel_path"], pdf["file_type"], pdf["size"]):
-                us, size = int(us), int(size)
-                if state[1] and us - state[3] > self.idle_us:
-                    state = self._close(lane, out, state)
-                state[3] = max(state[3], us)
-                fits = state[1] == 0 or state[2] + size <= cfg.max_bytes
-                if kind == "regular" and 0 <= size <= cfg.size_limit and fits:
-                    out.append((lane, "file", state[0], path, 1, size))
-                    state[1], state[2] = state[1] + 1, state[2] + size
-                    if state[1] >= cfg.max_count or state[2] >= cfg.max_bytes:
-                        state = self._close(lane, out, state)
-                else:
+        for us, path, kind, size in _in_order(rows, ["us", "rel_path", "file_type", "size"], ["us", "rel_path"]):
+            us, size = int(us), int(size)
+            if state[1] and us - state[3] > self.idle_us:
+                state = self._close(lane, out, state)
+            state[3] = max(state[3], us)
+            fits = state[1] == 0 or state[2] + size <= cfg.max_bytes
+            if kind == "regular" and 0 <= size <= cfg.size_limit and fits:
+                out.append((lane, "file", state[0], path, 1, size))
+                state[1], state[2] = state[1] + 1, state[2] + size
+                if state[1] >= cfg.max_count or state[2] >= cfg.max_bytes:
                     state = self._close(lane, out, state)
-                    out.append((lane, "file", None, path, 1, size))
+            else:
+                state = self._close(lane, out, state)
+                out.append((lane, "file", None, path, 1, size))
         self.open.update(tuple(state))
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if self.timer else ():
             self.handle.deleteTimer(t)
-        if state[1]:
-            self.handle.registerTimer((state[3] + self.idle_us) // 1000 + 1)
+        if self.timer and state[1]:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_us // 1000 + 1)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -144,14 +149,17 @@ class _Batcher(StatefulProcessor):
         pass
 
 
-def stream_batches(tasks: DataFrame, cfg=BatchConfig(), idle_ms=50, lanes=8, delay="1 second") -> DataFrame:
+def stream_batches(tasks: DataFrame, cfg=BatchConfig(), idle_ms=50, lanes=8, lane: Column = None, timer=False) -> DataFrame:
     """Batches over a task stream (ts, rel_path, file_type, size): a `file` row per file with its
     batch number (null when it travels alone) and a `batch` row when a batch is closed. Tasks are
-    spread over `lanes` by path, each with its own open batch; one lane gives one global order."""
+    spread over `lanes` by path, or by the integer column `lane`, each with its own open batch.
+
+    There is no watermark: every task comes out once, late or not. A batch is closed by a pause of
+    `idle_ms` between the times of its tasks and, with `timer`, when nothing came for that long by
+    the clock. Set it for a stream that goes on; a run over what is available would not end."""
     use_rocksdb(tasks.sparkSession)
-    rows = tasks.withWatermark("ts", delay).select(
-        F.pmod(F.xxhash64("rel_path"), F.lit(lanes)).cast("int").alias("lane"), "ts",
-        F.unix_micros("ts").alias("us"), "rel_path", "file_type", "size")
+    lane = F.pmod(F.xxhash64("rel_path"), F.lit(lanes)) if lane is None else lane
+    rows = tasks.select(lane.cast("int").alias("lane"), F.unix_micros("ts").alias("us"), "rel_path", "file_type", "size")
     return rows.groupBy("lane").transformWithStateInPandas(
-        statefulProcessor=_Batcher(cfg, idle_ms * 1000), outputStructType=_Batcher.schema,
-        outputMode="Append", timeMode="EventTime")
+        statefulProcessor=_Batcher(cfg, idle_ms * 1000, timer), outputStructType=_Batcher.schema,
+        outputMode="Append", timeMode="ProcessingTime" if timer else "None")

@@ -187,7 +187,7 @@ ORACLES = {
         max(mtime_ns) AS newest_ns FROM dst GROUP BY file_type"""),
     "src_04_read_content": "SELECT concat('source=', source) AS dir, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source",
     "src_05_read_events": _with(_EV, """SELECT type, worker, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, count(error) AS errors,
-        max(epoch_us(ts)) AS last_us FROM ev GROUP BY type, worker"""),
+        max(epoch_us(ts)) AS last_us, max(seq) AS last_seq FROM ev GROUP BY type, worker"""),
     "snk_01_write_table": _with(_TREES, "SELECT rel_path, file_type, size, mtime_ns FROM dst"),
     "snk_02_file_outcomes": _with(_EV, """SELECT run_id, p AS path, CASE type WHEN 'FileCompleted' THEN 'done' WHEN 'FileSkipped' THEN 'skipped'
         ELSE 'failed' END AS outcome, size, error FROM (SELECT *, regexp_extract(path, '^/dst/[0-9]+') AS p FROM ev
@@ -298,8 +298,8 @@ ORACLES = {
     "srt_01_delete_sorted": _with(_TREES, f"""SELECT rel_path, size FROM dst WHERE {_keep()} AND rel_path NOT IN (SELECT rel_path FROM src)"""),
     "srt_02_recent_errors": _with(_EV, """SELECT run_id, epoch_us(ts) AS ts, seq, path, CASE WHEN type = 'VerifyFailed' THEN 'CHECKSUM MISMATCH' ELSE error END AS error
         FROM ev WHERE type IN ('FileFailed', 'VerifyFailed') ORDER BY ev.ts DESC, seq DESC LIMIT 5"""),
-    "srt_03_lowest_block": _with(f"""twice AS (SELECT concat('doc_', doc_id) AS rel_path, encode(repeat(substring(rpad(text, 512, '.'), 1, 512), 3)) AS content
-          FROM (SELECT doc_id, CASE WHEN length(text) > 512 THEN substring(text, 1, 512) ELSE text END AS text FROM documents)),
+    "srt_03_lowest_block": _with(f"""twice AS (SELECT concat('doc_', doc_id) AS rel_path,
+          encode(repeat(concat(text, repeat('.', (512 - strlen(text) % 512) % 512)), 3)) AS content FROM documents),
         {_blocks('twice', 512, 'tb')}""", """SELECT rel_path, block_idx, "offset", CAST(octet_length(bytes) AS INTEGER) AS length,
         min(block_idx) OVER (PARTITION BY rel_path, bytes) AS basis_idx FROM tb"""),
     "set_01_merge_sources": _with(_TREES, f"""SELECT CAST(o AS INTEGER) AS source_ord, rel_path, b AS dst_base, concat(b, '/', rel_path) AS dst_path, size
@@ -326,9 +326,19 @@ ORACLES = {
           FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts)), h AS (SELECT *, sum(new_) OVER (PARTITION BY run_id ORDER BY ts) AS b FROM g)""",
         """SELECT run_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1200000000 AS "end", count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
         FROM h GROUP BY run_id, b"""),
-    "stm_06_stream_batches": _with(f"""{_EV}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, path) <= 600000000 THEN 0 ELSE 1 END AS new_ FROM ev),
-        h AS (SELECT *, sum(new_) OVER (ORDER BY ts, path) AS s FROM g), r AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY ts, path) - 1) // 100 AS part FROM h)""",
-        """SELECT dense_rank() OVER (ORDER BY s, part) - 1 AS batch_no, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY s, part"""),
+    # One task per step and lane: open batch `no` with `n` files and `b` bytes, and where the task went.
+    "stm_06_stream_batches": f"""WITH RECURSIVE {_EV}, t AS (SELECT worker AS lane, size, epoch_us(ts) AS us,
+          coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 21600000000, false) AS pause, row_number() OVER w AS k
+          FROM ev WINDOW w AS (PARTITION BY worker ORDER BY ts, path)),
+        s AS (SELECT lane, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS went,
+              CAST(0 AS BIGINT) AS size FROM (SELECT DISTINCT lane FROM t)
+          UNION ALL SELECT lane, k, CASE WHEN joins AND (n + 1 >= 12 OR b + size >= 60000) THEN no + 1 WHEN joins THEN no WHEN n > 0 THEN no + 1 ELSE no END,
+              CASE WHEN joins AND n + 1 < 12 AND b + size < 60000 THEN n + 1 ELSE 0 END, CASE WHEN joins AND n + 1 < 12 AND b + size < 60000 THEN b + size ELSE 0 END,
+              CASE WHEN joins THEN no END, size
+          FROM (SELECT *, size BETWEEN 0 AND 15000 AND (n = 0 OR b + size <= 60000) AS joins
+            FROM (SELECT s.lane, t.k, t.size, CASE WHEN pause AND n > 0 THEN no + 1 ELSE no END AS no, CASE WHEN pause THEN 0 ELSE n END AS n,
+              CASE WHEN pause THEN 0 ELSE b END AS b FROM s JOIN t ON t.lane = s.lane AND t.k = s.k + 1)))
+        SELECT CAST(lane AS INTEGER) AS lane, went AS batch_no, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM s WHERE k > 0 GROUP BY lane, went""",
     "stm_07_incremental_plan": _with(f"{_TREES}, {_plan(False, False)}", "SELECT rel_path, action, reason FROM plan WHERE rel_path IN (SELECT rel_path FROM src_files)"),
     "stm_08_live_failures": _with(_EV, """SELECT run_id, epoch_us(ts) AS ts, seq, type, path, CASE WHEN type = 'VerifyFailed' THEN 'CHECKSUM MISMATCH' ELSE error END AS error
         FROM ev WHERE type IN ('FileFailed', 'VerifyFailed')"""),
@@ -343,4 +353,13 @@ ORACLES = {
         CASE WHEN any_value(s.size) < 2048 THEN 0 ELSE count(*) FILTER (block_idx >= 0) END AS matched_blocks,
         CASE WHEN any_value(s.size) < 2048 THEN any_value(s.size) ELSE CAST(coalesce(sum(len) FILTER (block_idx < 0), 0) AS BIGINT) END AS literal_bytes,
         any_value(s.size) AS bytes, true AS identical FROM ops JOIN src_files s USING (rel_path) GROUP BY rel_path"""),
+    "snk_02_report_header": _with(_EV, """SELECT run_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS completed,
+        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s, count(*) FILTER (type = 'FileCompleted') AS files,
+        CAST(coalesce(sum(size) FILTER (type IN ('FileCompleted', 'FileSkipped')), 0) AS BIGINT) AS bytes,
+        round(coalesce(sum(size) FILTER (type IN ('FileCompleted', 'FileSkipped')), 0) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS bytes_per_s,
+        count(*) FILTER (type IN ('FileFailed', 'VerifyFailed')) AS errors FROM ev GROUP BY run_id"""),
+    "agg_11_verify_errors": _with(_EV, """SELECT run_id, concat(count(*), ' files failed verification') AS message
+        FROM ev WHERE type = 'VerifyFailed' GROUP BY run_id"""),
 }
+# The same result whatever the chunks.
+ORACLES["udf_01_match_chunks"] = ORACLES["agg_06_delta_stats"]

@@ -8,7 +8,7 @@ from driftline.operators import delta, events, filtering, hardlinks, packing, pr
 from driftline.plans import sync, verify
 from driftline.plans.delta_sync import delta_sync
 from driftline.plans.multi import Source, plan_sources
-from driftline.session import scratch
+from driftline.session import cut, scratch
 from driftline.sources import tables, tree
 from driftline.streaming import events as live
 from driftline.streaming import planning, sinks, stateful
@@ -77,11 +77,11 @@ def src_05_read_events(spark, sf):
     out = scratch(spark, "log")
     ev = x.transfer_events(spark, sf)
     (ev.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.lit("INFO").alias("level"),
-               F.lit("event").alias("msg"), "type", "path", "size", "worker", "error").write.json(out))
+               F.lit("event").alias("msg"), "type", "path", "size", "worker", "error", "seq").write.json(out))
     got = tables.read_events(spark, out, run_id="all")
     return got.groupBy("type", "worker").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"),
                                              F.count("error").alias("errors"),
-                                             F.max(F.unix_micros("ts")).alias("last_us"))
+                                             F.max(F.unix_micros("ts")).alias("last_us"), F.max("seq").alias("last_seq"))
 
 
 @query
@@ -90,7 +90,20 @@ def snk_01_write_table(spark, sf):
     out = scratch(spark, "table")
     tables.write_table(x.src(spark, sf), out)
     tables.write_table(x.dst(spark, sf), out)
-    return spark.read.parquet(out).select("rel_path", "file_type", "size", "mtime_ns")
+    return tables.read_table(spark, out).select("rel_path", "file_type", "size", "mtime_ns")
+
+
+@query
+def snk_02_report_header(spark, sf):
+    head = events.report_header(x.transfer_events(spark, sf))
+    return head.withColumns({"started": F.unix_micros("started"), "completed": F.unix_micros("completed"),
+                             "bytes_per_s": F.round("bytes_per_s", 6)})
+
+
+@query
+def agg_11_verify_errors(spark, sf):
+    """Error summary of runs in which only verification fails."""
+    return events.error_summary(x.transfer_events(spark, sf).filter("type <> 'FileFailed'")).select("run_id", "message")
 
 
 @query
@@ -235,7 +248,8 @@ def _ops(spark, sf):
 
 @query
 def joi_08_apply_delta(spark, sf):
-    return verify.file_hashes(delta.apply_delta(_ops(spark, sf), x.dst_content(spark, sf)))
+    """Ops are made once, as a table, and read for copies and for literals."""
+    return verify.file_hashes(delta.apply_delta(cut(_ops(spark, sf)), x.dst_content(spark, sf)))
 
 
 # Aggregates
@@ -434,8 +448,8 @@ def srt_02_recent_errors(spark, sf):
 def srt_03_lowest_block(spark, sf):
     """Files with every block twice: each block matches its first copy."""
     twice = x.table(spark, sf, "documents").selectExpr(
-        "concat('doc_', doc_id) AS rel_path", "rpad(text, 512, '.') AS t").selectExpr(
-        "rel_path", "encode(repeat(substring(t, 1, 512), 3), 'utf-8') AS content")
+        "concat('doc_', doc_id) AS rel_path", "concat(text, repeat('.', pmod(-octet_length(text), 512))) AS t").selectExpr(
+        "rel_path", "encode(repeat(t, 3), 'utf-8') AS content")
     sig = delta.signatures(twice, 512)
     return delta.block_matches(sig, sig)
 
@@ -514,18 +528,22 @@ def stm_05_worker_state(spark, sf):
 
 @query
 def stm_06_session_batches(spark, sf):
-    got = live.session_batches(x.event_stream(spark, sf), "20 minutes", ["run_id"], "1 day")
+    got = live.session_batches(x.event_stream(spark, sf), "20 minutes", ["run_id"])
     return (sinks.drain(got, "complete", name="sessions")
             .withColumn("start", F.unix_micros("start")).withColumn("end", F.unix_micros("end")))
 
 
 @query
 def stm_06_stream_batches(spark, sf):
-    """Idle-flush batches in one lane: files and bytes of all rows that got a batch number."""
-    tasks = x.event_stream(spark, sf).selectExpr("ts", "path AS rel_path", "'regular' AS file_type", "size")
-    got = sinks.drain(stateful.stream_batches(tasks, packing.BatchConfig(), 600_000, lanes=1, delay="1 day"), name="batches")
-    rows = got.filter("kind = 'file' and batch_no is not null")
-    return rows.groupBy("batch_no").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    """Batches of eight lanes over tasks that arrive newest first: files and bytes per batch, and of
+    the files that travel alone. Batches close by count, by bytes and by a pause of six hours."""
+    out = scratch(spark, "tasks")
+    tasks = x.transfer_events(spark, sf).selectExpr("ts", "path AS rel_path", "'regular' AS file_type", "size", "worker")
+    tasks.repartition(1).sortWithinPartitions(F.desc("ts")).write.parquet(out)
+    stream = spark.readStream.schema(tasks.schema).parquet(out)
+    cfg = packing.BatchConfig(max_bytes=60_000, size_limit=15_000, max_count=12)
+    got = sinks.drain(stateful.stream_batches(stream, cfg, 6 * HOUR * 1000, lane=F.col("worker")), name="batches")
+    return got.filter("kind = 'file'").groupBy("lane", "batch_no").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 @query
@@ -562,6 +580,13 @@ def udf_01_match_blocks(spark, sf):
                                   F.sha2("literal", 256).alias("literal_sha"))
 
 
+@query
+def udf_01_match_chunks(spark, sf):
+    """The same match with files cut into chunks of 1 KiB."""
+    sig = delta.match_signatures(x.dst_content(spark, sf))
+    return delta.delta_stats(delta.match_blocks(x.src_content(spark, sf), sig, chunk_bytes=1024, reach=512)).drop("saved_ratio")
+
+
 @query
 def udf_02_delta_sync(spark, sf):
     return delta_sync(x.src_content(spark, sf), x.dst_content(spark, sf), delta_min=2048)

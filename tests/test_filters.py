@@ -117,3 +117,8 @@ def test_small_filters(manifest):
     assert prescan(m).first() == (4, 40)
     assert prescan(m, filter_chain(["- a/"])).first() == (1, 10)
     assert prescan(m, filter_chain(["- a/"]), prune=False).first() == (4, 40)
+
+
+def test_long_rule_tables(spark):
+    rules = spark.range(10_050).selectExpr("id AS ord", "concat('- x', id) AS rule")
+    assert len(filter_chain(rules).rules) == 10_050

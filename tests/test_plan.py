@@ -90,10 +90,10 @@ def test_hardlinks(manifest):
     assert g == {1: ("a", 2, 10), 2: ("c/x", 2, 10)}
 
 
-@pytest.mark.parametrize("hot_rows", [1, 2, 5, 1_000_000])
-def test_hot_inode_gives_the_same_targets(manifest, hot_rows):
+@pytest.mark.parametrize("hot_groups", [1, 2, 5, 1_000_000])
+def test_hot_inode_gives_the_same_targets(manifest, hot_groups):
     rows = [linked(f"p{i:03d}", 7) for i in range(60)] + [linked(f"q{i:03d}", i // 2) for i in range(100, 140)]
-    got = {r.rel_path: r.first_path for r in hardlink_targets(manifest(*rows), hot_rows).collect()}
+    got = {r.rel_path: r.first_path for r in hardlink_targets(manifest(*rows), hot_groups).collect()}
     want = {f"p{i:03d}": "p000" for i in range(1, 60)}
     want |= {f"q{i:03d}": f"q{i - 1:03d}" for i in range(101, 140, 2)}
     assert got == want

@@ -1,6 +1,9 @@
 import json
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from driftline.schemas import MANIFEST
 from driftline.sources import tables
 from driftline.sources.tree import read_tree
@@ -48,6 +51,11 @@ def test_manifest_table(spark, manifest, tmp_path):
     tables.write_table(manifest("a", "b"), path)
     tables.write_table(manifest("c"), path)
     assert [r.rel_path for r in tables.load_manifest(spark, path).collect()] == ["c"]
+    # A write that fails leaves the table as it was.
+    broken = manifest("x").withColumn("size", F.expr("CAST(raise_error('no') AS BIGINT)"))
+    with pytest.raises(Exception, match="no"):
+        tables.write_table(broken, path)
+    assert [r.rel_path for r in tables.load_manifest(spark, path).collect()] == ["c"]
     # A manifest written with fewer columns reads with nulls.
     tables.write_table(manifest("d").select("rel_path", "file_type", "size", "mtime_ns"), path)
     row = tables.load_manifest(spark, path).first()

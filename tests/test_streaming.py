@@ -74,6 +74,31 @@ def test_batches_by_idle_count_and_size(spark, feed):
     assert {(r.batch_no, r.files) for r in out if r.kind == "batch"} == {(0, 3), (1, 4), (2, 1), (3, 1)}
 
 
+TASKS = "ts timestamp, rel_path string, file_type string, size bigint"
+
+
+def test_late_tasks_are_batched_too(spark, feed):
+    add, stream = feed(TASKS)
+    for k, s in enumerate((0, 10, 11, 3, 12)):
+        add((at(s), f"f{k}", "regular", 10))
+    out = sinks.drain(stateful.stream_batches(stream, lanes=1)).collect()
+    assert sorted(r.rel_path for r in out if r.kind == "file") == [f"f{k}" for k in range(5)]
+    sessions = sinks.drain(live.session_batches(stream.withColumn("run_id", stream.file_type), "2 seconds"), "complete", name="sessions").collect()
+    assert sum(r.files for r in sessions) == 5
+
+
+def test_order_holds_over_arrow_batches(spark, feed):
+    add, stream = feed(TASKS)
+    add(*[(at(i), f"f{i:03d}", "regular", 1) for i in reversed(range(200))])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = sinks.drain(stateful.stream_batches(stream, BatchConfig(max_count=50), idle_ms=5000, lanes=1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.rel_path: r.batch_no for r in out if r.kind == "file"} == {f"f{i:03d}": i // 50 for i in range(200)}
+
+
 def test_incremental_plan_keeps_the_newest_row(spark, feed, manifest, tmp_path):
     from driftline.schemas import MANIFEST
     add, stream = feed(MANIFEST)
