@@ -7,7 +7,8 @@ the next value, and so on, so its depth adapts to how crowded it is. Candidates
 
  1. the neighbours of a node in each order, that is those with the longest common prefixes;
  2. nodes of other components against the best linked nodes of a region's components;
- 3. every pair of a region that is still in different components.
+ 3. every pair of a region that is still in different components; in crowded regions these are
+    compared block by block, so that sets meet without a row per pair.
 
 Each step is confirmed on the full sets and followed by connected components; the next only looks
 at pairs that could still join two of them. So dense groups cost a few links per node, while no
@@ -275,10 +276,8 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", how)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. `docs` has one text per node."""
-    pairs = cut(pairs.select("a", "b"))
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+def full_sets(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
+    """(id, full): the sets of the documents named in (doc_id), as written."""
     shingler = Shingler(near.words)
 
     def full(batches):
@@ -287,8 +286,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "full"])
 
     bounded_batches(docs.sparkSession, rows=500)
-    sets = cut(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
+    return cut(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut(ids), "left_semi")
                .mapInArrow(full, "id bigint, full binary"))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough. `docs` has one text per node."""
+    pairs = cut(pairs.select("a", "b"))
+    sets = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), near)
     met = (pairs.join(sets.withColumnsRenamed({"id": "a", "full": "fa"}), "a")
            .join(sets.withColumnsRenamed({"id": "b", "full": "fb"}), "b"))
 
@@ -313,23 +318,78 @@ def _other_component(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, block=512) -> DataFrame:
-    """Pairs of a region that are in different components: every node outside the region's largest
-    component against every other node of the region, in blocks of nodes."""
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of regions with several components: key, id, component, the region's largest
+    component `main`, and how many rows the region (`total`) and the rest of it (`rest`) has."""
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"))
-            .filter("k > 1").select("key", F.col("top")["component"].alias("main"), "total"))
-    mixed = named.join(main, "key").withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    outside = (mixed.filter("component <> main")
-               .select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"),
-                       F.col("id").alias("x"), F.col("component").alias("cx")))
-    against = mixed.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("s"),
-                           F.col("id").alias("y"), F.col("component").alias("cy"))
-    return (outside.join(against, ["key", "s"]).filter("cx <> cy")
+            .filter("k > 1").select("key", F.col("top")["component"].alias("main"), "total", (F.col("total") - F.col("top")["n"]).alias("rest")))
+    return named.join(main, "key")
+
+
+def _cross_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of a region that are in different components: every node outside the region's largest
+    component against every other node. For regions of at most CROWD rows."""
+    mixed = mixed.filter(F.col("total") <= CROWD)
+    outside = mixed.filter("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    against = mixed.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
+    return (outside.join(against, "key").filter("cx <> cy")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def _compare_blocks(near: Near):
+    """Links between the outsiders and the members in one block each: the sizes of all
+    intersections as products of occurrence matrices over the shingles both sides have."""
+    def occurrences(flat, owner, n, shingles):
+        at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
+        hit = shingles[at] == flat
+        out = np.zeros((n, len(shingles)), np.float32)
+        out[owner[hit], at[hit]] = 1
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        role = np.array(table.column("role").to_pylist())
+        ids, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("full").to_pylist()]
+        sides = []
+        for r in (0, 1):
+            rows = np.flatnonzero(role == r)
+            own = [sets[k] for k in rows.tolist()]
+            size = np.array([len(s) for s in own], np.int64)
+            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            sides.append((rows, size, flat, np.repeat(np.arange(len(own)), size)))
+        (x, nx, fx, ox), (y, ny, fy, oy) = sides
+        common = np.intersect1d(fx, fy)
+        both = np.zeros((len(x), len(y)), np.float32)
+        for k in range(0, len(common), 4096):
+            part = common[k:k + 4096]
+            both += occurrences(fx, ox, len(x), part) @ occurrences(fy, oy, len(y), part).T
+        both = both.astype(np.int64)
+        linked = (100 * both >= near.percent * (nx[:, None] + ny[None, :] - both)) & (comps[x][:, None] != comps[y][None, :])
+        i, j = np.nonzero(linked)
+        a, b = ids[x][i], ids[y][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _crowded_links(mixed: DataFrame, docs: DataFrame, near: Near, block=512) -> DataFrame:
+    """Links between components of regions above CROWD rows. Outsiders and members are dealt into
+    blocks; every block of the one meets every block of the other."""
+    crowded = cut(mixed.filter(F.col("total") > CROWD)
+                  .withColumns({"s": F.ceil(F.col("total") / block).cast("int"), "r": F.ceil(F.col("rest") / block).cast("int")}))
+    place = F.xxhash64("id")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = crowded.filter("component <> main").select(
+        "key", everywhere("s").alias("s"), F.pmod(place, F.col("r")).cast("int").alias("r"), F.lit(0).alias("role"), "id", "component")
+    against = crowded.select(
+        "key", F.pmod(place, F.col("s")).cast("int").alias("s"), everywhere("r").alias("r"), F.lit(1).alias("role"), "id", "component")
+    sets = full_sets(docs, crowded.select(F.col("id").alias("doc_id")).distinct(), near)
+    return cut(outside.unionAll(against).join(sets, "id").groupBy("key", "s", "r")
+               .applyInArrow(_compare_blocks(near), "a bigint, b bigint").distinct())
+
+
 def _hub_pairs(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes against the best linked nodes of the largest other component of their region."""
     degree = (links.select(F.col("a").alias("id")).unionAll(links.select("b")).groupBy("id").agg(F.count("*").alias("d"))
@@ -356,11 +416,12 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     labels = cut(components(links))
 
     def also(candidates):
-        nonlocal links, labels
         more = cut(candidates.join(links, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            return
-        found = confirm(more, docs, near)
+        if not more.isEmpty():
+            link(confirm(more, docs, near))
+
+    def link(found):
+        nonlocal links, labels
         if found.isEmpty():
             return
         links = cut(links.unionAll(found))
@@ -368,7 +429,8 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
 
     also(_other_component(likely, labels).select("a", "b"))
     also(_agreement(_hub_pairs(members, labels, links), nodes, near).select("a", "b"))
-    also(_agreement(_cross_pairs(members, labels), nodes, near).select("a", "b"))
+    also(_agreement(_cross_pairs(_mixed(members, labels)), nodes, near).select("a", "b"))
+    link(_crowded_links(_mixed(members, labels), docs, near))
     return labels
 
 
