@@ -32,10 +32,16 @@ _TREES = f"{_FILES}, {_tree('src')}, {_tree('dst')}"
 
 _EV = """
 ev AS (SELECT concat('run', user_id % 4) AS run_id, ts, event_id AS seq,
-    CASE event_type WHEN 'view' THEN 'FileStarted' WHEN 'click' THEN 'FileCompleted' WHEN 'error' THEN 'FileFailed'
-        WHEN 'signup' THEN 'FileSkipped' ELSE 'VerifyFailed' END AS type,
+    CASE event_type WHEN 'view' THEN CASE WHEN event_id % 8 = 3 THEN 'FileProgress' ELSE 'FileStarted' END
+           WHEN 'click' THEN 'FileCompleted' WHEN 'error' THEN 'FileFailed'
+           WHEN 'signup' THEN CASE event_id % 8 WHEN 0 THEN 'DirCreated' WHEN 1 THEN 'HardlinkCreated' WHEN 2 THEN 'DeleteFile'
+             ELSE 'FileSkipped' END
+           ELSE CASE event_id % 8 WHEN 0 THEN 'VerifyOK' WHEN 1 THEN 'VerifyStarted' WHEN 2 THEN 'ScanComplete'
+             WHEN 3 THEN 'ScanStarted' ELSE 'VerifyFailed' END END AS type,
     concat('/dst/', user_id, '/f_', event_id) AS path, CAST(round(value * 100) AS BIGINT) AS size,
-    CAST(user_id % 8 AS INTEGER) AS worker, CASE WHEN event_type = 'error' THEN 'io error' END AS error FROM events)"""
+    CAST(user_id % 8 AS INTEGER) AS worker, CASE WHEN event_type = 'error' THEN 'io error' END AS error,
+    CASE WHEN event_type = 'purchase' AND event_id % 8 = 2 THEN event_id END AS total,
+    CASE WHEN event_type = 'purchase' AND event_id % 8 = 2 THEN event_id * 1000 END AS total_size FROM events)"""
 
 
 def _keep(a=""):
@@ -136,13 +142,13 @@ _COUNTERS = """count(*) FILTER (type = 'FileStarted') AS files_scanned, count(*)
   count(*) FILTER (type = 'FileFailed') AS files_failed, count(*) FILTER (type = 'FileSkipped') AS files_skipped,
   CAST(sum(CASE WHEN type IN ('FileCompleted', 'FileSkipped') THEN size ELSE 0 END) AS BIGINT) AS bytes_copied,
   count(*) FILTER (type = 'DirCreated') AS dirs_created, count(*) FILTER (type = 'HardlinkCreated') AS hardlinks_created,
-  CAST(0 AS BIGINT) AS bytes_total, CAST(0 AS BIGINT) AS files_total,
+  coalesce(max(total_size), 0) AS bytes_total, coalesce(max(total), 0) AS files_total,
   count(*) FILTER (type = 'VerifyOK') AS files_verified, count(*) FILTER (type = 'VerifyFailed') AS files_verify_failed,
   epoch_us(max(ts)) - epoch_us(min(ts)) AS elapsed_us"""
 
 _STATE = """
 st AS (SELECT *, lag(type) OVER w AS ptype, lag(path) OVER w AS ppath, lag(ts) OVER w AS pts
-    FROM ev WHERE type IN ('FileStarted', 'FileCompleted', 'FileFailed')
+    FROM ev WHERE type IN ('FileStarted', 'FileCompleted', 'FileFailed', 'DirCreated', 'HardlinkCreated')
     WINDOW w AS (PARTITION BY run_id, worker ORDER BY ts, seq))"""
 
 _SPARSE = """
@@ -275,10 +281,11 @@ ORACLES = {
         IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY idx), false) AS high FROM f"""),
     "win_08_busy_workers": _with(f"{_EV}, {_STATE}", """SELECT run_id, seq, worker, type, CAST(sum(CAST(type = 'FileStarted' AS INTEGER)
         - CAST(coalesce(ptype, '') = 'FileStarted' AS INTEGER)) OVER (PARTITION BY run_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS busy FROM st"""),
-    "win_09_in_flight": _with(_EV, """SELECT run_id, worker, path, size, CAST(NULL AS BIGINT) AS progress,
+    "win_09_in_flight": _with(_EV, """SELECT run_id, worker, path, size, (SELECT arg_max(p.size, (p.ts, p.seq)) FROM ev p WHERE p.run_id = s.run_id AND p.worker = s.worker
+          AND p.type = 'FileProgress' AND p.ts <= TIMESTAMP '2024-01-20 12:00:00' AND (p.ts > s.ts OR p.ts = s.ts AND p.seq > s.seq)) AS progress,
         epoch_us(TIMESTAMP '2024-01-20 12:00:00') - epoch_us(ts) AS so_far_us FROM (SELECT * FROM ev WHERE ts <= TIMESTAMP '2024-01-20 12:00:00'
-          AND type IN ('FileStarted', 'FileCompleted', 'FileFailed') QUALIFY row_number() OVER (PARTITION BY run_id, worker ORDER BY ts DESC, seq DESC) = 1)
-        WHERE type = 'FileStarted'"""),
+          AND type IN ('FileStarted', 'FileCompleted', 'FileFailed', 'DirCreated', 'HardlinkCreated') QUALIFY row_number() OVER (PARTITION BY run_id, worker ORDER BY ts DESC, seq DESC) = 1)
+        s WHERE type = 'FileStarted'"""),
     "win_10_segments": _with(_SPARSE, "SELECT * FROM segs"),
     "win_10_data_bytes": _with(_SPARSE, """SELECT rel_path, CAST(coalesce(sum(length) FILTER (is_data), 0) AS BIGINT) AS data_bytes,
         CAST(coalesce(sum(length) FILTER (NOT is_data), 0) AS BIGINT) AS hole_bytes FROM segs GROUP BY rel_path"""),
@@ -291,7 +298,7 @@ ORACLES = {
         """SELECT rel_path, arr AS est_start_s, greatest(arr, (CAST(s AS DOUBLE) - 1000000.0::DOUBLE) / 1e6::DOUBLE + idle) AS est_end_s FROM u"""),
     "win_12_file_durations": _with(f"{_EV}, {_STATE}", """SELECT run_id, worker, seq, path, ppath AS started_path, size, epoch_us(ts) - epoch_us(pts) AS duration_us,
         CASE WHEN ts > pts THEN size / ((epoch_us(ts) - epoch_us(pts)) / 1e6::DOUBLE) END AS bytes_per_s FROM st
-        WHERE type <> 'FileStarted' AND ptype = 'FileStarted'"""),
+        WHERE type IN ('FileCompleted', 'FileFailed') AND ptype = 'FileStarted'"""),
     "srt_01_delete_order": _with(_TREES, f"""SELECT rel_path, file_type, row_number() OVER (ORDER BY file_type = 'dir',
         CASE WHEN file_type = 'dir' THEN rel_path END DESC, rel_path) - 1 AS position FROM dst
         WHERE {_keep()} AND rel_path NOT IN (SELECT rel_path FROM src)"""),
@@ -321,7 +328,9 @@ ORACLES = {
         """SELECT run_id, e * 3600000000 AS "end", CAST(bytes AS BIGINT) AS bytes, CAST(files AS BIGINT) AS files, CAST(bytes AS DOUBLE) / 36000.0::DOUBLE AS bytes_per_s,
         CAST(files AS DOUBLE) / 36000.0::DOUBLE AS files_per_s FROM w"""),
     "stm_05_worker_state": _with(_EV, """SELECT run_id, worker, CASE WHEN type = 'FileStarted' THEN 'in_flight' ELSE 'idle' END AS kind, path, size, epoch_us(ts) AS at_us
-        FROM ev WHERE type IN ('FileStarted', 'FileCompleted', 'FileFailed') QUALIFY row_number() OVER (PARTITION BY run_id, worker ORDER BY ts DESC, seq DESC) = 1"""),
+        FROM ev WHERE type IN ('FileStarted', 'FileCompleted', 'FileFailed', 'DirCreated', 'HardlinkCreated') QUALIFY row_number() OVER (PARTITION BY run_id, worker ORDER BY ts DESC, seq DESC) = 1"""),
+    "stm_05_finished": _with(f"{_EV}, {_STATE}", """SELECT run_id, worker, path, size, epoch_us(ts) AS at_us, epoch_us(ts) - epoch_us(pts) AS duration_us
+        FROM st WHERE type IN ('FileCompleted', 'FileFailed') AND ptype = 'FileStarted'"""),
     "stm_06_session_batches": _with(f"""{_EV}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1200000000 THEN 0 ELSE 1 END AS new_
           FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts)), h AS (SELECT *, sum(new_) OVER (PARTITION BY run_id ORDER BY ts) AS b FROM g)""",
         """SELECT run_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1200000000 AS "end", count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes

@@ -526,6 +526,13 @@ def stm_05_worker_state(spark, sf):
     return last.select("run_id", "worker", "v.kind", "v.path", "v.size", "at_us")
 
 
+@query
+def stm_05_finished(spark, sf):
+    """Files that end right after their worker started one, with their durations."""
+    got = sinks.drain(stateful.worker_state(x.event_stream(spark, sf), stall_after_s=HOUR, delay="1 day"), name="workers")
+    return got.filter("kind = 'finished'").select("run_id", "worker", "path", "size", "at_us", "duration_us")
+
+
 @query
 def stm_06_session_batches(spark, sf):
     got = live.session_batches(x.event_stream(spark, sf), "20 minutes", ["run_id"])

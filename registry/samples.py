@@ -77,13 +77,22 @@ def dst_content(spark, sf_dir) -> DataFrame:
     return dst_files(spark, sf_dir).select("rel_path", "content")
 
 
+# All types of a transfer log, from the five of the table.
+EVENT_TYPE = """CASE event_type WHEN 'view' THEN CASE WHEN event_id % 8 = 3 THEN 'FileProgress' ELSE 'FileStarted' END
+           WHEN 'click' THEN 'FileCompleted' WHEN 'error' THEN 'FileFailed'
+           WHEN 'signup' THEN CASE event_id % 8 WHEN 0 THEN 'DirCreated' WHEN 1 THEN 'HardlinkCreated' WHEN 2 THEN 'DeleteFile'
+             ELSE 'FileSkipped' END
+           ELSE CASE event_id % 8 WHEN 0 THEN 'VerifyOK' WHEN 1 THEN 'VerifyStarted' WHEN 2 THEN 'ScanComplete'
+             WHEN 3 THEN 'ScanStarted' ELSE 'VerifyFailed' END END"""
+
+
 def event_columns(raw: DataFrame) -> DataFrame:
     return raw.selectExpr(
         "concat('run', user_id % 4) AS run_id", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS seq",
-        """CASE event_type WHEN 'view' THEN 'FileStarted' WHEN 'click' THEN 'FileCompleted'
-           WHEN 'error' THEN 'FileFailed' WHEN 'signup' THEN 'FileSkipped' ELSE 'VerifyFailed' END AS type""",
+        f"{EVENT_TYPE} AS type",
         "concat('/dst/', user_id, '/f_', event_id) AS path", "CAST(round(value * 100) AS BIGINT) AS size",
-        "CAST(NULL AS BIGINT) AS total", "CAST(NULL AS BIGINT) AS total_size",
+        f"CASE WHEN {EVENT_TYPE} = 'ScanComplete' THEN event_id END AS total",
+        f"CASE WHEN {EVENT_TYPE} = 'ScanComplete' THEN event_id * 1000 END AS total_size",
         "CAST(user_id % 8 AS INT) AS worker", "CASE WHEN event_type = 'error' THEN 'io error' END AS error")
 
 
