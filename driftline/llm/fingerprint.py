@@ -91,7 +91,7 @@ FIRST = -(1 << 63)
 def _previous(keyed: DataFrame) -> DataFrame:
     """(key, before, n_before): for every id the one before it (the last before the first) and the
     length of its longest text. Only ids and lengths are ordered."""
-    ids = keyed.groupBy("key").agg(F.max("n").alias("n"))
+    ids = keyed.groupBy("key").agg(F.max(F.length("text")).alias("n"))
     seen = cut(ordered_scan(ids, [], ["key"], {
         "before": Scan("last", F.col("key"), before=True), "n_before": Scan("last", F.col("n"), before=True)}))
     last = seen.agg(F.max_by(F.struct("key", "n"), "key").alias("last")).scalar()
@@ -107,16 +107,16 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     A text is shuffled once by its id; then its fingerprint and as much of its beginning as the
     document before can use go to that document.
     """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(FIRST)).alias("key"), text.alias("text"), F.length(text).alias("n"))
+    # Both uses below read the same two columns, so that they share one exchange of the texts.
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     begun = (keyed.join(_previous(keyed).hint("shuffle_hash"), "key")
              .select(F.col("before").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("begin"),
                      fingerprint(F.col("text")).alias("next_fingerprint"))
              .withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("next_fingerprint"))).filter("_r = 1").drop("_r"))
     half = F.floor(F.col("n") / 2).cast("int")
-    made = (keyed.join(begun, "key", "left")
+    made = (keyed.join(begun, "key", "left").withColumn("n", F.length("text"))
             .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("begin", F.lit(1), half)))
-            .select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+            .select(F.nullif("key", F.lit(FIRST)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
                     fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
                     "next_fingerprint")
             .withColumns({"_a": leaf_set(F.col("fingerprint")), "_e": leaf_set(F.col("edited_fingerprint")),
