@@ -3,18 +3,32 @@
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftline.functions.globs import FilterChain
 from driftline.plans.sync import SyncOptions, sync_plan
 from driftline.streaming.sinks import read_latest, write_batches
 
+# Paths of a micro-batch that are broadcast; a larger batch is joined by shuffle.
+BROADCAST_PATHS = 200_000
+
 
 def incremental_plan(src_stream: DataFrame, d: DataFrame, path: str, chain=FilterChain(), opts=SyncOptions(), **trigger):
     """Plan source rows as they arrive against a destination manifest. Each micro-batch is a
     left join on `rel_path`; a path listed again replaces its earlier row in `read_plan`.
-    Hardlinks and deletions need the whole source and are left to the batch plan."""
+    Hardlinks and deletions need the whole source and are left to the batch plan.
+
+    The paths of a micro-batch are broadcast, if they are few, to pick the destination rows that
+    matter where they lie; only those are shuffled."""
     step = replace(opts, delete=False, hardlinks=False, dst_rows=False)
-    return write_batches(src_stream, path, transform=lambda s: sync_plan(s, d, chain, step), **trigger)
+
+    def plan(s):
+        touched = s.select("rel_path").distinct()
+        few = touched.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+        near = d.join(F.broadcast(touched), "rel_path", "left_semi") if few else d
+        return sync_plan(s, near, chain, step)
+
+    return write_batches(src_stream, path, transform=plan, **trigger)
 
 
 def read_plan(spark, path: str) -> DataFrame:
