@@ -30,7 +30,7 @@ from driftline.llm.word_ids import SPACED, WordIds, open_tokenizer
 from driftline.session import cut
 
 # Characters of text after which a chunk ends with the document at hand.
-CHUNK = 12_000_000
+CHUNK = 24_000_000
 
 
 def special_names(path: str) -> list[str]:
@@ -90,6 +90,18 @@ def read_varints(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packer():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress
+
+
+def _unpacker():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def _lengths_first(parts: list[bytes]) -> bytes:
     """Byte strings in one: how many, their lengths, then all of them."""
     return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
@@ -105,31 +117,36 @@ def _read_parts(data: bytes) -> list[bytes]:
 ROWS = "chunk bigint, bucket int, data binary, docs binary"
 
 
-def _chunks(split, buckets: int):
-    """Per chunk a row per bucket with its distinct words, and a row (bucket -1) with the word
-    numbers of all positions and, in `docs`, id, null flag and number of words per document. Words
-    are numbered by bucket and, within it, by first appearance."""
-    import xxhash
-    from pyspark import TaskContext
-
+def _chunks(split, buckets: int, words_too: bool, positions_too: bool):
+    """Per chunk, with all data compressed, a row per bucket with its distinct words, and a row
+    (bucket -1) with the word numbers of all positions and, in `docs`, the bucket of every word and
+    id, null flag and number of words per document. Words are numbered by first appearance, so that
+    frequent ones have short numbers, and stand in this order in their buckets. A chunk is named by
+    a hash of its rows, so it has the same name whichever task makes it."""
     def rows_of(chunk, number, codes, docs):
+        import xxhash
+
+        pack = _packer()
         words = [w.encode("utf-8", "surrogatepass") for w in number]
         place = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], np.int64)
         order = np.argsort(place, kind="stable")
-        renumbered = np.empty(len(words), np.int64)
-        renumbered[order] = np.arange(len(words))
         bounds = np.searchsorted(place[order], np.arange(buckets + 1))
-        rows = [(-1, varints(renumbered[np.concatenate(codes)]) if codes else b"", np.array(docs, "<i8").tobytes())]
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
+        rows = []
+        if positions_too:
+            about = pack(_lengths_first([place.astype("<u4").tobytes(), np.array(docs, "<i8").tobytes()]))
+            rows.append((-1, varints(np.concatenate(codes)), about))
+        for k in np.flatnonzero(np.diff(bounds)).tolist() if words_too else ():
             rows.append((k, _lengths_first([words[i] for i in order[bounds[k]:bounds[k + 1]].tolist()]), None))
-        k, data, info = zip(*rows)
+        k, data, info = zip(*rows) if rows else ((), (), ())
+        data = [pack(x) for x in data]
         return pa.RecordBatch.from_arrays(
             [pa.array([chunk] * len(rows), pa.int64()), pa.array(k, pa.int32()), pa.array(data, pa.binary()), pa.array(info, pa.binary())],
             names=["chunk", "bucket", "data", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        number, codes, docs, size = {}, [], [], 0
+        import xxhash
+
+        number, codes, docs, size, name = {}, [], [], 0, xxhash.xxh3_64()
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), texts_of(b)):
                 own = split(text)
@@ -138,12 +155,13 @@ def _chunks(split, buckets: int):
                         number[w] = len(number)
                 codes.append(np.fromiter([number[w] for w in own], np.int32, len(own)))
                 docs.append((0 if i is None else i, i is None, len(own)))
+                name.update(f"{i} {len(text)} ".encode() + text.encode("utf-8", "surrogatepass"))
                 size += len(text)
                 if size >= CHUNK:
-                    yield rows_of(chunk, number, codes, docs)
-                    chunk, number, codes, docs, size = chunk + 1, {}, [], [], 0
+                    yield rows_of(name.intdigest() - (1 << 63), number, codes, docs)
+                    number, codes, docs, size, name = {}, [], [], 0, xxhash.xxh3_64()
         if docs:
-            yield rows_of(chunk, number, codes, docs)
+            yield rows_of(name.intdigest() - (1 << 63), number, codes, docs)
 
     return run
 
@@ -152,11 +170,12 @@ def _encode_buckets(words: WordIds):
     """Words of a bucket to their ids. Chunks come one after another; known words are not encoded
     again."""
     def run(batches):
+        pack, unpack = _packer(), _unpacker()
         for b in batches:
             out = []
             for data in b.column("data").to_pylist():
-                own = [w.decode("utf-8", "surrogatepass") for w in _read_parts(data)]
-                out.append(_lengths_first(words.of_words(own)))
+                own = [w.decode("utf-8", "surrogatepass") for w in _read_parts(unpack(data))]
+                out.append(pack(_lengths_first(words.of_words(own))))
             yield pa.RecordBatch.from_arrays(
                 [b.column("chunk"), b.column("bucket"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())],
                 names=["chunk", "bucket", "data", "docs"])
@@ -172,11 +191,18 @@ def _assemble(pieces):
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
-        at = rows.iloc[0]
-        numbers = read_varints(np.frombuffer(at["data"], np.uint8))
-        docs = np.frombuffer(at["docs"], "<i8").reshape(-1, 3)
-        ids = [np.frombuffer(x, "<u4").tolist() for data in rows["data"].iloc[1:] for x in _read_parts(data)]
+        # Chunks of one name have equal rows: their words count once, their documents each time.
+        times = int((rows["bucket"] < 0).sum())
+        rows = rows.drop_duplicates("bucket").sort_values("bucket")
+        at, unpack = rows.iloc[0], _unpacker()
+        numbers = read_varints(np.frombuffer(unpack(at["data"]), np.uint8))
+        place, docs = _read_parts(unpack(at["docs"]))
+        order = np.argsort(np.frombuffer(place, "<u4"), kind="stable").tolist()
+        docs = np.frombuffer(docs, "<i8").reshape(-1, 3)
+        ids = [[]] * len(order)
+        by_bucket = (x for data in rows["data"].iloc[1:] for x in _read_parts(unpack(data)))
+        for k, x in zip(order, by_bucket, strict=True):
+            ids[k] = np.frombuffer(x, "<u4").tolist()
         count = np.array([len(x) for x in ids], np.int64)
         written = [",".join(map(str, x)) for x in ids]
         read = [b"".join([pieces[i] for i in x]) for x in ids]
@@ -189,7 +215,7 @@ def _assemble(pieces):
             out.append((None if null else doc_id, int(count[own].sum()) if n else 0,
                         hashlib.sha256(",".join([written[k] for k in own_list]).encode()).hexdigest(),
                         hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest()))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        frame = pd.DataFrame(out * times, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         return frame.astype({"doc_id": "Int64"})
 
     return run
@@ -208,19 +234,25 @@ def piece_table(path: str) -> list[bytes]:
     return out
 
 
-def encode_chunks(docs: DataFrame, path: str) -> DataFrame:
-    """Rows by chunk: word numbers of positions (bucket -1) and the ids of its words by bucket."""
+def encode_chunks(docs: DataFrame, path: str, repeatable=True) -> DataFrame:
+    """Rows by chunk: word numbers of positions (bucket -1) and the ids of its words by bucket.
+
+    `docs` is read twice, for words and for positions, and must give the same rows in the same order
+    both times, as a scan does; if it does not, the job fails. With `repeatable=False` it is read
+    once, and positions are written beside the words, which takes more disk."""
     spark = docs.sparkSession
     bounded_batches(spark, rows=500)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = spaced_words(special_names(path))
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks(split, buckets), ROWS))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut(source.mapInArrow(_chunks(split, buckets, True, not repeatable), ROWS))
+    positions = source.mapInArrow(_chunks(split, buckets, False, True), ROWS) if repeatable else rows.filter("bucket < 0")
     encoded = (rows.filter("bucket >= 0").repartition("bucket")
                .mapInArrow(_encode_buckets(WordIds(path, split, spaced=True)), ROWS))
-    return encoded.unionAll(rows.filter("bucket < 0"))
+    return encoded.unionAll(positions)
 
 
-def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, repeatable=True) -> DataFrame:
     """Per row: doc_id, number of ids, SHA-256 of the decimal ids joined by commas, and of the text
     that they decode to."""
-    return encode_chunks(docs, path).groupBy("chunk").applyInPandas(_assemble(piece_table(path)), OUT)
+    return encode_chunks(docs, path, repeatable).groupBy("chunk").applyInPandas(_assemble(piece_table(path)), OUT)

@@ -93,6 +93,16 @@ def test_bpe_chunks_meet(make, monkeypatch):
     assert {r.doc_id: r.n_tokens for r in bpe.encode_and_decode(make(rows), BYTE_BPE).collect()} == want
 
 
+def test_bpe_of_unrepeatable_and_repeated_rows(make):
+    rows = [(1, "same text"), (1, "same text"), (2, "other text")]
+    want = sorted((i, len(library(BYTE_BPE).encode(t, add_special_tokens=False).ids)) for i, t in rows)
+    for docs in (make(rows).repartition(3, "text"), make([(1, "same text")]).unionAll(make([(1, "same text")])).unionAll(make([(2, "other text")]))):
+        for repeatable in (True, False):
+            got = bpe.encode_and_decode(docs, BYTE_BPE, repeatable).collect()
+            assert sorted((r.doc_id, r.n_tokens) for r in got) == want
+    assert bpe.encode_and_decode(make([]), BYTE_BPE).count() == 0
+
+
 def test_varints_round_trip():
     v = np.array([0, 1, 127, 128, 300, 1 << 20, (1 << 31) - 1])
     assert bpe.read_varints(np.frombuffer(bpe.varints(v), np.uint8)).tolist() == v.tolist()
