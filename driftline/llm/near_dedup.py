@@ -2,8 +2,9 @@
 
 Every text becomes the set of its word shingles (64-bit hashes) and a MinHash signature. Equal sets
 are one node, whatever their number. Each of TREES sorted orders starts at another place of the
-signature; nodes with the same first DEPTH values form a region. A region with many rows is split at
-the next value, and so on, so its depth adapts to how crowded it is. Candidates are
+signature; nodes with the same first DEPTH values form a region. A region with many rows stays one
+region and also has parts at the next values, whose depth adapts to how crowded it is: links found in
+parts leave fewer pairs of the region to compare. Candidates are
 
  1. the neighbours of a node in each order, that is those with the longest common prefixes;
  2. nodes of other components against the best linked nodes of a region's components;
@@ -41,7 +42,7 @@ HASHES = 64
 TREES = 20
 DEPTH = 3
 DEEPEST = 9
-# A region above this many rows is split at the next value of the signature.
+# A region above this many rows also has parts at the next value of the signature, and is compared in blocks.
 CROWD = 64
 NEIGHBOURS = 2
 # Signatures that agree in fewer places (5 standard deviations below 0.8) are not confirmed.
@@ -168,13 +169,13 @@ def _neighbours(first_pass: bool):
             yield EDGE, key, rows[i][0], rows[i][1], None
         if n < 2 and not edges:
             return
-        if n <= CROWD:
-            for _, node in rows:
-                yield MEMBER, key, None, node, None
+        for _, node in rows:
+            yield MEMBER, key, None, node, None
         if n <= CROWD and not edges:
             return
-        # Split at deeper values until few share them. Rows of a region that continues in another
-        # task come out at all depths, for the other task may have split further.
+        # Besides the region, its parts at deeper values until few share them: their links leave
+        # less of the region to compare. Rows of a region that continues in another task come out
+        # at all depths, for the other task may have split further.
         run = rows
         for depth in range(DEPTH + 1, DEEPEST + 1):
             count = {}
@@ -184,9 +185,8 @@ def _neighbours(first_pass: bool):
             left = []
             for row in run:
                 prefix = row[0][:size]
-                if count[prefix] <= CROWD or depth == DEEPEST:
-                    if count[prefix] > 1 or edges:
-                        yield MEMBER, xxhash.xxh3_64_intdigest(prefix, seed=key & 0xFFFFFFFF) - (1 << 63), None, row[1], None
+                if count[prefix] <= CROWD and (count[prefix] > 1 or edges):
+                    yield MEMBER, xxhash.xxh3_64_intdigest(prefix, seed=key & 0xFFFFFFFF) - (1 << 63), None, row[1], None
                 if count[prefix] > CROWD or edges:
                     left.append(row)
             run = left
@@ -213,8 +213,7 @@ def _neighbours(first_pass: bool):
                     key, rows = k, []
                 rows.append((rest, node))
                 if len(rows) >= 8192:
-                    # A very crowded region is handled in slices, whose rows meet at greater depths
-                    # and through the components.
+                    # A very crowded region is handled in slices, whose rows meet as its members.
                     out += flush(key, rows, set(range(NEIGHBOURS)) | set(range(len(rows) - NEIGHBOURS, len(rows))))
                     first = False
                     rows = rows[-NEIGHBOURS:]

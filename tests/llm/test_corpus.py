@@ -55,6 +55,20 @@ def test_crowded_regions(make, monkeypatch):
     compare(make, rows)
 
 
+def test_crowded_regions_keep_all_members(make, spark):
+    # The nodes share the first values of one order and part at the next.
+    rng = np.random.default_rng(5)
+    first = rng.bytes(4 * near_dedup.DEPTH)
+    n = 3 * near_dedup.CROWD
+    rest = 4 * (near_dedup.HASHES - near_dedup.DEPTH)
+    make([])
+    nodes = spark.createDataFrame([(k, first + rng.bytes(rest)) for k in range(n)], "id bigint, sig binary")
+    regions = {}
+    for m in near_dedup.forest(nodes)[1].collect():
+        regions.setdefault(m.key, set()).add(m.id)
+    assert set(range(n)) in regions.values()
+
+
 def test_blocks_find_links_between_components(make, spark):
     rows = cluster(4, 30, 1, 100, 2) + [(100, prose(8, 100))]
     docs = make(rows)
