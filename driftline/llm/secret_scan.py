@@ -3,7 +3,9 @@
 Base patterns give spans of the kinds assign, access and hex. The kind `novel` is found by zstandard:
 a candidate (a long string of mixed character classes, outside base spans, shortly after a sensitive
 word) costs as many bytes as it adds to the compressed surroundings, with a dictionary of the words
-that are common around candidates in the whole corpus. Strings that stay incompressible are reported.
+that are common around candidates in the whole corpus. Candidates and base spans are no part of
+surroundings or dictionary, and a text counts once for the dictionary however often it repeats, so
+repeated secrets stay novel. Strings that stay incompressible are reported.
 
 Defined cases: null and empty texts have no spans; spans are in code points, end exclusive; repeated
 rows are scanned row by row; an empty table gives an empty result and an empty dictionary.
@@ -78,21 +80,49 @@ def candidates(text: str, taken, cfg: Novelty) -> list[tuple]:
     return out
 
 
+def blanked(text: str, spans) -> str:
+    """The text with spaces in place of the (start, end) spans, so that positions stay."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if b > at:
+            a = max(a, at)
+            out += [text[at:a], " " * (b - a)]
+            at = b
+    return "".join(out) + text[at:]
+
+
+def surroundings(text: str, hidden: str, a: int, b: int, cfg: Novelty) -> str:
+    """What stands around a candidate without candidates, base spans and other copies of it, so that
+    no secret explains itself or another. `hidden` is the blanked text."""
+    near = hidden[max(0, a - cfg.around):a] + " " + hidden[b:b + cfg.around]
+    return near.replace(text[a:b], " ")
+
+
 def build_dictionary(docs: DataFrame, cfg=Novelty()) -> bytes:
-    """Words common around candidates, over all documents, the most common last (near matches are
-    cheaper). Bounded by `dictionary_bytes`."""
-    def surroundings(batches):
+    """Words common around candidates, over all distinct documents, the most common last (near
+    matches are cheaper). Bounded by `dictionary_bytes`."""
+    def words_around(batches):
         for b in batches:
-            words = []
+            words, owners = [], []
             for text in b.column("text").to_pylist():
                 text = text or ""
-                for a, e in candidates(text, base_spans(text), cfg):
-                    near = text[max(0, a - cfg.around):a] + " " + text[e:e + cfg.around]
-                    words += {w for w in near.split() if 3 <= len(w) <= 64}
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+                taken = base_spans(text)
+                found = candidates(text, taken, cfg)
+                if not found:
+                    continue
+                hidden = blanked(text, [*found, *((s, e) for _, s, e in taken)])
+                near = set()
+                for a, e in found:
+                    near.update(w for w in surroundings(text, hidden, a, e, cfg).split() if 3 <= len(w) <= 64)
+                for a, e in found:
+                    # A copy may stand near another candidate only.
+                    near = {w for w in near if text[a:e] not in w}
+                words += near
+                owners += [hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()] * len(near)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.binary()), pa.array(words, pa.string())], names=["owner", "word"])
 
     bounded_batches(docs.sparkSession)
-    common = (docs.select("text").filter(F.col("text").rlike("[0-9]")).mapInArrow(surroundings, "word string")
+    common = (docs.select("text").filter(F.col("text").rlike("[0-9]")).mapInArrow(words_around, "owner binary, word string").distinct()
               .groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word")
               .limit(cfg.dictionary_bytes // 4).collect())
     kept, size = [], 0
@@ -126,10 +156,10 @@ class Scanner:
             return []
         if "measure" not in self.__dict__:
             self.measure = self._size()
-        out = []
+        out, hidden = [], blanked(text, [*found, *((s, e) for _, s, e in taken)])
         for a, b in found:
-            before, after = text[max(0, a - self.cfg.around):a], text[b:b + self.cfg.around]
-            added = self.measure(before + after + text[a:b]) - self.measure(before + after)
+            near = surroundings(text, hidden, a, b, self.cfg)
+            added = self.measure(near + text[a:b]) - self.measure(near)
             if added >= self.cfg.least and added >= self.cfg.ratio * (b - a):
                 out.append((3, a, b))
         return out

@@ -232,6 +232,25 @@ def test_secrets_by_novelty(make):
     assert masked[2].text == rows[1][1] and masked[3].text == rows[2][1]
 
 
+def test_repeated_secrets_stay_novel(make):
+    one, two = "Zk9/Qw7xT2pLm4VbN8cRd5YhJ3", "t7Gh2KsPq9Xw4Lb8Nz6Vc1Jd5Ry"
+    twice = f"the private key is {one} {prose(1, 30)} private key {one} {prose(2, 9)} then {one}"
+    pair = f"the bearer is {one} {prose(3, 30)} the credential is {two} {prose(4, 30)}"
+    docs = make([(1, twice)] + [(10 + k, pair) for k in range(30)] + [(50 + k, f"{pair} {prose(60 + k, 9)}") for k in range(30)])
+    dictionary = secret_scan.build_dictionary(docs)
+    assert one.encode() not in dictionary and two.encode() not in dictionary
+    scanner = secret_scan.Scanner(dictionary)
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.scan_secrets(docs, scanner).collect()}
+    at, again = twice.index(one), twice.index(one, twice.index(one) + 1)
+    assert got[1] == [f"novel:{x}:{x + len(one)}" for x in (at, again)]
+    assert all(got[i] == [f"novel:{pair.index(x)}:{pair.index(x) + len(x)}" for x in (one, two)] for i in (10, 50))
+
+
+def test_copies_count_once_for_the_dictionary(make):
+    text = f"the private key is Zk9/Qw7xT2pLm4VbN8cRd5YhJ3 onlyhere {prose(1, 5)}"
+    assert secret_scan.build_dictionary(make([(k, text) for k in range(9)])) == b""
+
+
 @pytest.mark.parametrize("spans,want", [([(0, 1, 3)], "a[SECRET]d"), ([(0, 0, 2), (1, 1, 4)], "[SECRET]"), ([(0, 0, 1), (0, 3, 4)], "[SECRET]bc[SECRET]")])
 def test_mask(spans, want):
     assert secret_scan.mask("abcd", spans) == want
