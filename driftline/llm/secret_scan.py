@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, and strings near sensitive words that a primed compressor cannot explain.
 
 Base patterns give spans of the kinds assign, access and hex. The kind `novel` is found by zstandard:
-a candidate (a long string of mixed character classes, outside base spans, shortly after a sensitive
+a candidate (a long string outside base spans, shortly after a sensitive
 word) costs as many bytes as it adds to the compressed surroundings, with a dictionary of the words
 that are common around candidates in the whole corpus. Candidates and base spans are no part of
 surroundings or dictionary, and a text counts once for the dictionary however often it repeats, so
@@ -59,17 +59,11 @@ def base_spans(text: str) -> list[tuple]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
-def _mixed(s: str) -> bool:
-    digits = sum(c.isdigit() for c in s)
-    return digits >= 2 and len(s) - digits >= 4 and sum(c.isalpha() for c in s) >= 4
-
-
 def candidates(text: str, taken, cfg: Novelty) -> list[tuple]:
-    """(start, end) of mixed strings shortly after a sensitive word and outside the taken spans."""
+    """(start, end) of long strings shortly after a sensitive word and outside the taken spans. What
+    characters they have is left to the compressor."""
     out, spans, k = [], sorted((s, e) for _, s, e in taken), 0
     for m in CANDIDATE.finditer(text):
-        if not _mixed(m.group()):
-            continue
         a, b = m.span()
         while k < len(spans) and spans[k][1] <= a:
             k += 1
@@ -122,7 +116,7 @@ def build_dictionary(docs: DataFrame, cfg=Novelty()) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.binary()), pa.array(words, pa.string())], names=["owner", "word"])
 
     bounded_batches(docs.sparkSession)
-    common = (docs.select("text").filter(F.col("text").rlike("[0-9]")).mapInArrow(words_around, "owner binary, word string").distinct()
+    common = (docs.select("text").mapInArrow(words_around, "owner binary, word string").distinct()
               .groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word")
               .limit(cfg.dictionary_bytes // 4).collect())
     kept, size = [], 0

@@ -246,6 +246,19 @@ def test_repeated_secrets_stay_novel(make):
     assert all(got[i] == [f"novel:{pair.index(x)}:{pair.index(x) + len(x)}" for x in (one, two)] for i in (10, 50))
 
 
+def test_secrets_need_no_digits(make):
+    keys = ["QwZkxTpLmRvBnHcYdJsG", "kXwQzRtYpLmVbNcHdJ7f"]
+    rows = [(k, f"{prose(k, 200)} the bearer is {key} {prose(k + 50, 200)}") for k, key in enumerate(keys)]
+    plain = "The responsibilities of the team and its communication were described in the documentation of this organisation. "
+    rows.append((9, plain * 2 + "A private key is administration and documentation-communication of responsibilities. " + plain))
+    docs = make(rows)
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs, secret_scan.Scanner(secret_scan.build_dictionary(docs))).collect()}
+    for (k, text), key in zip(rows, keys):
+        assert got[k] == f"novel:{text.index(key)}:{text.index(key) + len(key)}"
+    digitless = make([(k, f"the bearer is {keys[0]} ordinary {prose(k, 4)}") for k in range(3)])
+    assert got[9] == "" and b"ordinary" in secret_scan.build_dictionary(digitless)
+
+
 def test_copies_count_once_for_the_dictionary(make):
     text = f"the private key is Zk9/Qw7xT2pLm4VbN8cRd5YhJ3 onlyhere {prose(1, 5)}"
     assert secret_scan.build_dictionary(make([(k, text) for k in range(9)])) == b""
