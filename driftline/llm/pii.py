@@ -42,13 +42,11 @@ STRIP = ".,;:!?()[]{}<>\"'"
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """`seeds`: different seed strings a pattern needs; `patterns`: the most patterns kept, those
-    with the most seeds; `good`: the least score of a pattern that counts; `sure`: the least
-    confidence of a candidate that is reported."""
+    """`seeds`: different seed strings a pattern needs; `good`: the least score of a pattern that
+    counts; `sure`: the least confidence of a candidate that is reported."""
 
     rounds: int = 3
     seeds: int = 5
-    patterns: int = 20_000
     good: float = 0.5
     sure: float = 0.8
 
@@ -146,7 +144,7 @@ def learn_patterns(docs: DataFrame, cfg=Bootstrap()) -> dict[str, float]:
             rows = set()
             for text in b.column("text").to_pylist():
                 for _, _, string, patterns, seed in candidates(text, base_spans(text)):
-                    rows.update((p, string, seed) for p in patterns if len(p) <= 160)
+                    rows.update((p, string, seed) for p in patterns)
             p, s, f = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(s, pa.string()), pa.array(f, pa.bool_())],
                                              names=["pattern", "string", "seed"])
@@ -154,7 +152,7 @@ def learn_patterns(docs: DataFrame, cfg=Bootstrap()) -> dict[str, float]:
     graph = cut(may.mapInArrow(edges, "pattern string, string string, seed boolean")
                 .groupBy("pattern", "string").agg(F.max("seed").alias("seed")))
     seeded = (graph.filter("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= cfg.seeds)
-              .orderBy(F.desc("seeds"), "pattern").limit(cfg.patterns).select("pattern").collect())
+              .select("pattern").collect())
     chosen = frozenset(r.pattern for r in seeded)
     if not chosen:
         return {}

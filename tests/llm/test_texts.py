@@ -200,6 +200,16 @@ def test_personal_data_is_bootstrapped(make):
     assert "found:" in found[100] and "found:" not in found[101] and found[5].startswith("email:")
 
 
+def test_all_context_patterns_are_kept(make):
+    def name(k):
+        return "".join(chr(97 + k // 26 ** j % 26) for j in range(4))
+    rows = [(j, " ".join(f"{name(k)} p{k}x{j}@m.cc" for k in range(20_100))) for j in range(6)]
+    long = "w" * 200
+    rows += [(10 + j, f"rare: q{j}@m.cc {long} r{j}@m.cc") for j in range(5)]
+    got = pii.learn_patterns(make(rows))
+    assert "L rare:" in got and f"L {long}" in got and f"L {name(20_099)}" in got
+
+
 SECRETS = ["password = hunter22 passwd:abc", "Api_Key: \"abcdef.ghi-jk\" TOKEN=12345", "AKIA" + "A1" * 8 + " AKIA123", "deadbeef" * 4, "a" * 23,
            "secret=ſecret token == x"]
 
