@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, fingerprint, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
+from driftline.llm import bpe, byte_words, fingerprint, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
 # Vocabularies are read where they are installed and passed on by path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES = {}
 ORACLES = {}
@@ -112,3 +113,8 @@ def op8_html_text(spark, sf):
 def op4_pii(spark, sf):
     docs = table(spark, sf, "documents")
     return pii.find_personal_data(docs, pii.learn_patterns(docs))
+
+
+@query
+def op11_byte_words(spark, sf):
+    return byte_words.encode_and_decode(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
