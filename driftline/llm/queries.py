@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, byte_words, fingerprint, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
+from driftline.llm import bpe, byte_words, fingerprint, hard_negatives, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
 # Vocabularies are read where they are installed and passed on by path.
@@ -118,3 +118,26 @@ def op4_pii(spark, sf):
 @query
 def op11_byte_words(spark, sf):
     return byte_words.encode_and_decode(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.whole_components(F.col("embedding")).alias("q"))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS r FROM s WHERE alike QUALIFY r <= 5)
+SELECT p.anchor_id, p.other AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+       s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
