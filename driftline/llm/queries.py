@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, byte_words, fingerprint, hard_negatives, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
+from driftline.llm import alignment, bpe, byte_words, fingerprint, hard_negatives, html_text, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, toxicity
 from driftline.llm.common import held_out, table
 
 # Vocabularies are read where they are installed and passed on by path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {}
 ORACLES = {}
@@ -141,3 +142,8 @@ SELECT p.anchor_id, p.other AS positive_id,
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
 QUALIFY rank <= 10
 """
+
+
+@query
+def op13_alignment(spark, sf):
+    return alignment.align(table(spark, sf, "documents"), BYTE_BPE, PIECE_BPE)
