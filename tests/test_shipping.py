@@ -4,7 +4,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT
+from tests_util import ROOT
 
 SCRIPT = f"""
 import sys
