@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 
 import regex
@@ -9,6 +10,11 @@ import regex
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("bcdfgaeiou") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+
 def words(text):
     return WORD.findall(text or "")
 

@@ -1,11 +1,12 @@
 import os
-import random
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from brute import prose  # noqa: E402
+
 from driftline.session import checkpoint_dir  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -22,11 +23,6 @@ def make(spark):
     return docs
 
 
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join("".join(r.choice("bcdfgaeiou") for _ in range(r.randint(2, 7))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Null and empty texts, null ids, repeated rows, white space, a very long text."""

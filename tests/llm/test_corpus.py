@@ -5,8 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import article, near_components
-from conftest import prose
+from brute import article, near_components, prose
 
 import corpus_pipeline
 from driftline.llm import components, html_text, near_dedup, quality_model, toxicity

@@ -5,8 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import pii_spans, secret_spans, sha, words, written
-from conftest import prose
+from brute import pii_spans, prose, secret_spans, sha, words, written
 from tokenizers import Tokenizer
 
 from driftline.llm import bpe, fingerprint, packing, pii, quality_rules, secret_scan
