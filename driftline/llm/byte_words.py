@@ -2,13 +2,15 @@
 
 Texts are split at white space into words, which are runs of whole matches of the tokenizer's
 pattern. A chunk of documents gives each of its distinct words once, and the word numbers of all
-positions. Words are dealt by their hash, made distinct over the whole corpus, and every distinct
-word is encoded once, each match of the pattern separately. Their ids are exploded and joined with
-the token-byte table, which gives what they decode to. Ids and decoded bytes are joined back to the
-chunks that hold the word, where positions put documents together again.
+positions. Words are dealt over the corpus by their hash; a bucket of words reads those of all chunks
+one after another and encodes every distinct word once, each match of the pattern separately. Their
+ids, one after another with their places, meet the token-byte table, sorted by id, which gives what
+they decode to. Ids and decoded bytes go back to the chunks that hold the word, where positions put
+documents together again.
 
-The only tables that do not grow with the data are broadcast: the token-byte table has one row per
-id of the vocabulary. A chunk sends a word once however often it has it, so no word is hot.
+Words and positions travel packed: a row per word of a chunk took twice the disk (README). A chunk
+sends a word once however often it has it, so no word is hot. A task holds one chunk, or the distinct
+words of one bucket; there are four buckets to a shuffle partition, so more partitions make them smaller.
 
 Defined cases: null and empty texts have no ids and decode to nothing; strings of special tokens
 are plain text; repeated rows and ids are encoded row by row; a null doc_id stays null; a document is
@@ -24,9 +26,9 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftline.llm.bpe import read_varints, varints
 from driftline.llm.common import bounded_batches, texts_of
@@ -46,21 +48,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of words by the library, opened once per task."""
+    """Ids of words by the library, and the bytes of ids by the token-byte table; opened once per task."""
 
     def __init__(self, path: str, pattern: str):
         self.path, self.pattern, self.tok = path, pattern, None
 
     def __getstate__(self):
-        return {**self.__dict__, "tok": None}
+        return {"path": self.path, "pattern": self.pattern, "tok": None}
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        if self.tok is None:
-            import tiktoken
+    def open(self):
+        import tiktoken
+
+        ranks = read_ranks(self.path)
+        self.tok = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        table = sorted((i, piece) for piece, i in ranks.items())
+        self.ids = np.array([i for i, _ in table], np.int64)
+        self.pieces = pa.array([piece for _, piece in table], pa.binary())
 
-            self.tok = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=read_ranks(self.path), special_tokens={})
+    def encode(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Per word its ids as little-endian unsigned 32-bit numbers, and the bytes they decode to."""
+        if self.tok is None:
+            self.open()
         one = self.tok.encode_ordinary
-        return [one(w) for w in words]
+        ids = [one(w) for w in words]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+        met = self.pieces.take(pa.array(np.searchsorted(self.ids, flat)))
+        ends = np.append(0, np.cumsum(np.asarray(pc.binary_length(met)), dtype=np.int64))
+        places = np.cumsum(sizes)
+        decoded = _cut_up(np.diff(ends[places], prepend=0), b"".join(met.to_pylist()), 1)
+        return list(zip(_cut_up(sizes, flat.astype("<u4").tobytes(), 4), decoded))
+
+
+def _cut_up(sizes: np.ndarray, data, width: int) -> list[bytes]:
+    """The pieces of `data` that have these sizes, one after another."""
+    ends = (np.cumsum(sizes, dtype=np.int64) * width).tolist()
+    raw = bytes(data)
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _flat(parts) -> bytes:
@@ -69,16 +93,31 @@ def _flat(parts) -> bytes:
     return np.array([len(raw), *map(len, raw)], "<i8").tobytes() + b"".join(raw)
 
 
+def _packed(*lists) -> bytes:
+    """Lists of byte strings: the sizes and the bytes of each list."""
+    return _flat([x for own in lists for x in (np.array([len(w) for w in own], "<u4"), np.frombuffer(b"".join(own), np.uint8))])
+
+
+def _unpacked(sizes, data) -> list[bytes]:
+    return _cut_up(np.frombuffer(sizes, "<u4"), data, 1)
+
+
 def _parts(data: bytes) -> list[memoryview]:
     n = int(np.frombuffer(data, "<i8", 1)[0])
     cuts = np.cumsum([8 * (n + 1), *np.frombuffer(data, "<i8", n, 8).tolist()]).tolist()
     return [memoryview(data)[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-WORDS = "chunk bigint, bucket int, words array<string>"
 PARTS = "chunk bigint, bucket int, data binary, docs binary"
 
 
+def _rows(rows):
+    chunk, bucket, data, docs = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip((chunk, bucket, data, docs), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+        names=["chunk", "bucket", "data", "docs"])
+
+
 def _chunks(buckets: int, positions: bool):
     """Per chunk a row per bucket with its distinct words; or, with `positions`, one row with the
     word numbers of all positions and, in `docs`, the bucket of each word and the id, null flag and
@@ -92,24 +131,22 @@ def _chunks(buckets: int, positions: bool):
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         words = list(number)
         order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-        words = [words[k] for k in order.tolist()]
-        place = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words], np.int64)
-        chunk = name.intdigest() - (1 << 63)
+        words = [words[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
+        place = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], np.int64)
+        chunk, pack = name.intdigest() - (1 << 63), zstandard.ZstdCompressor(level=3).compress
         if positions:
             rank = np.empty(len(words), np.int64)
             rank[order] = np.arange(len(words))
-            pack = zstandard.ZstdCompressor(level=3).compress
             about = _flat([place.astype("<u4"), np.array(docs, "<i8").reshape(-1, 3)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([pack(varints(rank[flat]))], pa.binary()),
-                 pa.array([pack(about)], pa.binary())], names=["chunk", "bucket", "data", "docs"])
+            return _rows([(chunk, -1, pack(varints(rank[flat])), pack(about))])
         by = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[by], np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(bounds))
-        dealt = pa.array([words[k] for k in by.tolist()], pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(np.append(bounds[some], len(words)), pa.int32()), dealt)
-        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), lists],
-                                          names=["chunk", "bucket", "words"])
+        bounds = np.searchsorted(place[by], np.arange(buckets + 1)).tolist()
+        by, rows = by.tolist(), []
+        for k in range(buckets):
+            if bounds[k] < bounds[k + 1]:
+                own = [words[i] for i in by[bounds[k]:bounds[k + 1]]]
+                rows.append((chunk, k, pack(_packed(own)), None))
+        return _rows(rows)
 
     def run(batches):
         import xxhash
@@ -138,74 +175,32 @@ def _chunks(buckets: int, positions: bool):
     return run
 
 
-def token_bytes(spark, path: str) -> DataFrame:
-    """(id, piece): the bytes of every id of the vocabulary."""
-    ranks = read_ranks(path)
-    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "piece": pa.array(ranks.keys(), pa.binary())}))
-
-
-def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(bucket, word, ids, piece) of distinct (bucket, word): its ids and the bytes they decode to.
-    The result lies by bucket, as the words do, so that they meet without another shuffle."""
-    encoder = Encoder(path, pattern)
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(column: pa.Array) -> pa.Array:
-        return pa.array(encoder.encode(column.to_pylist()), pa.list_(pa.int32()))
-
-    encoded = words.withColumn("ids", encode("word")).repartition("bucket")
-    # Every word has ids; the outer form only keeps the optimizer from testing that, which would
-    # encode the words before they are distinct.
-    exploded = encoded.select("bucket", "word", "ids", F.posexplode_outer("ids").alias("at", "id"))
-    return (exploded.join(F.broadcast(token_bytes(words.sparkSession, path)), "id").groupBy("bucket", "word")
-            .agg(F.first("ids").alias("ids"), F.expr("listagg(piece, X'') WITHIN GROUP (ORDER BY at)").alias("piece")))
-
+def _encode_buckets(encoder: Encoder):
+    """Rows sorted by bucket: words to their ids and decoded bytes. Chunks of a bucket come one after
+    another; what is known from earlier ones is not encoded again."""
+    def run(batches):
+        import zstandard
 
-def _pack_rows(batches):
-    """Rows (chunk, bucket, k, ids, piece) sorted by the first three to one row per chunk and bucket."""
-    import zstandard
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        at, known = None, {}
+        for b in batches:
+            out = []
+            for chunk, bucket, data in zip(*(b.column(c).to_pylist() for c in ("chunk", "bucket", "data"))):
+                if bucket != at:
+                    at, known = bucket, {}
+                words = _unpacked(*_parts(unpack(data)))
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encoder.encode([w.decode("utf-8", "surrogatepass") for w in new])))
+                ids, pieces = zip(*[known[w] for w in words])
+                out.append((chunk, bucket, pack(_packed(ids, pieces)), None))
+            yield _rows(out)
 
-    pack = zstandard.ZstdCompressor(level=3).compress
-    key, open_parts = None, []
-
-    def closed():
-        lists = [pa.concat_arrays([p[c] for p in open_parts]) for c in (0, 1)]
-        ids, pieces = lists
-        data = _flat([np.diff(ids.offsets.to_numpy()).astype("<u4"), ids.flatten().to_numpy().astype("<u4"),
-                      np.asarray(pa.compute.binary_length(pieces)).astype("<u4"), np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)])
-        return key[0], key[1], pack(data)
-
-    for b in batches:
-        chunk, bucket = (b.column(c).to_numpy() for c in ("chunk", "bucket"))
-        starts = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (bucket[1:] != bucket[:-1])]) if b.num_rows else []
-        out = []
-        for s, e in zip(starts, [*starts[1:], b.num_rows]):
-            own = int(chunk[s]), int(bucket[s])
-            if own != key:
-                if open_parts:
-                    out.append(closed())
-                key, open_parts = own, []
-            open_parts.append((b.column("ids").slice(s, e - s), b.column("piece").slice(s, e - s)))
-        yield _packed(out)
-    if open_parts:
-        yield _packed([closed()])
-
-
-def _packed(rows):
-    chunk, bucket, data = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary()),
-                                       pa.nulls(len(rows), pa.binary())], names=["chunk", "bucket", "data", "docs"])
+    return run
 
 
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def _cut_up(sizes: np.ndarray, data, width: int) -> list[bytes]:
-    ends = np.cumsum(sizes, dtype=np.int64) * width
-    raw = bytes(data)
-    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-
 def _assemble(rows: pa.Table) -> pa.Table:
     """All rows of a chunk to a row per document."""
     import zstandard
@@ -221,10 +216,9 @@ def _assemble(rows: pa.Table) -> pa.Table:
     ids, pieces, count = [], [], []
     for part in data[1:]:
         n_ids, flat, n_bytes, raw = _parts(unpack(part))
-        n_ids = np.frombuffer(n_ids, "<u4")
-        ids += _cut_up(n_ids, flat, 4)
-        pieces += _cut_up(np.frombuffer(n_bytes, "<u4"), raw, 1)
-        count.append(n_ids)
+        ids += _unpacked(n_ids, flat)
+        pieces += _unpacked(n_bytes, raw)
+        count.append(np.frombuffer(n_ids, "<u4") // 4)
     if len(ids) != len(place):
         raise ValueError(f"{len(place) - len(ids)} words of a chunk are missing")
     at = np.empty(len(place), np.int64)
@@ -256,10 +250,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, repeatable=True)
     # The partition's number tells equal chunks apart.
     source = (source if repeatable else cut(source)).withColumn("at", F.spark_partition_id())
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = (source.mapInArrow(_chunks(buckets, False), WORDS).repartition("bucket")
-             .select("chunk", "bucket", F.posexplode("words").alias("k", "word")))
-    encoded = encode_words(words.select("bucket", "word").distinct(), path, pattern)
-    back = (words.join(encoded, ["bucket", "word"]).select("chunk", "bucket", "k", "ids", "piece")
-            .sortWithinPartitions("chunk", "bucket", "k").mapInArrow(_pack_rows, PARTS))
+    words = source.mapInArrow(_chunks(buckets, False), PARTS).repartition("bucket").sortWithinPartitions("bucket")
+    back = words.mapInArrow(_encode_buckets(Encoder(path, pattern)), PARTS)
     positions = source.mapInArrow(_chunks(buckets, True), PARTS)
     return back.unionAll(positions).groupBy("chunk").applyInArrow(_assemble, OUT)
