@@ -27,15 +27,16 @@ def verify(src_hashes: DataFrame, dst_hashes: DataFrame) -> DataFrame:
 
 
 def verify_trees(s: DataFrame, d: DataFrame, src_content: DataFrame, dst_content: DataFrame,
-                 chain=FilterChain()) -> DataFrame:
+                 chain=FilterChain(), hashes=file_hashes) -> DataFrame:
     """Verify the regular destination files that pass the filter (each path on its own, no
     pruning) and have a source entry. Files missing on either side are no failure; a file whose
-    content cannot be read is."""
+    content cannot be read is. `hashes` gives (rel_path, hash); `content.tree_hashes` serves contents in
+    chunks, for files of any size."""
     files = (d.filter((F.col("file_type") == "regular") & chain.matches()).select("rel_path")
               .join(s.select("rel_path"), "rel_path", "left_semi"))
     # The rules need the path only, so excluded files are never hashed.
     wanted = FilterChain(chain.rules).matches(is_dir=F.lit(False))
-    src, dst = (file_hashes(c.filter(wanted)).withColumnRenamed("hash", n)
+    src, dst = (hashes(c.filter(wanted)).withColumnRenamed("hash", n)
                 for c, n in ((src_content, "s"), (dst_content, "d")))
     return _compare(files.join(src, "rel_path", "left").join(dst, "rel_path", "left"))
 

@@ -184,6 +184,19 @@ def _with(ctes, select):
     return f"WITH {ctes}\n{select}"
 
 
+def _chunked(files, name, n=1024):
+    return f"""{name} AS (SELECT rel_path, size, k AS chunk_idx, k * {n} AS "offset", content[k * {n} + 1 : k * {n} + {n}] AS bytes
+      FROM (SELECT *, unnest(range(greatest(1, (size + {n - 1}) // {n}))) AS k FROM {files}))"""
+
+
+def _tree_hash(chunks, name, fanout=4):
+    return f"""{name} AS (SELECT rel_path, sha256(string_agg(h, '' ORDER BY node)) AS hash FROM (SELECT rel_path, chunk_idx // {fanout} AS node,
+      sha256(string_agg(sha256(bytes), '' ORDER BY chunk_idx)) AS h FROM {chunks} GROUP BY ALL) GROUP BY rel_path)"""
+
+
+_CHUNKS = f"{_FILES}, {_chunked('src_files', 'sc')}, {_chunked('dst_files', 'dc')}"
+
+
 ORACLES = {
     "src_01_read_tree": """SELECT concat('source=', source) AS rel_path, 'dir' AS file_type FROM documents GROUP BY source
         UNION ALL SELECT concat('source=', source, '/lang=', lang), 'dir' FROM documents GROUP BY source, lang""",
@@ -192,6 +205,8 @@ ORACLES = {
     "src_03_load_manifest": _with(_TREES, """SELECT file_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes,
         max(mtime_ns) AS newest_ns FROM dst GROUP BY file_type"""),
     "src_04_read_content": "SELECT concat('source=', source) AS dir, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source",
+    "src_04_read_chunks": """SELECT concat('source=', source) AS dir, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS bounded, true AS complete
+        FROM documents GROUP BY source""",
     "src_05_read_events": _with(_EV, """SELECT type, worker, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, count(error) AS errors,
         max(epoch_us(ts)) AS last_us, max(seq) AS last_seq FROM ev GROUP BY type, worker"""),
     "snk_01_write_table": _with(_TREES, "SELECT rel_path, file_type, size, mtime_ns FROM dst"),
@@ -245,6 +260,14 @@ ORACLES = {
         FROM src WHERE file_type = 'regular' AND nlink > 1 GROUP BY dev, ino HAVING count(*) > 1"""),
     "agg_04_signatures": _with(f"{_FILES}, {_blocks('src_files', _AUTO, 'sb')}",
         """SELECT rel_path, block_idx, "offset", CAST(length AS INTEGER) AS length, block_size, sha256(bytes) AS strong FROM sb"""),
+    "agg_05_tree_hashes": _with(f"{_FILES}, {_chunked('src_files', 'sc')}, {_tree_hash('sc', 'sh')}", "SELECT * FROM sh"),
+    "joi_08_rebuild_chunks": _with(f"{_FILES}, {_chunked('src_files', 'sc')}",
+        """SELECT rel_path, size, chunk_idx, "offset", sha256(bytes) AS hash FROM sc WHERE size > 0"""),
+    "joi_04_differing_chunks": _with(_CHUNKS, """SELECT coalesce(a.rel_path, b.rel_path) AS rel_path, coalesce(a.chunk_idx, b.chunk_idx) AS chunk_idx,
+        coalesce(a."offset", b."offset") AS "offset" FROM sc a FULL JOIN dc b ON a.rel_path = b.rel_path AND a.chunk_idx = b.chunk_idx
+        WHERE a.bytes IS DISTINCT FROM b.bytes AND coalesce(a.rel_path, b.rel_path) IN (SELECT rel_path FROM src_files JOIN dst_files USING (rel_path))"""),
+    "joi_04_verify_chunks": _with(f"{_CHUNKS}, {_tree_hash('sc', 'sh')}, {_tree_hash('dc', 'dh')}", f"""SELECT rel_path, sh.hash AS src_hash, dh.hash AS dst_hash,
+        CASE WHEN sh.hash = dh.hash THEN 'ok' ELSE 'mismatch' END AS status FROM dst_files d JOIN sh USING (rel_path) JOIN dh USING (rel_path) WHERE {_keep('d.')}"""),
     "agg_05_file_hashes": _with(_FILES, "SELECT rel_path, sha256(content) AS hash FROM src_files"),
     "agg_06_delta_stats": _with(f"{_FILES}, {_MATCH}", """SELECT rel_path, count(*) FILTER (block_idx >= 0) AS matched_blocks,
         CAST(coalesce(sum(len) FILTER (block_idx < 0), 0) AS BIGINT) AS literal_bytes, CAST(sum(len) AS BIGINT) AS bytes FROM ops GROUP BY rel_path"""),
@@ -371,4 +394,5 @@ ORACLES = {
         FROM ev WHERE type = 'VerifyFailed' GROUP BY run_id"""),
 }
 # The same result whatever the chunks.
-ORACLES["udf_01_match_chunks"] = ORACLES["agg_06_delta_stats"]
+ORACLES["udf_01_match_chunks"] = ORACLES["udf_01_match_chunked"] = ORACLES["agg_06_delta_stats"]
+ORACLES["agg_04_chunked_signatures"] = ORACLES["agg_04_signatures"]

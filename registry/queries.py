@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from driftline.functions import paths
 from driftline.functions.globs import filter_chain, glob_col, size_bounds
-from driftline.operators import delta, events, filtering, hardlinks, packing, progress
+from driftline.operators import content, delta, events, filtering, hardlinks, packing, progress
 from driftline.plans import sync, verify
 from driftline.plans.delta_sync import delta_sync
 from driftline.plans.multi import Source, plan_sources
 from driftline.session import cut, scratch
-from driftline.sources import tables, tree
+from driftline.sources import chunks, tables, tree
 from driftline.streaming import events as live
 from driftline.streaming import planning, sinks, stateful
 from registry import samples as x
@@ -72,6 +72,17 @@ def src_04_read_content(spark, sf):
         F.sum(F.octet_length("content")).alias("bytes"))
 
 
+@query
+def src_04_read_chunks(spark, sf):
+    """The same files read in chunks by many tasks; `complete` files have all their chunks."""
+    out = scratch(spark, "content")
+    x.table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(out)
+    read = chunks.read_chunks(spark, out.removeprefix("file:"), 4096).filter(F.col("rel_path").endswith(".txt"))
+    files = read.groupBy("rel_path").agg(F.sum(F.octet_length("bytes")).alias("bytes"), F.max(F.octet_length("bytes")).alias("largest"))
+    return (files.join(content.tree_hashes(read), "rel_path").groupBy(F.substring_index("rel_path", "/", 1).alias("dir"))
+            .agg(F.sum("bytes").alias("bytes"), (F.max("largest") <= 4096).alias("bounded"), F.bool_and(F.col("hash").isNotNull()).alias("complete")))
+
+
 @query
 def src_05_read_events(spark, sf):
     out = scratch(spark, "log")
@@ -194,6 +205,10 @@ def prj_05_chunks(spark, sf):
 
 # Joins
 
+def _chunked(spark, sf, size):
+    return [content.chunk_content(c, size) for c in (x.src_content(spark, sf), x.dst_content(spark, sf))]
+
+
 @query
 def joi_01_skipped(spark, sf):
     return sync.skipped(x.src(spark, sf), x.dst(spark, sf)).select("rel_path", "size")
@@ -219,6 +234,17 @@ def joi_04_verify(spark, sf):
     return verify.verify_trees(x.src(spark, sf), x.dst(spark, sf), x.src_content(spark, sf), x.dst_content(spark, sf), CHAIN)
 
 
+@query
+def joi_04_verify_chunks(spark, sf):
+    """The same verification by digest trees over chunks."""
+    return verify.verify_trees(x.src(spark, sf), x.dst(spark, sf), *_chunked(spark, sf, 1024), CHAIN, lambda c: content.tree_hashes(c, 4))
+
+
+@query
+def joi_04_differing_chunks(spark, sf):
+    return content.differing_chunks(*_chunked(spark, sf, 1024))
+
+
 @query
 def joi_05_metadata_drift(spark, sf):
     d = sync.metadata_drift(x.src(spark, sf), x.dst(spark, sf))
@@ -252,6 +278,14 @@ def joi_08_apply_delta(spark, sf):
     return verify.file_hashes(delta.apply_delta(cut(_ops(spark, sf)), x.dst_content(spark, sf)))
 
 
+@query
+def joi_08_rebuild_chunks(spark, sf):
+    """Files in chunks of 1 KiB, matched and rebuilt chunk by chunk."""
+    a, b = _chunked(spark, sf, 1024)
+    ops = cut(delta.match_blocks(a, delta.match_signatures(b), chunk_bytes=1024, reach=512))
+    return delta.rebuild_chunks(ops, b, chunk_bytes=1024).select("rel_path", "size", "chunk_idx", "offset", F.sha2("bytes", 256).alias("hash"))
+
+
 # Aggregates
 
 @query
@@ -274,6 +308,17 @@ def agg_04_signatures(spark, sf):
     return delta.signatures(x.src_content(spark, sf)).drop("weak")
 
 
+@query
+def agg_04_chunked_signatures(spark, sf):
+    """The same blocks from chunks that cut them apart."""
+    return delta.signatures(content.chunk_content(x.src_content(spark, sf), 1000)).drop("weak")
+
+
+@query
+def agg_05_tree_hashes(spark, sf):
+    return content.tree_hashes(content.chunk_content(x.src_content(spark, sf), 1024), 4)
+
+
 @query
 def agg_05_file_hashes(spark, sf):
     return verify.file_hashes(x.src_content(spark, sf))
@@ -281,7 +326,9 @@ def agg_05_file_hashes(spark, sf):
 
 @query
 def agg_06_delta_stats(spark, sf):
-    return delta.delta_stats(_ops(spark, sf)).drop("saved_ratio")
+    """Lengths only: no literal byte leaves its task."""
+    sig = delta.match_signatures(x.dst_content(spark, sf))
+    return delta.delta_stats(delta.match_lengths(x.src_content(spark, sf), sig)).drop("saved_ratio")
 
 
 def _sources(spark, sf):
@@ -591,7 +638,14 @@ def udf_01_match_blocks(spark, sf):
 def udf_01_match_chunks(spark, sf):
     """The same match with files cut into chunks of 1 KiB."""
     sig = delta.match_signatures(x.dst_content(spark, sf))
-    return delta.delta_stats(delta.match_blocks(x.src_content(spark, sf), sig, chunk_bytes=1024, reach=512)).drop("saved_ratio")
+    return delta.delta_stats(delta.match_lengths(x.src_content(spark, sf), sig, chunk_bytes=1024, reach=512)).drop("saved_ratio")
+
+
+@query
+def udf_01_match_chunked(spark, sf):
+    """The same match between contents that come in chunks."""
+    a, b = _chunked(spark, sf, 1024)
+    return delta.delta_stats(delta.match_lengths(a, delta.match_signatures(b), chunk_bytes=1024, reach=512)).drop("saved_ratio")
 
 
 @query
