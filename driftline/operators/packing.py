@@ -4,11 +4,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.operators.ordered import Scan, ordered_scan
+from driftline.operators.ordered import BLOCK, Scan, block_scan, ordered_scan, range_blocks
 from driftline.session import cut
 
 
@@ -108,27 +109,36 @@ def _enter(by, inside):
     return enter
 
 
-def _number_batches(cfg: BatchConfig):
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at").reset_index(drop=True)
-        entry, spill, batch = (int(pdf[c].iloc[0]) for c in ("entry", "spilled", "base"))
-        end, nxt = (a.tolist() for a in _batch_ends(pdf["_ok"].to_numpy(), pdf["size"].to_numpy(), cfg))
-        ids = np.full(len(pdf), -1, dtype=np.int64)
+def _number_batches(cfg: BatchConfig, out: list):
+    """Rows of a block, with the entry of the walk, to the same rows with their batch."""
+    def number(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_at")
+        entry, spill, batch = (rows.column(c)[0].as_py() for c in ("entry", "spilled", "base"))
+        end, nxt = (a.tolist() for a in _batch_ends(rows.column("_ok").to_numpy(), rows.column("_size").to_numpy(), cfg))
+        ids = np.full(rows.num_rows, -1, dtype=np.int64)
         ids[:spill] = batch - 1
         i = entry
-        while i < len(pdf):
+        while i < rows.num_rows:
             if end[i] > i:
                 ids[i:end[i]] = batch
                 batch += 1
             i = nxt[i]
-        pdf["batch_id"] = ids
-        return pdf
+        return rows.select(out).append_column("batch_id", pa.array(ids, mask=ids < 0))
     return number
 
 
 def pack_batches(plan: DataFrame, cfg=BatchConfig(), by=(), block_rows=1 << 17, run_blocks=1024, parts=None) -> DataFrame:
     """Greedy small-file batches in path order, exact and in parallel; batch_id is null for files
-    that travel alone. `by` starts a separate order per key (for example a destination).
+    that travel alone. `by` starts a separate order per key (for example a destination). All columns
+    of `plan` stay."""
+    ok = (F.col("file_type") == "regular") & F.col("size").between(0, cfg.size_limit)
+    rows = ordered_scan(plan.withColumn("_ok", ok), list(by), ["rel_path"], {"_at": Scan("sum", F.lit(1), before=True)}, parts)
+    return number_batches(rows, cfg, by, block_rows, run_blocks).select(*plan.columns, "batch_id")
+
+
+def number_batches(rows: DataFrame, cfg=BatchConfig(), by=(), block_rows=1 << 17, run_blocks=1024) -> DataFrame:
+    """`rows`, with their position in the order (`_at`) and whether they may be batched (`_ok`), and
+    their batch.
 
     A batch spans at most `max_count` files, so what a block of rows needs to know about the
     blocks before it is one offset below `max_count`. Each block first gives its outcome for
@@ -137,17 +147,16 @@ def pack_batches(plan: DataFrame, cfg=BatchConfig(), by=(), block_rows=1 << 17,
     """
     by = list(by)
     block_rows = max(block_rows, cfg.max_count)
-    ok = (F.col("file_type") == "regular") & F.col("size").between(0, cfg.size_limit)
-    rows = plan.select(*by, "rel_path", "file_type", "size", ok.alias("_ok"))
-    rows = ordered_scan(rows, by, ["rel_path"], {"_at": Scan("sum", F.lit(1), before=True)}, parts)
-    rows = rows.withColumn("_blk", F.floor(F.col("_at") / block_rows).cast("bigint"))
+    columns = rows.columns
+    rows = (rows.withColumn("_size", F.coalesce("size", F.lit(0)).cast("bigint")).withColumn("_ok", F.coalesce("_ok", F.lit(False)))
+            .withColumn("_blk", F.floor(F.col("_at") / block_rows).cast("bigint")))
     keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name in by)
     table = keys + "at bigint, m int, leave array<int>, spill array<int>, begun array<bigint>"
     entry = keys + "at bigint, entry int, spilled int, base bigint"
 
     lead = (F.pmod(F.col("_at"), F.lit(block_rows)) < cfg.max_count) & (F.col("_blk") > 0)
-    ahead = rows.withColumn("_blk", F.explode(
-        F.when(lead, F.array(F.col("_blk"), F.col("_blk") - 1)).otherwise(F.array("_blk"))))
+    ahead = rows.select(*by, "_at", "_ok", F.col("_size").alias("size"), F.explode(
+        F.when(lead, F.array(F.col("_blk"), F.col("_blk") - 1)).otherwise(F.array("_blk"))).alias("_blk"))
     blocks = cut(ahead.groupBy(*by, "_blk").applyInPandas(_block_table(cfg, block_rows, by), table)
                  .withColumn("run", F.expr(f"at div {run_blocks}")))
     runs = blocks.groupBy(*by, "run").applyInPandas(_compose(by), table + ", run bigint")
@@ -155,12 +164,8 @@ def pack_batches(plan: DataFrame, cfg=BatchConfig(), by=(), block_rows=1 << 17,
     entries = (blocks.join(run_entries, [*by, "run"]).groupBy(*by, "run")
                .applyInPandas(_enter(by, inside=True), entry).withColumnRenamed("at", "_blk"))
 
-    numbered = rows.join(entries, [*by, "_blk"]).groupBy(*by, "_blk").applyInPandas(
-        _number_batches(cfg),
-        keys + "_blk bigint, rel_path string, file_type string, size bigint, _ok boolean, _at bigint, "
-               "entry int, spilled int, base bigint, batch_id bigint")
-    return numbered.select(*by, "rel_path", "file_type", "size",
-                           F.when(F.col("batch_id") >= 0, F.col("batch_id")).alias("batch_id"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns)
+    return rows.join(entries, [*by, "_blk"]).groupBy(*by, "_blk").applyInArrow(_number_batches(cfg, columns), shape + ", batch_id bigint")
 
 
 def approximate_batches(plan: DataFrame, cfg=BatchConfig(), parts=None) -> DataFrame:
@@ -225,9 +230,10 @@ def schedule(plan: DataFrame, bytes_per_s: int, order=("rel_path",), arrival: Co
         return (done.withColumn("est_start_s", at(F.col("_sum") - F.col("size")))
                     .withColumn("est_end_s", at(F.col("_sum"))).drop("_sum"))
     rows = rows.withColumn("_arr", arrival.cast("double"))
-    done = ordered_scan(rows, [], order, {"_sum": Scan("sum", F.col("size"))}, parts)
+    # Both scans go over the same slices of the order.
+    done = block_scan(range_blocks(rows, [], order, parts), [], order, {"_sum": Scan("sum", F.col("size"))})
     idle = F.col("_arr") - (F.col("_sum") - F.col("size")).cast("double") / rate
-    done = ordered_scan(done.withColumn("_idle", idle), [], order, {"_lag": Scan("max", F.col("_idle"))}, parts)
+    done = block_scan(done.withColumn("_idle", idle), [], order, {"_lag": Scan("max", F.col("_idle"))})
     end = F.greatest(F.col("_arr"), (F.col("_sum").cast("double") - burst) / rate + F.col("_lag"))
     return (done.withColumn("est_start_s", F.col("_arr")).withColumn("est_end_s", end)
-                .drop("_sum", "_idle", "_lag", "_arr"))
+                .drop("_sum", "_idle", "_lag", "_arr", BLOCK))

@@ -1,13 +1,13 @@
 """The sync plan: one row per path over both trees, built from joins on `rel_path` only."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.globs import FilterChain
 from driftline.functions.paths import ancestors, destination_base, map_path, parent
-from driftline.operators.hardlinks import hardlink_targets
+from driftline.operators.groups import lookup_groups
 from driftline.operators.ordered import Scan, ordered_scan
 from driftline.session import cut
 
@@ -23,7 +23,6 @@ class SyncOptions:
     mtime_granularity_ns: int = 1
     dst_base: str = ""
     dst_rows: bool = True
-    hot_rows: int = 1_000_000
 
 
 def same_mtime(a: Column, b: Column, granularity_ns=1) -> Column:
@@ -73,24 +72,20 @@ def delete_positions(x: DataFrame, parts=None) -> DataFrame:
     return rows.withColumn("position", position).drop("_dir", "_at")
 
 
-def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions()) -> DataFrame:
-    """Action and reason per path. Directories and symlinks are always made again; for regular
-    files the order of tests is filter, skip, hardlink, copy. Without `dst_rows` only source
-    entries are planned, for sources that come in piece by piece."""
+PLAN = ("rel_path", "dst_path", "action", "file_type", "size", "reason", "basis_size", "link_target")
+
+
+def compare(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions()) -> DataFrame:
+    """The plan before hardlinks are settled, from one full outer join, with `dev`, `ino` and whether a
+    copy has several links (`several`). Each manifest is read and shuffled once."""
     same = same_mtime(F.col("mtime_ns"), F.col("d_mtime_ns"), opts.mtime_granularity_ns) & (
         F.col("size") == F.col("d_size"))
     dst = d.select("rel_path", F.col("file_type").alias("d_type"), F.col("size").alias("d_size"),
                    F.col("mtime_ns").alias("d_mtime_ns"), chain.matches().alias("d_kept"))
-    src = s.select("rel_path", "file_type", "size", "mtime_ns", "link_target",
+    inode = ("dev", "ino", "nlink") if opts.hardlinks else ()
+    src = s.select("rel_path", "file_type", "size", "mtime_ns", "link_target", *inode,
                    chain.matches().alias("matched"),
                    (chain.under_excluded_dir() if opts.prune else F.lit(False)).alias("pruned"))
-    if opts.hardlinks:
-        # Only files with several links and still to be copied can become links.
-        several = s.filter((F.col("nlink") > 1) & chain.keeps(opts.prune))
-        links = hardlink_targets(not_skipped(several, d, opts.mtime_granularity_ns), opts.hot_rows)
-        src = src.join(links, "rel_path", "left")
-    else:
-        src = src.withColumn("first_path", F.lit(None).cast("string"))
 
     both = src.join(dst, "rel_path", "full_outer" if opts.dst_rows else "left")
     no_src, no_dst = F.col("file_type").isNull(), F.col("d_type").isNull()
@@ -105,7 +100,6 @@ def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions(
                .when(F.col("file_type") == "symlink", "symlink")
                .when(~regular, F.when(no_dst, "ignored").otherwise("keep"))
                .when(same, "skip")
-               .when(F.col("first_path").isNotNull(), "hardlink")
                .when(no_dst, "copy_new")
                .otherwise("copy_changed"))
     reason = (F.when(no_src & ~F.col("d_kept"), "protected")
@@ -117,13 +111,34 @@ def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions(
                .when(regular & ~same, "mtime")
                .otherwise("same"))
     where = F.concat_ws("/", F.lit(opts.dst_base.rstrip("/")), "rel_path") if opts.dst_base else F.col("rel_path")
+    several = F.coalesce(F.col("action").isin("copy_new", "copy_changed") & (F.col("nlink") > 1), F.lit(False)) if inode else F.lit(False)
     return (both.select(
         "rel_path", where.alias("dst_path"), action.alias("action"),
         F.coalesce("file_type", "d_type").alias("file_type"),
         F.coalesce("size", "d_size").alias("size"), reason.alias("reason"),
-        F.col("d_size").alias("basis_size"),
-        F.when(F.col("first_path").isNotNull(), F.col("first_path")).otherwise(F.col("link_target")).alias("link_target"))
-        .filter("action <> 'ignored'"))
+        F.col("d_size").alias("basis_size"), "link_target", *inode)
+        .filter("action <> 'ignored'")
+        .withColumn("several", several))
+
+
+def sync_plan(s: DataFrame, d: DataFrame, chain=FilterChain(), opts=SyncOptions()) -> DataFrame:
+    """Action and reason per path. Directories and symlinks are always made again; for regular
+    files the order of tests is filter, skip, hardlink, copy. Without `dst_rows` only source
+    entries are planned, for sources that come in piece by piece.
+
+    Only copies can become links, so hardlinks are settled behind the join, among the copies with
+    several links alone. For that the compared rows are written once; without hardlinks nothing is."""
+    rows = compare(s, d, chain, opts)
+    if not opts.hardlinks:
+        return rows.select(*PLAN)
+    rows = cut(rows)
+    several = rows.filter("several").select(*PLAN, "dev", "ino")
+    first = several.groupBy("dev", "ino").agg(F.min("rel_path").alias("first_path"), F.count("*").alias("n")).filter("n > 1")
+    placed = lookup_groups(several, first, ["dev", "ino"])
+    later = F.col("first_path") < F.col("rel_path")
+    linked = placed.withColumns({"action": F.when(later, "hardlink").otherwise(F.col("action")),
+                                 "link_target": F.when(later, F.col("first_path")).otherwise(F.col("link_target"))})
+    return rows.filter("NOT several").select(*PLAN).unionByName(linked.select(*PLAN))
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:
@@ -187,6 +202,18 @@ class Capabilities:
     dst_delta: bool = False
     bandwidth_limited: bool = False
     delta: bool = False
+    src_hardlinks: bool = True      # inodes of the source are known
+    src_sparse: bool = True         # holes of the source are known
+    src_xattrs: bool = True
+    dst_xattrs: bool = True
+    dst_batches: bool = True        # a remote destination takes several small files at once
+
+
+def within(opts, caps: Capabilities):
+    """Sync or metadata options without what an endpoint cannot do."""
+    if isinstance(opts, SyncOptions):
+        return replace(opts, hardlinks=opts.hardlinks and caps.src_hardlinks)
+    return replace(opts, xattrs=opts.xattrs and caps.src_xattrs and caps.dst_xattrs)
 
 
 def copy_strategy(caps=Capabilities(), delta_min=64 * 1024, size=None, basis_size=None) -> Column:

@@ -168,9 +168,10 @@ after AS (SELECT d.rel_path, d.file_type, d.size, d.mtime_ns, d.mode, d.uid FROM
   UNION ALL SELECT s.rel_path, s.file_type, s.size, s.mtime_ns, s.mode, s.uid FROM src s JOIN plan p USING (rel_path)
     WHERE p.action IN ('mkdir', 'symlink', 'hardlink', 'copy_new', 'copy_changed'))"""
 
-_BATCHES = """
-rows_ AS (SELECT rel_path, file_type, size, row_number() OVER (ORDER BY rel_path) AS i,
-    file_type = 'regular' AND size BETWEEN 0 AND 4096 AS ok FROM src),
+def _batches(rows):
+    """The fold over `rows`, which have their number i and whether they may be batched."""
+    return f"""
+rows_ AS ({rows}),
 fold AS (WITH RECURSIVE f AS (
     SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cnt, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS nextb, CAST(NULL AS BIGINT) AS batch_id
     UNION ALL
@@ -180,6 +181,17 @@ fold AS (WITH RECURSIVE f AS (
             f.cnt + 1 >= 20 OR f.bytes + r.size >= 65536 AS full_ FROM f JOIN rows_ r ON r.i = f.i + 1)) SELECT * FROM f)"""
 
 
+_BATCHES = _batches("""SELECT rel_path, file_type, size, row_number() OVER (ORDER BY rel_path) AS i,
+    file_type = 'regular' AND size BETWEEN 0 AND 4096 AS ok FROM src""")
+
+_COPIES = "action IN ('copy_new', 'copy_changed')"
+_WORK = _batches(f"""SELECT *, row_number() OVER (ORDER BY rel_path) AS i, {_COPIES} AND file_type = 'regular' AND size BETWEEN 0 AND 4096 AS ok,
+    CASE WHEN {_COPIES} THEN size ELSE 0 END AS cost FROM plan WHERE action IN ('mkdir', 'symlink', 'hardlink', 'copy_new', 'copy_changed')""") + """,
+pieces AS (SELECT *, k * 4096 AS chunk_offset, least(4096, cost - k * 4096) AS chunk_length, s - cost + k * 4096 AS before
+    FROM (SELECT *, unnest(range(greatest(1, (cost + 4095) // 4096))) AS k FROM (
+      SELECT r.*, f.batch_id, sum(cost) OVER (ORDER BY r.i ROWS UNBOUNDED PRECEDING) AS s FROM rows_ r JOIN fold f USING (i))))"""
+
+
 def _with(ctes, select):
     return f"WITH {ctes}\n{select}"
 
@@ -240,6 +252,12 @@ ORACLES = {
         AND s.mtime_ns = d.mtime_ns WHERE s.file_type = 'regular'"""),
     "joi_02_sync_plan": _with(f"{_TREES}, {_plan()}", "SELECT rel_path, action, file_type, size, reason, link_target FROM plan"),
     "joi_02_plan_summary": _with(f"{_TREES}, {_plan()}", "SELECT action, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM plan GROUP BY action"),
+    "joi_02_plan_capabilities": _with(f"{_TREES}, {_plan(hardlinks=False)}", "SELECT rel_path, action, reason, link_target FROM plan"),
+    "joi_02_work_plan": _with(f"{_TREES}, {_plan()}, {_WORK}", f"""SELECT rel_path, action, file_type, size, reason, basis_size, link_target,
+        CASE WHEN {_COPIES} THEN CASE WHEN size >= 2048 AND coalesce(basis_size, 0) > 0 THEN 'delta_push' ELSE 'stream' END END AS strategy, batch_id,
+        k AS chunk_idx, chunk_offset, CAST(chunk_length AS BIGINT) AS chunk_length,
+        greatest(0.0::DOUBLE, (CAST(before AS DOUBLE) - 1000000.0::DOUBLE) / 1000000.0::DOUBLE) AS est_start_s,
+        greatest(0.0::DOUBLE, (CAST(before + chunk_length AS DOUBLE) - 1000000.0::DOUBLE) / 1000000.0::DOUBLE) AS est_end_s FROM pieces"""),
     "joi_03_extraneous": _with(_TREES, f"SELECT rel_path, file_type FROM dst WHERE {_keep()} AND rel_path NOT IN (SELECT rel_path FROM src)"),
     "joi_04_verify": _with(f"{_FILES}, {_VERIFY}", "SELECT * FROM v"),
     "joi_05_metadata_drift": _with(_TREES, """SELECT rel_path, drift FROM (SELECT s.rel_path, concat_ws(',', CASE WHEN s.mode <> d.mode THEN 'mode' END,

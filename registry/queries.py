@@ -8,6 +8,7 @@ from driftline.operators import content, delta, events, filtering, hardlinks, pa
 from driftline.plans import sync, verify
 from driftline.plans.delta_sync import delta_sync
 from driftline.plans.multi import Source, plan_sources
+from driftline.plans.work import work_plan
 from driftline.session import cut, scratch
 from driftline.sources import chunks, tables, tree
 from driftline.streaming import events as live
@@ -224,6 +225,19 @@ def joi_02_plan_summary(spark, sf):
     return sync.plan_summary(_plan(spark, sf, delete=True))
 
 
+@query
+def joi_02_plan_capabilities(spark, sf):
+    """A source that does not tell inodes: nothing is linked."""
+    opts = sync.within(sync.SyncOptions(delete=True), sync.Capabilities(src_hardlinks=False))
+    return sync.sync_plan(x.src(spark, sf), x.dst(spark, sf), CHAIN, opts).select("rel_path", "action", "reason", "link_target")
+
+
+@query
+def joi_02_work_plan(spark, sf):
+    """Strategy, batch, pieces and times of everything the plan writes."""
+    return work_plan(_plan(spark, sf, delete=True), CAPS, BPS, BATCH, chunk_bytes=4096, delta_min=2048, block_rows=256, run_blocks=8).drop("dst_path")
+
+
 @query
 def joi_03_extraneous(spark, sf):
     return sync.extraneous(x.src(spark, sf), x.dst(spark, sf), CHAIN).select("rel_path", "file_type")
@@ -378,7 +392,7 @@ def agg_12_run_outcome(spark, sf):
 
 @query
 def win_01_pack_batches(spark, sf):
-    return packing.pack_batches(x.src(spark, sf), BATCH, block_rows=256, run_blocks=8)
+    return packing.pack_batches(x.src(spark, sf), BATCH, block_rows=256, run_blocks=8).select("rel_path", "file_type", "size", "batch_id")
 
 
 @query

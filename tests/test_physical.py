@@ -56,6 +56,22 @@ def test_plan_shuffles_each_side_once(spark, stored):
     assert "xattrs" not in text.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_plan_with_hardlinks_reads_each_side_once(spark, stored, tmp_path):
+    other = str(tmp_path / "dst")
+    write_table(samples.dst(spark, SF), other)
+    d = load_manifest(spark, other)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = explain(sync.compare(stored, d)).split("\n\n")[0]
+        assert tree.count("Scan parquet") == 2 and tree.count("Exchange") == 2 and tree.count("FullOuter") == 1
+        # What is settled behind the join reads the compared rows, never a manifest again.
+        text = explain(sync.sync_plan(stored, d))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    places = [line for line in text.split("\n") if line.startswith("Location:")]
+    assert places and all("/cut-" in line for line in places)
+
+
 def test_bucketed_manifests_join_without_a_shuffle(spark, stored, tmp_path):
     a, b = (write_bucketed(stored, f"bucketed_{n}", str(tmp_path / n), 4) for n in "ab")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

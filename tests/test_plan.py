@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from driftline.functions.globs import filter_chain
 from driftline.operators.hardlinks import hardlink_groups, hardlink_targets
 from driftline.plans import sync
+from driftline.operators.packing import BatchConfig, schedule
 from driftline.plans.sync import Capabilities, MetadataOptions, SyncOptions, copy_strategy, sync_plan
+from driftline.plans.work import work_plan
 
 
 def actions(plan):
@@ -159,3 +161,50 @@ def test_delete_positions(manifest, parts):
     x = manifest("b", "a", "d/", "d/e/", "d/e/f", "z/", "c")
     got = [r.rel_path for r in sync.delete_positions(x, parts).orderBy("position").collect()]
     assert got == ["a", "b", "c", "d/e/f", "z", "d/e", "d"] == [r.rel_path for r in sync.delete_order(x).collect()]
+
+
+def test_capabilities_narrow_options():
+    none = Capabilities(src_hardlinks=False, dst_xattrs=False)
+    assert not sync.within(SyncOptions(), none).hardlinks and sync.within(SyncOptions(), Capabilities()).hardlinks
+    assert not sync.within(MetadataOptions(xattrs=True), none).xattrs
+    assert sync.within(MetadataOptions(xattrs=True), Capabilities()).xattrs and not sync.within(MetadataOptions(), Capabilities()).xattrs
+
+
+REMOTE = Capabilities(src_local=True, dst_local=False, dst_delta=True, delta=True)
+
+
+def test_work_plan(manifest):
+    s = manifest("a/", *[f(f"a/{k:02d}", size=10) for k in range(7)], f("big", size=2500), f("changed", size=500, mtime_ns=9),
+                 linked("h1", 4, size=30), linked("h2", 4, size=30), "same", f("z", size=0))
+    d = manifest("same", f("changed", size=400), "gone")
+    plan = sync_plan(s, d, opts=SyncOptions(delete=True))
+    rows = work_plan(plan, REMOTE, 1000, BatchConfig(max_bytes=1000, size_limit=100, max_count=3), chunk_bytes=1000, delta_min=450, parts=3,
+                     block_rows=3, run_blocks=2)
+    assert rows.columns == [*plan.columns, "strategy", "batch_id", "chunk_idx", "chunk_offset", "chunk_length", "est_start_s", "est_end_s"]
+    got = sorted(rows.collect(), key=lambda r: (r.rel_path, r.chunk_idx))
+    assert [(r.rel_path, r.chunk_idx, r.chunk_length) for r in got if r.rel_path == "big"] == [("big", 0, 1000), ("big", 1, 1000), ("big", 2, 500)]
+    by = {r.rel_path: r for r in got if r.chunk_idx == 0}
+    assert set(by) == {"a", *[f"a/{k:02d}" for k in range(7)], "big", "changed", "h1", "h2", "z"}
+    assert [by[f"a/{k:02d}"].batch_id for k in range(7)] == [0, 0, 0, 1, 1, 1, 2]
+    assert by["big"].batch_id is None and by["h2"].batch_id is None and by["h1"].batch_id == 3 and by["z"].batch_id == 4
+    assert {n: r.strategy for n, r in by.items() if n in ("a", "big", "changed", "h2")} == {
+        "a": None, "big": "stream", "changed": "delta_push", "h2": None}
+    # Pieces follow one another, links and folders cost nothing.
+    total = 70 + 2500 + 500 + 30
+    assert by["h2"].est_start_s == by["h2"].est_end_s and got[-1].est_end_s == (total - 1000) / 1000
+    ends = [r.est_end_s for r in got]
+    assert ends == sorted(ends) and all(a.est_end_s == b.est_start_s for a, b in zip(got, got[1:]))
+
+
+def test_work_plan_of_local_trees(manifest, spark):
+    plan = sync_plan(manifest(f("a", size=100), f("b", size=1000)), manifest())
+    data = spark.createDataFrame([("b", 300, 700)], "rel_path string, data_bytes bigint, hole_bytes bigint")
+    got = {r.rel_path: r for r in work_plan(plan, data=data, bytes_per_s=10).collect()}
+    assert got["a"].strategy == "kernel" and got["a"].batch_id is None
+    assert got["b"].chunk_length == 300 and got["b"].est_end_s == (400 - 10) / 10 and got["b"].size == 1000
+    whole = {r.rel_path: r for r in work_plan(plan, Capabilities(src_sparse=False), data=data).collect()}
+    assert whole["b"].chunk_length == 1000 and whole["b"].est_end_s is None
+    assert work_plan(plan.filter("false"), REMOTE, 10).count() == 0
+    # The same times as the schedule of the copies alone.
+    alone = {r.rel_path: (r.est_start_s, r.est_end_s) for r in schedule(plan, 10).collect()}
+    assert {r.rel_path: (r.est_start_s, r.est_end_s) for r in work_plan(plan, bytes_per_s=10).collect()} == alone
