@@ -1,5 +1,9 @@
 """Arbitrary state per key: workers and small-file batches."""
 
+import heapq
+import pickle
+from itertools import chain
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +20,66 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _in_order(rows, columns, order):
-    """The rows of a key in a micro-batch, in order. They come in several frames, in any order."""
-    pdf = pd.concat([r[columns] for r in rows], ignore_index=True).sort_values(order, kind="stable")
-    return zip(*(pdf[c] for c in columns))
+# Rows of a key that are held and folded at once.
+PIECE = 1024
+
+
+def _run_state(handle):
+    """Sorted runs of the rows of a key, while a micro-batch is folded: (run, piece) to its rows."""
+    return handle.getMapState("runs", "run int, piece int", "rows binary")
+
+
+def _pieces(runs, frames, columns, order):
+    """The rows of a key in a micro-batch, in order, as frames of at most PIECE rows.
+
+    They come in several frames, in any order. Each frame is sorted and, unless it is the only one,
+    put aside in the state store in pieces; the runs are then merged with one piece of each in memory."""
+    order = [columns.index(c) for c in order]
+
+    def key(row):
+        # Missing values last, as pandas sorts them.
+        return [(v is None or v != v, 0 if v is None or v != v else v) for v in (row[k] for k in order)]
+
+    def cut_up(rows):
+        for k in range(0, len(rows), PIECE):
+            yield rows[k:k + PIECE]
+
+    def put_aside(run, rows):
+        for k, part in enumerate(cut_up(rows)):
+            runs.updateValue((run, k), (pickle.dumps(part),))
+        return -(-len(rows) // PIECE)
+
+    def read(run, n):
+        for k in range(n):
+            yield from pickle.loads(runs.getValue((run, k))[0])
+            runs.removeKey((run, k))
+
+    def tuples(pdf):
+        return sorted(pdf[columns].itertuples(index=False, name=None), key=key)
+
+    frames = iter(frames)
+    first, second = next(frames, None), next(frames, None)
+    if second is None:
+        merged = iter(()) if first is None else iter(tuples(first))
+    else:
+        sizes = [put_aside(k, tuples(pdf)) for k, pdf in enumerate(chain([first, second], frames))]
+        merged = heapq.merge(*[read(k, n) for k, n in enumerate(sizes)], key=key)
+    part = []
+    for row in merged:
+        part.append(row)
+        if len(part) == PIECE:
+            yield pd.DataFrame(part, columns=columns)
+            part = []
+    if part:
+        yield pd.DataFrame(part, columns=columns)
 
 
 class _Worker(StatefulProcessor):
     """What one worker does now: its latest event is all the state there is.
 
-    The events of a micro-batch are folded in order on top of the latest event, so memory does not
-    grow with the worker's history. An event older than the latest one never replaces it."""
+    The events of a micro-batch are folded in order, piece by piece, on top of the latest event, so memory
+    grows neither with the worker's history nor with its share of a micro-batch. An event older than
+    the latest one never replaces it."""
 
     columns = ("run_id", "worker", "kind", "path", "size", "at_us", "duration_us")
     schema = "run_id string, worker int, kind string, path string, size bigint, at_us bigint, duration_us bigint"
@@ -37,30 +90,30 @@ class _Worker(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.latest = handle.getValueState("latest", "us bigint, seq bigint, type string, path string, size bigint")
+        self.runs = _run_state(handle)
 
     def handleInputRows(self, key, rows, timerValues):
         cols = ["us", "seq", "type", "path", "size"]
-        last, out = self.latest.get(), []
-        ev = pd.concat([pdf[cols] for pdf in rows], ignore_index=True)
-        if last is not None:
-            ev = pd.concat([pd.DataFrame([last], columns=cols), ev])
-        ev = ev.sort_values(["us", "seq"], kind="stable").reset_index(drop=True)
-        prev = ev.shift(1)
-        done = ev["type"].isin(["FileCompleted", "FileFailed"]) & (prev["type"] == "FileStarted")
-        if last is not None:
-            done &= ~((ev["us"] == last[0]) & (ev["seq"] == last[1]))
-        end = ev[done]
-        out.append(self._frame(key, "finished", end["path"], end["size"], end["us"],
-                               end["us"] - prev["us"][done].astype("int64")))
-        last = tuple(v.item() if hasattr(v, "item") else v for v in ev.iloc[-1])
+        known, before = self.latest.get(), None
+        frames = chain([pd.DataFrame([known], columns=cols)], rows) if known is not None else rows
+        for ev in _pieces(self.runs, frames, cols, ["us", "seq"]):
+            prev = ev.shift(1)
+            if before is not None:
+                prev.iloc[0] = before
+            done = ev["type"].isin(["FileCompleted", "FileFailed"]) & (prev["type"] == "FileStarted")
+            if known is not None:
+                done &= ~((ev["us"] == known[0]) & (ev["seq"] == known[1]))
+            end = ev[done]
+            yield self._frame(key, "finished", end["path"], end["size"], end["us"], end["us"] - prev["us"][done].astype("int64"))
+            before = ev.iloc[-1].tolist()
+        last = tuple(v.item() if hasattr(v, "item") else v for v in before)
         self.latest.update(last)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         busy = last[2] == "FileStarted"
         if busy:
             self.handle.registerTimer((last[0] + self.stall_us) // 1000 + 1)
-        out.append(self._frame(key, "in_flight" if busy else "idle", [last[3]], [last[4]], [last[0]], [None]))
-        yield pd.concat(out, ignore_index=True)
+        yield self._frame(key, "in_flight" if busy else "idle", [last[3]], [last[4]], [last[0]], [None])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         us, _, kind, path, _ = self.latest.get()
@@ -92,8 +145,8 @@ def worker_state(ev: DataFrame, stall_after_s=60, delay="10 seconds") -> DataFra
 class _Batcher(StatefulProcessor):
     """Greedy batching of what arrives, closed by count, by bytes, by a file that may not join,
     by a pause between tasks, or by an idle timer. Only counters are kept; each file gets its batch
-    number at once. All tasks of a lane in a micro-batch are put in order first, and a task that
-    comes later than others of its time joins the open batch: none is left out."""
+    number at once. All tasks of a lane in a micro-batch are put in order first, in pieces, and a task
+    that comes later than others of its time joins the open batch: none is left out."""
 
     schema = "lane int, kind string, batch_no bigint, rel_path string, files int, size bigint"
 
@@ -103,6 +156,7 @@ class _Batcher(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.open = handle.getValueState("open", "batch_no bigint, files int, size bigint, last_us bigint")
+        self.runs = _run_state(handle)
 
     def _close(self, lane, out, state):
         no, n, size, last = state
@@ -111,10 +165,10 @@ class _Batcher(StatefulProcessor):
             no += 1
         return [no, 0, 0, last]
 
-    def handleInputRows(self, key, rows, timerValues):
-        cfg, lane, out = self.cfg, int(key[0]), []
-        state = list(self.open.get() or (0, 0, 0, 0))
-        for us, path, kind, size in _in_order(rows, ["us", "rel_path", "file_type", "size"], ["us", "rel_path"]):
+    def _fold(self, lane, state, piece):
+        """The rows that a piece of a lane's tasks gives, and the state behind it."""
+        cfg, out = self.cfg, []
+        for us, path, kind, size in piece.itertuples(index=False, name=None):
             us, size = int(us), int(size)
             if state[1] and us - state[3] > self.idle_us:
                 state = self._close(lane, out, state)
@@ -128,12 +182,18 @@ class _Batcher(StatefulProcessor):
             else:
                 state = self._close(lane, out, state)
                 out.append((lane, "file", None, path, 1, size))
+        return self._frame(out), state
+
+    def handleInputRows(self, key, rows, timerValues):
+        state = list(self.open.get() or (0, 0, 0, 0))
+        for piece in _pieces(self.runs, rows, ["us", "rel_path", "file_type", "size"], ["us", "rel_path"]):
+            out, state = self._fold(int(key[0]), state, piece)
+            yield out
         self.open.update(tuple(state))
         for t in list(self.handle.listTimers()) if self.timer else ():
             self.handle.deleteTimer(t)
         if self.timer and state[1]:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_us // 1000 + 1)
-        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out = []

@@ -603,12 +603,13 @@ def stm_06_session_batches(spark, sf):
 
 @query
 def stm_06_stream_batches(spark, sf):
-    """Batches of eight lanes over tasks that arrive newest first: files and bytes per batch, and of
-    the files that travel alone. Batches close by count, by bytes and by a pause of six hours."""
+    """Batches of eight lanes over tasks that arrive newest first, in several micro-batches of whole
+    lanes: files and bytes per batch, and of the files that travel alone. Batches close by count, by
+    bytes and by a pause of six hours."""
     out = scratch(spark, "tasks")
     tasks = x.transfer_events(spark, sf).selectExpr("ts", "path AS rel_path", "'regular' AS file_type", "size", "worker")
-    tasks.repartition(1).sortWithinPartitions(F.desc("ts")).write.parquet(out)
-    stream = spark.readStream.schema(tasks.schema).parquet(out)
+    tasks.repartition(8, "worker").sortWithinPartitions(F.desc("ts")).write.parquet(out)
+    stream = spark.readStream.schema(tasks.schema).option("maxFilesPerTrigger", 3).parquet(out)
     cfg = packing.BatchConfig(max_bytes=60_000, size_limit=15_000, max_count=12)
     got = sinks.drain(stateful.stream_batches(stream, cfg, 6 * HOUR * 1000, lane=F.col("worker")), name="batches")
     return got.filter("kind = 'file'").groupBy("lane", "batch_no").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

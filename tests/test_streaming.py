@@ -99,6 +99,56 @@ def test_order_holds_over_arrow_batches(spark, feed):
     assert {r.rel_path: r.batch_no for r in out if r.kind == "file"} == {f"f{i:03d}": i // 50 for i in range(200)}
 
 
+def test_pieces_hold_little_of_a_large_key():
+    """A key with far more rows than a piece is merged from runs that lie in the state store."""
+    import pickle
+    import random
+
+    import pandas as pd
+
+    class Store(dict):
+        most = 0
+
+        def updateValue(self, k, v):
+            self[k] = v
+            assert len(pickle.loads(v[0])) <= stateful.PIECE
+
+        def getValue(self, k):
+            return self[k]
+
+        def removeKey(self, k):
+            del self[k]
+
+    rows = [(k // 3, f"p{k:06d}", None if k % 5 else "x") for k in range(20_000)]
+    mixed = random.Random(1).sample(rows, len(rows))
+    frames = [pd.DataFrame(mixed[k:k + 3000], columns=["us", "path", "type"]) for k in range(0, len(mixed), 3000)]
+    store, got, largest = Store(), [], 0
+    for piece in stateful._pieces(store, iter(frames), ["us", "path", "type"], ["us", "path"]):
+        largest = max(largest, len(piece))
+        got += [tuple(r)[:2] for r in piece.itertuples(index=False)]
+    assert got == [r[:2] for r in rows] and largest <= stateful.PIECE and not store
+    # One frame needs no store; none gives nothing.
+    alone = pd.concat(stateful._pieces(None, iter(frames[:1]), ["us", "path", "type"], ["us", "path"]))
+    assert alone["path"].tolist() == sorted(frames[0]["path"])
+    assert not list(stateful._pieces(None, iter([]), ["us"], ["us"]))
+
+
+def test_worker_state_over_many_pieces(spark, feed, monkeypatch):
+    monkeypatch.setattr(stateful, "PIECE", 5)
+    add, stream = feed(TRANSFER_EVENTS)
+    events_ = [event(2 * k, "FileStarted", path=f"f{k}") for k in range(60)] + [event(2 * k + 1, "FileCompleted", path=f"f{k}") for k in range(60)]
+    add(*events_[::-1])
+    add(event(200, "FileStarted", path="z"), event(119, "FileStarted", path="late"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = sinks.drain(stateful.worker_state(stream, delay="1 hour")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.path, r.duration_us) for r in out if r.kind == "finished") == sorted((f"f{k}", 1_000_000) for k in range(60))
+    assert {(r.kind, r.path) for r in out if r.kind in ("idle", "in_flight")} == {("idle", "f59"), ("in_flight", "z")}
+
+
 def test_incremental_plan_keeps_the_newest_row(spark, feed, manifest, tmp_path):
     from driftline.schemas import MANIFEST
     add, stream = feed(MANIFEST)
