@@ -35,7 +35,8 @@ def load_manifest(spark, path: str) -> DataFrame:
 _COMMIT = re.compile(r"_committed-(\d{12})-(\w+)$")
 
 
-def _names(spark, path: str) -> list[str]:
+def folder_names(spark, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
@@ -43,10 +44,19 @@ def _names(spark, path: str) -> list[str]:
 
 def table_folder(spark, path: str) -> str:
     """Where the newest committed version of a table lies; `path` itself if it has no versions."""
-    done = max((n for n in _names(spark, path) if _COMMIT.match(n)), default=None)
+    done = max((n for n in folder_names(spark, path) if _COMMIT.match(n)), default=None)
     return f"{path}/version-{done.removeprefix('_committed-')}" if done else path
 
 
+def table_exists(spark, path: str) -> bool:
+    return any(_COMMIT.match(n) for n in folder_names(spark, path))
+
+
+def remove_folder(spark, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_table(spark, path: str, fmt="parquet") -> DataFrame:
     return spark.read.format(fmt).load(table_folder(spark, path))
 
@@ -57,14 +67,14 @@ def write_table(df: DataFrame, path: str, partition_by=(), fmt="parquet") -> Non
     keep the version they opened until the next but one write. Partition manifests by a coarse path
     column to prune directories at read time."""
     spark = df.sparkSession
-    done = max((int(m[1]) for m in map(_COMMIT.match, _names(spark, path)) if m), default=0)
+    done = max((int(m[1]) for m in map(_COMMIT.match, folder_names(spark, path)) if m), default=0)
     version = f"{done + 1:012d}-{uuid.uuid4().hex[:8]}"
     w = df.write.format(fmt)
     (w.partitionBy(*partition_by) if partition_by else w).save(f"{path}/version-{version}")
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.create(jvm.Path(f"{path}/_committed-{version}"), False).close()
-    for name in _names(spark, path):
+    for name in folder_names(spark, path):
         number = re.match(r"(?:version|_committed)-(\d{12})-", name)
         if number and int(number[1]) < done:
             fs.delete(jvm.Path(f"{path}/{name}"), True)
@@ -112,3 +122,28 @@ def write_bucketed(m: DataFrame, table: str, path: str, buckets: int) -> DataFra
     (m.repartition(buckets, "rel_path").write.mode("overwrite").bucketBy(buckets, "rel_path").sortBy("rel_path")
       .option("path", path).saveAsTable(table))
     return m.sparkSession.table(table)
+
+
+HASH_BUCKET = "bucket"
+
+
+def hash_bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def write_hashed(m: DataFrame, path: str, buckets: int) -> None:
+    """Store a manifest as a versioned table in folders by the hash of its paths, so that a reader who
+    looks for some paths opens only their buckets."""
+    dealt = m.withColumn(HASH_BUCKET, hash_bucket(F.col("rel_path"), buckets))
+    write_table(dealt.repartition(buckets, HASH_BUCKET), path, [HASH_BUCKET])
+
+
+def read_hashed(spark, path: str) -> DataFrame:
+    """The manifest with its `bucket` column, empty before the first sync."""
+    schema = T.StructType([*MANIFEST.fields, T.StructField(HASH_BUCKET, T.IntegerType())])
+    try:
+        return spark.read.schema(schema).parquet(table_folder(spark, path))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        return spark.createDataFrame([], schema)

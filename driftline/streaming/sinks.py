@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.session import scratch
+from driftline.sources.tables import folder_names, remove_folder, table_exists, table_folder, write_table
 
 
 def write_batches(stream: DataFrame, path: str, mode="append", transform=None, name=None, **trigger):
@@ -21,11 +22,60 @@ def read_batches(spark, path: str, schema) -> DataFrame:
 
 
 def read_latest(spark, path: str, schema, keys) -> DataFrame:
-    """Newest version of each key over all micro-batches."""
+    """Newest version of each key over all micro-batches: those folded by `compact`, and the later ones."""
+    folded = _folded(spark, path, schema)
     rows = spark.read.schema(f"{_ddl(schema)}, batch bigint").parquet(f"{path}/rows")
+    if folded is not None:
+        done = folded.agg(F.max("upto")).first()[0]
+        rows = rows.filter(F.col("batch") > done).unionByName(folded.filter("batch IS NOT NULL").drop("upto"))
+    return _newest(rows, schema, keys).drop("batch")
+
+
+def _newest(rows: DataFrame, schema, keys) -> DataFrame:
     values = [f.name for f in schema if f.name not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"), F.max("batch").alias("batch"))
+    return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values], "batch")
+
+
+def _folded(spark, path: str, schema):
+    """The newest folded table, or None. Besides its rows, it has one without a batch that tells, in
+    `upto`, the last micro-batch it holds."""
+    if not table_exists(spark, f"{path}/folded"):
+        return None
+    return spark.read.schema(f"{_ddl(schema)}, batch bigint, upto bigint").parquet(table_folder(spark, f"{path}/folded"))
+
+
+def finished_batches(spark, path: str) -> list[int]:
+    """Numbers of the micro-batches whose folders are complete."""
+    rows = [n.removeprefix("batch=") for n in folder_names(spark, f"{path}/rows") if n.startswith("batch=")]
+    return sorted(int(n) for n in rows if "_SUCCESS" in folder_names(spark, f"{path}/rows/batch={n}"))
+
+
+def compact(spark, path: str, schema, keys) -> int:
+    """Fold all finished micro-batches of an updating stream into one versioned table, so that reading
+    does not slow down with their number. Returns the last micro-batch folded, or -1.
+
+    The table is replaced as a whole and says itself up to where it goes: a fold that fails changes
+    nothing, and one that is repeated, or overtaken by a retried micro-batch, gives the same rows.
+    Folders are deleted only once the version before has folded them, so no reader loses them."""
+    folded, finished = _folded(spark, path, schema), finished_batches(spark, path)
+    done = -1 if folded is None else folded.agg(F.max("upto")).first()[0]
+    new = [n for n in finished if n > done]
+    if not new:
+        return done
+    rows = (spark.read.schema(f"{_ddl(schema)}, batch bigint").option("basePath", f"{path}/rows")
+            .parquet(*[f"{path}/rows/batch={n}" for n in new]))
+    if folded is not None:
+        rows = rows.unionByName(folded.filter("batch IS NOT NULL").drop("upto"))
+    none = F.lit(None)
+    mark = spark.range(1).select(*[none.cast(f.dataType).alias(f.name) for f in schema], none.cast("bigint").alias("batch"),
+                                 F.lit(new[-1]).cast("bigint").alias("upto"))
+    whole = _newest(rows, schema, keys).withColumn("upto", none.cast("bigint"))
+    write_table(whole.select(*mark.columns).unionByName(mark), f"{path}/folded")
+    for n in finished:
+        if n <= done:
+            remove_folder(spark, f"{path}/rows/batch={n}")
+    return new[-1]
 
 
 def read_last_batch(spark, path: str, schema) -> DataFrame:

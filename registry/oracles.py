@@ -411,6 +411,7 @@ ORACLES = {
     "agg_11_verify_errors": _with(_EV, """SELECT run_id, concat(count(*), ' files failed verification') AS message
         FROM ev WHERE type = 'VerifyFailed' GROUP BY run_id"""),
 }
+ORACLES["stm_07_folded_plan"] = ORACLES["stm_07_incremental_plan"]
 # The same result whatever the chunks.
 ORACLES["udf_01_match_chunks"] = ORACLES["udf_01_match_chunked"] = ORACLES["agg_06_delta_stats"]
 ORACLES["agg_04_chunked_signatures"] = ORACLES["agg_04_signatures"]

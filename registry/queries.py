@@ -622,6 +622,20 @@ def stm_07_incremental_plan(spark, sf):
     return planning.read_plan(spark, out).select("rel_path", "action", "reason")
 
 
+@query
+def stm_07_folded_plan(spark, sf):
+    """The same plan against a destination stored by path hash, in several micro-batches that are
+    folded into one table."""
+    out, where = scratch(spark, "plan"), scratch(spark, "dst")
+    tables.write_hashed(x.dst(spark, sf), where, 16)
+    listed = scratch(spark, "listing")
+    x.src_files(spark, sf).drop("content").repartition(3, "rel_path").write.parquet(listed)
+    stream = x.listed_stream(spark, listed)
+    planning.incremental_plan(stream, tables.read_hashed(spark, where), out, CHAIN, buckets=16).awaitTermination()
+    planning.compact_plan(spark, out)
+    return planning.read_plan(spark, out).select("rel_path", "action", "reason")
+
+
 @query
 def stm_08_live_failures(spark, sf):
     return sinks.drain(live.live_failures(x.event_stream(spark, sf)), name="failures").withColumn("ts", F.unix_micros("ts"))

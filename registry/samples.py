@@ -114,3 +114,10 @@ def src_stream(spark, sf_dir) -> DataFrame:
     return source_columns(_stream(spark, sf_dir, "documents")).drop("content").selectExpr(
         "*", "CAST(NULL AS BIGINT) AS atime_ns", "CAST(NULL AS STRING) AS link_target",
         "CAST(NULL AS MAP<STRING, BINARY>) AS xattrs")
+
+
+def listed_stream(spark, path: str) -> DataFrame:
+    """Stored source files, a file of them at a time."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).selectExpr(
+        "*", "CAST(NULL AS BIGINT) AS atime_ns", "CAST(NULL AS STRING) AS link_target", "CAST(NULL AS MAP<STRING, BINARY>) AS xattrs")

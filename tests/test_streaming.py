@@ -164,6 +164,66 @@ def test_incremental_plan_keeps_the_newest_row(spark, feed, manifest, tmp_path):
     assert got == {"same": ("skip", 10), "new": ("copy_new", 77), "x.log": ("excluded", 10), "old": ("copy_changed", 5)}
 
 
+def test_incremental_plan_reads_touched_buckets_only(spark, feed, manifest, tmp_path):
+    import glob
+
+    from driftline.schemas import MANIFEST
+    from driftline.sources.tables import HASH_BUCKET, hash_bucket, read_hashed, write_hashed
+
+    add, stream = feed(MANIFEST)
+    where, n = str(tmp_path / "dst"), 16
+    assert read_hashed(spark, where).count() == 0
+    write_hashed(manifest(*[f"f{k}" for k in range(200)]), where, n)
+    d = read_hashed(spark, where)
+    assert d.count() == 200 and d.groupBy("rel_path").count().filter("count > 1").count() == 0
+    paths = ["f3", "f77", "new"]
+    add(*[tuple(r) for r in manifest(*paths).collect()])
+    wanted = {r[0] for r in manifest(*paths).select(hash_bucket(F.col("rel_path"), n)).collect()}
+    others = [p for p in glob.glob(f"{where}/version-*/{HASH_BUCKET}=*/*.parquet") if int(p.split(f"{HASH_BUCKET}=")[1].split("/")[0]) not in wanted]
+    assert len(others) >= n - len(wanted) - 1
+    for p in others:                       # whoever opens one of these fails
+        with open(p, "wb") as out:
+            out.write(b"no parquet")
+    out = str(tmp_path / "plan")
+    planning.incremental_plan(stream, d, out, buckets=n).awaitTermination()
+    assert {r.rel_path: r.action for r in planning.read_plan(spark, out).collect()} == {"f3": "skip", "f77": "skip", "new": "copy_new"}
+
+
+def test_folding_micro_batches(spark, feed, manifest, tmp_path):
+    import os
+
+    from driftline.schemas import MANIFEST
+
+    add, stream = feed(MANIFEST)
+    out = str(tmp_path / "plan")
+
+    def arrive(*entries):
+        add(*[tuple(r) for r in manifest(*entries).collect()])
+        planning.incremental_plan(stream, manifest("same"), out).awaitTermination()
+
+    def plan():
+        return {r.rel_path: (r.action, r.size) for r in planning.read_plan(spark, out).collect()}
+
+    arrive("same", {"rel_path": "a", "size": 1})
+    arrive({"rel_path": "a", "size": 2}, "b")
+    want = plan()
+    assert want == {"same": ("skip", 10), "a": ("copy_new", 2), "b": ("copy_new", 10)}
+    planning.compact_plan(spark, out)
+    assert plan() == want
+    # What comes later wins, whether folded or not; folding again changes nothing.
+    arrive({"rel_path": "b", "size": 3})
+    assert plan() == {**want, "b": ("copy_new", 3)}
+    # A folder that is not finished is left for the next time.
+    os.makedirs(f"{out}/rows/batch=99")
+    assert sinks.finished_batches(spark, out) == [0, 1, 2]
+    for _ in range(2):
+        planning.compact_plan(spark, out)
+        assert plan() == {**want, "b": ("copy_new", 3)}
+    assert sinks.finished_batches(spark, out) == [2]              # the others are folded and gone
+    arrive("c")
+    assert plan()["c"] == ("copy_new", 10) and len(plan()) == 4
+
+
 def test_fan_out(spark, feed, tmp_path):
     add, stream = feed("level string, n int")
     add(("DEBUG", 1), ("INFO", 2))
