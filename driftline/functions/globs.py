@@ -1,7 +1,8 @@
 """Ordered include/exclude rules as Spark columns.
 
 A rule becomes a boolean column of path and type, so filtering is row-local: no join and no
-shuffle, also for directory pruning, where a row tests its own ancestors.
+shuffle, also for directory pruning, where a row tests its own ancestors. Long rule tables are looked
+up in an index instead (`functions.rules`), row by row as well.
 """
 
 import re
@@ -11,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions import rules as long_rules
 from driftline.functions.paths import ancestors
 
 # A glob token; possessive parts so that an unterminated class falls through to a literal "[".
@@ -22,6 +24,8 @@ _POSIX = {
     "lower": r"\p{Lower}", "space": r"\p{Space}", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}",
 }
 _MAGIC = re.compile(r"[*?\[]")
+# Chains above this many rules are looked up in an index.
+INDEXED = 200
 
 
 def _char_class(token: str) -> str:
@@ -140,9 +144,19 @@ class FilterChain:
     def empty(self) -> bool:
         return not self.rules and not self.min_size and not self.max_size
 
+    def _index(self):
+        """The index of a long chain, None for a short one."""
+        if len(self.rules) <= INDEXED:
+            return None
+        parts = [(include, *_parts(pattern)) for include, pattern in self.rules]
+        return long_rules.RuleIndex([(i, body, dirs, anchored, end, _regex(body, anchored, r"\z")) for i, body, dirs, anchored, end in parts])
+
     def _rules(self, path, is_dir) -> Column:
         if not self.rules:
             return F.lit(True)
+        index = self._index()
+        if index:
+            return long_rules.matches(index, path, is_dir)
         case = None
         for include, pattern in self.rules:
             hit = glob_col(pattern, path, is_dir)
@@ -166,6 +180,9 @@ class FilterChain:
         excluded = [pattern for include, pattern in self.rules if not include]
         if not excluded:
             return F.lit(False)
+        index = self._index()
+        if index:
+            return long_rules.under_excluded_dir(index, path)
         if includes == sorted(includes):
             return reduce(lambda a, b: a | b, [glob_above(p, path) for p in excluded])
         return F.exists(ancestors(path), lambda a: ~self._rules(a, F.lit(True)))

@@ -1,8 +1,10 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions import globs
 from driftline.functions.globs import filter_chain, glob_col, glob_regex, load_rules, parse_rule
 from driftline.operators.filtering import apply_filter, known_types, orphan_temps, prescan, subtree
 
@@ -122,3 +124,33 @@ def test_small_filters(manifest):
 def test_long_rule_tables(spark):
     rules = spark.range(10_050).selectExpr("id AS ord", "concat('- x', id) AS rule")
     assert len(filter_chain(rules).rules) == 10_050
+
+
+def test_the_index_agrees_with_the_chain(spark, monkeypatch):
+    """Every kind of rule, alone and mixed in any order, by the index and by the CASE."""
+    parts = ["a", "b.tmp", "build", "x[1]", "d1", "naïve.txt"]
+    paths = ["/".join(p) for n in (1, 2, 3) for p in itertools.product(parts, repeat=n)]
+    df = spark.createDataFrame([(p, d) for p in paths for d in (True, False)], "rel_path string, d boolean")
+    rules = ["build/", "build", "/build", "*.tmp", "a/build/", "**/d?", "d[0-9]", "/a/*", "b*", "*", "a/**", "**", "b[!a]b*", "x[[]1]", "[[:alpha:]]",
+             "[![:digit:]]*.t?p", "a/*/d1", "n*ve.txt", "**.txt", "/a", "d1/**/build", "b**p", "*ld", "?", "*/d1/"]
+    rng = random.Random(7)
+    chains = [[r] for r in rules] + [[rng.choice(["+ ", "- "]) + r for r in rng.sample(rules, 9)] for _ in range(25)]
+    found = []
+    for limit in (0, 200):
+        monkeypatch.setattr(globs, "INDEXED", limit)
+        cols = [c for k, r in enumerate(chains) for c in (filter_chain(r).matches(is_dir=F.col("d")).alias(f"m{k}"), filter_chain(r).under_excluded_dir().alias(f"p{k}"))]
+        found.append(sorted(df.select("rel_path", "d", *cols).collect()))
+    for x, y in zip(*found):
+        for k, r in enumerate(chains):
+            assert (x[f"m{k}"], x[f"p{k}"]) == (y[f"m{k}"], y[f"p{k}"]), (r, x.rel_path, x.d)
+
+
+def test_twenty_thousand_rules(spark):
+    rules = [f"- name{k}" for k in range(8000)] + [f"+ *.e{k}" for k in range(4000)] + [f"- /top{k}/*.txt" for k in range(4000)] + [f"- p{k}*/" for k in range(4000)]
+    chain = filter_chain(rules)
+    rows = [("x/name7999", False, False), ("a/name1/b", True, True), ("q/f.e3999", False, True), ("top3999/z.txt", False, False),
+            ("x/top1/z.txt", False, True), ("p3999q", True, False), ("p3999q", False, True), ("p3999q/z/w", False, True), ("other", False, True)]
+    df = spark.createDataFrame(rows, "rel_path string, d boolean, want boolean")
+    got = df.select("*", chain.matches(is_dir=F.col("d")).alias("kept"), chain.under_excluded_dir().alias("pruned")).collect()
+    assert all(r.kept == r.want for r in got)
+    assert {r.rel_path for r in got if r.pruned} == {"a/name1/b", "p3999q/z/w"}
