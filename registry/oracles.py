@@ -217,6 +217,7 @@ ORACLES = {
     "src_03_load_manifest": _with(_TREES, """SELECT file_type, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes,
         max(mtime_ns) AS newest_ns FROM dst GROUP BY file_type"""),
     "src_04_read_content": "SELECT concat('source=', source) AS dir, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source",
+    "src_01_tree_files": _with(_FILES, "SELECT rel_path, size, mtime_ns FROM src_files"),
     "src_04_read_chunks": """SELECT concat('source=', source) AS dir, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS bounded, true AS complete
         FROM documents GROUP BY source""",
     "src_05_read_events": _with(_EV, """SELECT type, worker, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, count(error) AS errors,

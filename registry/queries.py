@@ -44,6 +44,14 @@ def src_01_read_tree(spark, sf):
     return tree.read_tree(spark, out.removeprefix("file:")).filter("file_type = 'dir'").select("rel_path", "file_type")
 
 
+@query
+def src_01_tree_files(spark, sf):
+    """Documents written out as files, a file each, then listed with their sizes and times."""
+    out = scratch(spark, "tree").removeprefix("file:")
+    x.write_tree(spark, sf, out)
+    return tree.read_tree(spark, out).filter("file_type = 'regular'").select("rel_path", "size", "mtime_ns")
+
+
 @query
 def src_02_subtree(spark, sf):
     return filtering.subtree(x.src(spark, sf), "src1").select("rel_path", "file_type", "size")

@@ -121,3 +121,23 @@ def listed_stream(spark, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).selectExpr(
         "*", "CAST(NULL AS BIGINT) AS atime_ns", "CAST(NULL AS STRING) AS link_target", "CAST(NULL AS MAP<STRING, BINARY>) AS xattrs")
+
+
+def write_tree(spark, sf_dir, root: str) -> int:
+    """The source files as files below a folder that all executors see, with their times; how many."""
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            for path, data, at in zip(*(b.column(c).to_pylist() for c in ("rel_path", "content", "mtime_ns"))):
+                where = os.path.join(root, path)
+                os.makedirs(os.path.dirname(where), exist_ok=True)
+                with open(where, "wb") as f:
+                    f.write(data)
+                os.utime(where, ns=(at, at))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    files = src_files(spark, sf_dir).select("rel_path", "content", "mtime_ns")
+    return files.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.schemas import MANIFEST
-from driftline.sources import tables
+from driftline.sources import tables, tree
 from driftline.sources.tree import read_tree
 
 
@@ -34,6 +34,23 @@ def test_tree(spark, tmp_path):
     assert read_tree(spark, str(tmp_path / "missing"), 2).count() == 0
 
 
+def test_large_directories_are_shared_by_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "LOOK", 20)
+    for k in range(60):
+        (tmp_path / f"f{k}").write_bytes(b"x" * k)
+    for k in range(5):
+        os.makedirs(tmp_path / f"d{k}" / "e")
+        (tmp_path / f"d{k}" / "e" / "leaf").write_text("y")
+    for parts in (1, 3, 7):
+        reader = tree.TreeReader(str(tmp_path), parts)
+        dealt = reader.partitions()
+        # The driver names the directory, and none of its entries.
+        assert len(dealt) == parts and (parts == 1 or all(p.shared and not p.flat and not p.deep for p in dealt))
+        rows = [r for p in dealt for r in reader.read(p)]
+        assert sorted(r[0] for r in rows) == sorted([f"f{k}" for k in range(60)] + [f"d{k}{x}" for k in range(5) for x in ("", "/e", "/e/leaf")])
+        assert all(r[2] == int(r[0][1:]) for r in rows if r[0][0] == "f")
+
+
 def test_content_and_listing(spark, tmp_path):
     os.makedirs(tmp_path / "a" / "x")
     (tmp_path / "a" / "x" / "f g.txt").write_bytes(b"\x00\x01")
