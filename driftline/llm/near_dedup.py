@@ -2,14 +2,14 @@
 
 Every text becomes the set of its word shingles (64-bit hashes) and a MinHash signature. Equal sets
 are one node, whatever their number. Each of TREES sorted orders starts at another place of the
-signature; nodes with the same first DEPTH values form a region. A region with many rows stays one
-region and also has parts at the next values, whose depth adapts to how crowded it is: links found in
-parts leave fewer pairs of the region to compare. Candidates are
+signature; nodes with the same first DEPTH values form a region. Candidates are
 
- 1. the neighbours of a node in each order, that is those with the longest common prefixes;
- 2. nodes of other components against the best linked nodes of a region's components;
+ 1. of the neighbours of a node in all orders, the few with the longest common prefixes, so that the
+    depth of comparison follows how crowded each region is;
+ 2. nodes of other components against the best linked nodes of a region's largest component;
  3. every pair of a region that is still in different components; in crowded regions these are
-    compared block by block, so that sets meet without a row per pair.
+    compared block by block, signatures first, so that sets meet without a row per pair, and a block
+    gives only links that join components.
 
 Each step is confirmed on the full sets and followed by connected components; the next only looks
 at pairs that could still join two of them. So dense groups cost a few links per node, while no
@@ -18,7 +18,8 @@ every region with probability (1 - 0.8^3)^20 < 1e-6, and less where it is more a
 
 Defined cases: texts without words are linked with nothing; fewer words than a shingle has are one
 shingle; rows with a null id keep a null component and are kept; repeated ids are one document, with
-the sets of all their texts linked; an empty table gives an empty result. Only `doc_id` and `text`
+the sets of all their texts linked; a very long text is one set in a task; ties among neighbours go to
+the smaller ids and change no result; an empty table gives an empty result. Only `doc_id` and `text`
 are read.
 """
 
@@ -42,9 +43,11 @@ HASHES = 64
 TREES = 20
 DEPTH = 3
 DEEPEST = 9
-# A region above this many rows also has parts at the next value of the signature, and is compared in blocks.
+# A region above this many rows is compared in blocks.
 CROWD = 64
+# Rows before a row that it is a neighbour of, and neighbours over all orders that a node is compared with first.
 NEIGHBOURS = 2
+NEAREST = 3
 # Signatures that agree in fewer places (5 standard deviations below 0.8) are not confirmed.
 AGREE = 35
 HUBS = 8
@@ -148,101 +151,62 @@ def _tree_rows(batches):
                                          names=["key", "rest", "id"])
 
 
-FOUND = "kind int, key bigint, rest binary, a bigint, b bigint"
-PAIR, MEMBER, EDGE = 0, 1, 2
-
-
-def _neighbours(first_pass: bool):
-    """Over rows sorted by key and rest: pairs of near rows of a region, and the members of regions
-    with several rows. The first and last rows of a task come out as edges, to meet those of the
-    tasks beside it."""
-    import xxhash
-
-    def flush(key, rows, edges):
-        """All rows of one region that this task has."""
-        n = len(rows)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + 1 + NEIGHBOURS)):
-                if rows[i][1] != rows[j][1]:
-                    yield PAIR, key, None, min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])
-        for i in edges:
-            yield EDGE, key, rows[i][0], rows[i][1], None
-        if n < 2 and not edges:
-            return
-        for _, node in rows:
-            yield MEMBER, key, None, node, None
-        if n <= CROWD and not edges:
-            return
-        # Besides the region, its parts at deeper values until few share them: their links leave
-        # less of the region to compare. Rows of a region that continues in another task come out
-        # at all depths, for the other task may have split further.
-        run = rows
-        for depth in range(DEPTH + 1, DEEPEST + 1):
-            count = {}
-            size = 4 * (depth - DEPTH)
-            for rest, _ in run:
-                count[rest[:size]] = count.get(rest[:size], 0) + 1
-            left = []
-            for row in run:
-                prefix = row[0][:size]
-                if count[prefix] <= CROWD and (count[prefix] > 1 or edges):
-                    yield MEMBER, xxhash.xxh3_64_intdigest(prefix, seed=key & 0xFFFFFFFF) - (1 << 63), None, row[1], None
-                if count[prefix] > CROWD or edges:
-                    left.append(row)
-            run = left
-            if not run:
-                break
-
-    def kernel(batches):
-        out = []
-
-        def table():
-            cols = list(zip(*out)) if out else [()] * 5
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            names = ["kind", "key", "rest", "a", "b"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-        key, rows, first = None, [], True
-        for b in batches:
-            for k, rest, node in zip(*(b.column(c).to_pylist() for c in ("key", "rest", "id"))):
-                if k != key:
-                    if rows:
-                        edge = range(min(len(rows), NEIGHBOURS)) if first and first_pass else ()
-                        out += flush(key, rows, set(edge))
-                        first = False
-                    key, rows = k, []
-                rows.append((rest, node))
-                if len(rows) >= 8192:
-                    # A very crowded region is handled in slices, whose rows meet as its members.
-                    out += flush(key, rows, set(range(NEIGHBOURS)) | set(range(len(rows) - NEIGHBOURS, len(rows))))
-                    first = False
-                    rows = rows[-NEIGHBOURS:]
-                if len(out) >= 50_000:
-                    yield table()
-                    out.clear()
-        if rows:
-            edge = set(range(max(0, len(rows) - NEIGHBOURS), len(rows)))
-            if first:
-                edge |= set(range(min(len(rows), NEIGHBOURS)))
-            out += flush(key, rows, edge if first_pass else set())
-        yield table()
-
-    return kernel
+FOUND = "kind int, key bigint, a bigint, b bigint, depth int"
+PAIR, MEMBER = 0, 1
+
+
+def _neighbours(batches):
+    """Over rows sorted by key, rest and id: pairs of near rows of a region with the length of their
+    common prefix, and the members of regions with several rows. A region may go on in the tasks beside
+    this one, so the first and the last row are members in any case."""
+    def table(kind, key, a, b=None, depth=None):
+        n = len(key)
+        cols = [np.full(n, kind, np.int32), key, a, b, depth]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)],
+                                          names=["kind", "key", "a", "b", "depth"])
+
+    key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rest = np.zeros((0, DEEPEST - DEPTH), ">u4")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if not len(key):
+            yield table(MEMBER, batch.column("key").to_numpy()[:1], batch.column("id").to_numpy()[:1])
+        old = len(key)
+        key = np.append(key, batch.column("key").to_numpy())
+        node = np.append(node, batch.column("id").to_numpy())
+        rest = np.concatenate([rest, np.frombuffer(b"".join(batch.column("rest").to_pylist()), ">u4").reshape(-1, DEEPEST - DEPTH)])
+        for d in range(1, NEIGHBOURS + 1):
+            at = np.arange(max(old, d), len(key))
+            at = at[(key[at] == key[at - d]) & (node[at] != node[at - d])]
+            x, y = node[at - d], node[at]
+            depth = DEPTH + np.cumprod(rest[at] == rest[at - d], axis=1).sum(axis=1)
+            yield table(PAIR, key[at], np.minimum(x, y), np.maximum(x, y), depth)
+        at = np.arange(max(old, 1), len(key))
+        at = at[key[at] == key[at - 1]]
+        # The first row of a region is a member once a second one is there.
+        first = at[(at < 2) | (key[at - 1] != key[at - 2])] - 1
+        both = np.append(first, at)
+        yield table(MEMBER, key[both], node[both])
+        key, node, rest = (x[-NEIGHBOURS:] for x in (key, node, rest))
+    if len(key):
+        yield table(MEMBER, key[-1:], node[-1:])
 
 
 def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Neighbour pairs (a < b) and region members (key, id) of nodes (id, sig)."""
+    """Neighbour pairs (a < b) and region members (key, id) of nodes (id, sig). Each node has its
+    NEAREST neighbours by common prefix over all orders; members stand for all other pairs."""
     spark = nodes.sparkSession
-    bounded_batches(spark, rows=2000)
+    bounded_batches(spark, rows=20_000)
     rows = nodes.select("id", "sig").mapInArrow(_tree_rows, "key bigint, rest binary, id bigint")
     ordered = rows.repartitionByRange("key", "rest", "id").sortWithinPartitions("key", "rest", "id")
-    found = cut(ordered.mapInArrow(_neighbours(True), FOUND))
-    # A few rows per task.
-    edges = (found.filter(F.col("kind") == EDGE).select("key", "rest", F.col("a").alias("id")).distinct()
-             .repartition(1).sortWithinPartitions("key", "rest", "id").mapInArrow(_neighbours(False), FOUND))
-    every = found.unionAll(edges)
-    pairs = every.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    members = every.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("id")).distinct()
+    found = cut(ordered.mapInArrow(_neighbours, FOUND))
+    met = found.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("depth").alias("depth"))
+    ends = met.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "depth")
+    nearest = W.partitionBy("x").orderBy(F.desc("depth"), "a", "b")
+    pairs = ends.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= NEAREST).select("a", "b").distinct()
+    members = found.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("id")).distinct()
     return pairs, members
 
 
@@ -337,9 +301,13 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+# Pairs of a block with like signatures above which all sizes of intersections are found as products.
+PAIRWISE = 4096
+
+
 def _compare_blocks(near: Near):
-    """Links between the outsiders and the members in one block each: the sizes of all
-    intersections as products of occurrence matrices over the shingles both sides have."""
+    """Links that join components, between the outsiders and the members in one block each. Pairs whose
+    signatures agree are confirmed on full sets, as long as their components are still apart."""
     def occurrences(flat, owner, n, shingles):
         at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
         hit = shingles[at] == flat
@@ -347,34 +315,52 @@ def _compare_blocks(near: Near):
         out[owner[hit], at[hit]] = 1
         return out
 
-    def run(table: pa.Table) -> pa.Table:
-        role = np.array(table.column("role").to_pylist())
-        ids, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "component"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("full").to_pylist()]
-        sides = []
-        for r in (0, 1):
-            rows = np.flatnonzero(role == r)
-            own = [sets[k] for k in rows.tolist()]
-            size = np.array([len(s) for s in own], np.int64)
-            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            sides.append((rows, size, flat, np.repeat(np.arange(len(own)), size)))
-        (x, nx, fx, ox), (y, ny, fy, oy) = sides
+    def products(x, y):
+        """Sizes of all intersections, by occurrence matrices over the shingles both sides have."""
+        (fx, ox), (fy, oy) = ((np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own])) for own in (x, y))
         common = np.intersect1d(fx, fy)
         both = np.zeros((len(x), len(y)), np.float32)
         for k in range(0, len(common), 4096):
             part = common[k:k + 4096]
             both += occurrences(fx, ox, len(x), part) @ occurrences(fy, oy, len(y), part).T
-        both = both.astype(np.int64)
-        linked = (100 * both >= near.percent * (nx[:, None] + ny[None, :] - both)) & (comps[x][:, None] != comps[y][None, :])
-        i, j = np.nonzero(linked)
-        a, b = ids[x][i], ids[y][j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return both.astype(np.int64)
+
+    def run(table: pa.Table) -> pa.Table:
+        role = np.array(table.column("role").to_pylist())
+        ids, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("full").to_pylist()]
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u4").reshape(-1, HASHES)
+        x, y = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        same = np.zeros((len(x), len(y)), np.int16)
+        for k in range(HASHES):
+            same += sigs[x, k][:, None] == sigs[y, k][None, :]
+        like = (same >= AGREE) & (comps[x][:, None] != comps[y][None, :])
+        dense = products([sets[k] for k in x], [sets[k] for k in y]) if like.sum() > PAIRWISE else None
+        top: dict[int, int] = {}
+
+        def find(c):
+            while (up := top.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(like)):
+            a, b = x[i], y[j]
+            ca, cb = find(int(comps[a])), find(int(comps[b]))
+            if ca == cb:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if dense is None else dense[i, j]
+            if 100 * both >= near.percent * (len(sets[a]) + len(sets[b]) - both):
+                top[max(ca, cb)] = min(ca, cb)
+                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _crowded_links(mixed: DataFrame, docs: DataFrame, near: Near, block=512) -> DataFrame:
-    """Links between components of regions above CROWD rows. Outsiders and members are dealt into
+def _crowded_links(mixed: DataFrame, nodes: DataFrame, docs: DataFrame, near: Near, block=512) -> DataFrame:
+    """Links that join components of regions above CROWD rows. Outsiders and members are dealt into
     blocks; every block of the one meets every block of the other."""
     crowded = cut(mixed.filter(F.col("total") > CROWD)
                   .withColumns({"s": F.ceil(F.col("total") / block).cast("int"), "r": F.ceil(F.col("rest") / block).cast("int")}))
@@ -384,7 +370,7 @@ def _crowded_links(mixed: DataFrame, docs: DataFrame, near: Near, block=512) ->
         "key", everywhere("s").alias("s"), F.pmod(place, F.col("r")).cast("int").alias("r"), F.lit(0).alias("role"), "id", "component")
     against = crowded.select(
         "key", F.pmod(place, F.col("s")).cast("int").alias("s"), everywhere("r").alias("r"), F.lit(1).alias("role"), "id", "component")
-    sets = full_sets(docs, crowded.select(F.col("id").alias("doc_id")).distinct(), near)
+    sets = full_sets(docs, crowded.select(F.col("id").alias("doc_id")).distinct(), near).join(nodes.select("id", "sig"), "id")
     return cut(outside.unionAll(against).join(sets, "id").groupBy("key", "s", "r")
                .applyInArrow(_compare_blocks(near), "a bigint, b bigint").distinct())
 
@@ -429,7 +415,7 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     also(_other_component(likely, labels).select("a", "b"))
     also(_agreement(_hub_pairs(members, labels, links), nodes, near).select("a", "b"))
     also(_agreement(_cross_pairs(_mixed(members, labels)), nodes, near).select("a", "b"))
-    link(_crowded_links(_mixed(members, labels), docs, near))
+    link(_crowded_links(_mixed(members, labels), nodes, docs, near))
     return labels
 
 
