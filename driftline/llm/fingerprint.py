@@ -2,16 +2,24 @@
 
 A document is a tree: the root over sections, a section over paragraphs (lines), a paragraph over
 clauses. A section ends after a paragraph whose hash divides by SECTION, so an edit moves no
-section border but those beside it. Every node is the SHA-256 of its children, so equal roots mean
-equal texts, and the way down through differing nodes leads to the edited clauses.
+section border but those beside it. Every node is the SHA-256 of the full hashes of its children, so
+equal roots mean equal texts. Only what is written out is shortened: below the root, hashes serve to
+compare the branches of two trees.
 
 The fingerprint is one string: the root, then per section its hash and its paragraphs, each with
 its hash and its clauses as `hash:characters`. It is the same for equal texts, and two of them can
 be compared without the texts.
 
+Two fingerprints are compared from the top down. Branches that both have, as often as both have them,
+are set aside, sections first; the paragraphs of the sections left are compared the same way, and then
+the clauses of the paragraphs left. What is left of clauses is where the texts differ. A branch
+counts in full where the branch before it is the same as well, and by half where it stands elsewhere.
+
 Defined cases: null is the empty text; an empty text has one section with one empty paragraph;
 blank lines are paragraphs; repeated rows and ids have a fingerprint each; the order of rows with
-equal ids is that of their texts.
+equal ids is that of their texts; very long texts are one row, and the work grows with their length
+times its logarithm; an empty table gives an empty result. Only `doc_id` and `text` are read, other
+columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -24,59 +32,86 @@ from driftline.operators.ordered import Scan, ordered_scan
 from driftline.session import cut
 
 SECTION = 4
-# Hexadecimal digits of inner nodes and of leaves; the root has all 64.
+# Hexadecimal digits of inner nodes and of leaves as they are written; the root has all 64.
 NODE = 16
 LEAF = 8
 # A clause ends after a mark and white space.
 CLAUSE_END = "(?<=[.!?;:,]\\s)|(?<=[。！？，])"
 
 
-def _hash(value: Column, digits=NODE) -> Column:
-    return F.substring(F.sha2(F.encode(value, "utf-8"), 256), 1, digits)
-
-
-def leaves(text: Column) -> Column:
-    """Paragraphs as arrays of `hash:characters`, one per clause."""
-    paragraphs = F.split(text, "\n")
-    return F.transform(paragraphs, lambda p: F.transform(
-        F.split(p, CLAUSE_END), lambda s: F.concat(_hash(s, LEAF), F.lit(":"), F.length(s).cast("string"))))
+def _sha(value: Column) -> Column:
+    return F.sha2(F.encode(value, "utf-8"), 256)
 
 
 def fingerprint(text: Column) -> Column:
     """The whole tree as a string: `root|section{paragraph(leaf,leaf)paragraph(leaf)}section{...}`."""
-    paragraphs = F.transform(leaves(F.coalesce(text, F.lit(""))), lambda p: F.concat_ws(",", p))
-    nodes = F.transform(paragraphs, lambda p: F.concat(_hash(p), F.lit("("), p, F.lit(")")))
+    clauses = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.transform(
+        F.split(p, CLAUSE_END), lambda s: F.concat(_sha(s), F.lit(":"), F.length(s).cast("string"))))
+    # A paragraph with its full hash, over the full hashes of its clauses; the clauses shortened.
+    nodes = F.transform(F.transform(clauses, lambda p: F.array_join(p, ",")), lambda p: F.concat(
+        _sha(p), F.lit("("), F.regexp_replace(p, f"([0-9a-f]{{{LEAF}}})[0-9a-f]{{{64 - LEAF}}}:", "$1:"), F.lit(")")))
     # A section ends after a node whose first hexadecimal digit divides by SECTION.
     marked = F.array_join(F.transform(nodes, lambda n: F.when(
         F.conv(F.substring(n, 1, 1), 16, 10).cast("int") % SECTION == 0, F.concat(n, F.lit("\n"))).otherwise(n)), "")
-    sections = F.filter(F.split(marked, "\n"), lambda s: s != "")
-    tree = F.array_join(F.transform(sections, lambda s: F.concat(_hash(s), F.lit("{"), s, F.lit("}"))), "")
-    return F.concat(F.sha2(F.encode(tree, "utf-8"), 256), F.lit("|"), tree)
+    sections = F.transform(F.filter(F.split(marked, "\n"), lambda s: s != ""), lambda s: F.concat(_sha(s), F.lit("{"), s, F.lit("}")))
+    whole = F.array_join(sections, "")
+    # The root is over the full hashes of sections, each of which is over those of its paragraphs.
+    top = _sha(F.array_join(F.transform(sections, lambda s: F.substring(s, 1, 64)), ""))
+    return F.concat(top, F.lit("|"), F.regexp_replace(whole, f"([0-9a-f]{{{NODE}}})[0-9a-f]{{{64 - NODE}}}([({{])", "$1$2"))
 
 
 def root(print_: Column) -> Column:
     return F.substring_index(print_, "|", 1)
 
 
-def leaf_set(print_: Column) -> Column:
-    """Distinct leaves of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(print_, F.lit("[(,]([0-9a-f]+:[0-9]+)"), F.lit(1)))
+SECTIONS, PARAGRAPHS, CLAUSES = "[0-9a-f]+\\{[^}]*\\}", "[0-9a-f]+\\([^)]*\\)", "[0-9a-f]+:[0-9]+"
+
+
+def _branches(written: Column, kind: str) -> Column:
+    return F.regexp_extract_all(written, F.lit(f"({kind})"), F.lit(1))
+
+
+def _counted(branches: Column) -> Column:
+    """Branches numbered among their equals, so that sets of them count as bags: `branch#1`, `branch#2`.
+    Equals meet by sorting and are taken in runs, so the work is that of the sort."""
+    runs = F.regexp_extract_all(F.concat(F.array_join(F.array_sort(branches), "\n"), F.lit("\n")), F.lit("(([^\\n]++\\n)\\2*+)"), F.lit(1))
+    return F.flatten(F.transform(runs, lambda r: F.transform(
+        F.sequence(F.lit(1), (F.length(r) / F.instr(r, "\n")).cast("int")),
+        lambda k: F.concat(F.substring_index(r, "\n", 1), F.lit("#"), k.cast("string")))))
 
 
-def _characters(found: Column) -> Column:
-    return F.aggregate(found, F.lit(0).cast("long"), lambda n, x: n + F.substring_index(x, ":", -1).cast("long"))
+def _after(branches: Column) -> Column:
+    """Every branch with the hash of the one before it in front."""
+    return F.transform(branches, lambda x, k: F.concat(
+        F.when(k == 0, F.lit("")).otherwise(F.regexp_extract(F.get(branches, k - 1), "^[0-9a-f]+", 0)), F.lit(">"), x))
 
 
-def likeness(same: Column, one: Column, two: Column) -> Column:
-    """From leaf sets: characters in clauses both have, twice over the characters of each (0 to 1).
-    `same` says whether the roots are equal."""
-    shared, total = _characters(F.array_intersect(one, two)), _characters(one) + _characters(two)
-    return F.when(same, 1.0).when(total > 0, 2.0 * shared / total).otherwise(0.0)
+def _characters(branches: Column) -> Column:
+    """Characters below some branches."""
+    counts = F.regexp_extract_all(F.array_join(branches, ","), F.lit(":([0-9]+)"), F.lit(1))
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Clauses (as leaves) of the first fingerprint that the second lacks: where a text was edited."""
-    return F.array_except(leaf_set(a), leaf_set(b))
+def compare(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """`rows` with the likeness (0 to 1) of the fingerprints in columns `a` and `b` in column `name`, and in
+    `name_left` the clauses of `a` that `b` lacks, as often as it lacks them: where a text was edited."""
+    columns = rows.columns
+    # Each step is a column of its own, so that it is worked out once.
+    step = rows.withColumns({"_a0": F.array(F.substring_index(a, "|", -1)), "_b0": F.array(F.substring_index(b, "|", -1))})
+    shared, total = F.lit(0.0), _characters(F.col("_a0")) + _characters(F.col("_b0"))
+    for k, kind in enumerate((SECTIONS, PARAGRAPHS, CLAUSES), 1):
+        step = step.withColumns({f"_{x}{k}s": _branches(F.array_join(f"_{x}{k - 1}", ""), kind) for x in "ab"} if k < 3 else {
+            f"_{x}3s": _branches(F.array_join(f"_{x}2", ","), kind) for x in "ab"})
+        step = step.withColumns({f"_{x}{k}c": _counted(F.col(f"_{x}{k}s")) for x in "ab"} | {
+            f"_{x}{k}o": _counted(_after(F.col(f"_{x}{k}s"))) for x in "ab"})
+        step = step.withColumns({f"_{x}{k}": F.array_except(f"_{x}{k}c", f"_{y}{k}c") for x, y in ("ab", "ba")} | {
+            f"_m{k}": _characters(F.array_intersect(f"_a{k}c", f"_b{k}c")) + _characters(F.array_intersect(f"_a{k}o", f"_b{k}o"))})
+        shared = shared + F.col(f"_m{k}")
+    # Both sides have what they share, and each counts twice: by itself and behind its predecessor.
+    like = (F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), 1.0)
+            .when(total > 0, F.least(shared / total, F.lit(1.0))).otherwise(0.0))
+    left = F.transform("_a3", lambda x: F.substring_index(x, "#", 1))
+    return step.select(*columns, like.alias(name), left.alias(f"{name}_left"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -118,10 +153,6 @@ def compare_edits(docs: DataFrame) -> DataFrame:
             .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("begin", F.lit(1), half)))
             .select(F.nullif("key", F.lit(FIRST)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
                     fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-                    "next_fingerprint")
-            .withColumns({"_a": leaf_set(F.col("fingerprint")), "_e": leaf_set(F.col("edited_fingerprint")),
-                          "_n": leaf_set(F.col("next_fingerprint"))}))
-    like = {x: likeness(root(F.col("fingerprint")) == root(F.col(c)), F.col("_a"), F.col(x))
-            for x, c in (("_e", "edited_fingerprint"), ("_n", "next_fingerprint"))}
-    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                       like["_e"].alias("near_edited"), like["_n"].alias("near_next"))
+                    "next_fingerprint"))
+    made = compare(compare(made, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
