@@ -8,11 +8,17 @@ its words, without those in elements that are never content, are the text.
 Labelled pages are those that mark their content themselves, with `article` or `main`. Counts are
 taken over all of them. Kinds of words and tags that no page shows keep default weights, and so does
 everything where no page is labelled. On a page with marks, words also know whether they stand
-inside them; pages without marks are scored by element names alone.
+inside them; pages without marks are scored by element names alone. Element names outside HTML share
+one kind, so there are a few hundred kinds at most.
+
+Class, id and role words that name menus, adverts, comments and the like only weigh against an element.
+They weigh nothing on inline elements, an id weighs nothing on a heading or paragraph, where it is an
+anchor, and they are outweighed by what the element holds: a title, marked content, or at least half of
+the words of the content it stands in.
 
 Defined cases: null and empty pages have an empty text; unclosed tags, quotes, comments and scripts
 end with the page; repeated rows are read row by row; an empty table gives an empty result. Only the
-kept columns and `html` are read.
+kept columns and `html` are read. Pages of any length are read by the same rules.
 """
 
 from __future__ import annotations
@@ -40,6 +46,11 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
     td tfoot th thead tr ul""".split())
 NEVER = frozenset("""aside button canvas datalist dialog footer form head iframe input label menu nav noscript object option
     script select style svg template textarea title""".split())
+INLINE = frozenset("""abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span
+    strike strong sub sup time tt u var""".split())
+OTHERS = frozenset("a audio center frame frameset map math picture slot video".split())
+KNOWN = BLOCK | NEVER | VOID | RAW | CONTENT | INLINE | OTHERS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary
@@ -49,7 +60,8 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertising banner brea
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
-_MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_CONTENT_TAG = re.compile("<(?:article|main)", re.I)
+_MARKED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 
@@ -90,7 +102,10 @@ def pieces(page: str) -> Iterator[tuple]:
                 end = stop.start()
             else:
                 quote = stop.group()
-                opened = page[m.end():stop.start()].rstrip().endswith("=") if stop.start() - m.end() < 4096 else True
+                before = stop.start() - 1
+                while before >= m.end() and page[before].isspace():
+                    before -= 1
+                opened = before >= m.end() and page[before] == "="
                 close = page.find(quote, stop.end()) if opened and closing[quote] else -1
                 if opened and close < 0:
                     closing[quote] = False
@@ -106,38 +121,55 @@ def pieces(page: str) -> Iterator[tuple]:
             at = n if stop is None else stop.start()
 
 
-def is_marked(attributes: str) -> bool:
-    """Whether class, id or role has a word of MARKS."""
-    if "=" not in attributes:
+def is_marked(name: str, attributes: str) -> bool:
+    """Whether class, id or role has a word of MARKS that weighs on this element."""
+    if "=" not in attributes or name in INLINE:
         return False
-    for groups in _MARKED.findall(attributes):
+    anchor = name in HEADINGS or name == "p"
+    for attribute, *groups in _MARKED.findall(attributes):
+        if anchor and attribute.lower() == "id":
+            continue
         if any(w.lower() in MARKS for w in _TOKENS.findall("".join(groups))):
             return True
     return False
 
 
+class _Mark:
+    """An open element with a mark: where it begins, the content around it, what it holds."""
+
+    def __init__(self, start, around):
+        self.start, self.around, self.titled = start, around, False
+
+
 def read_page(page: str) -> list[tuple]:
     """(kind, words, text or None, block, in content) of every run and tag, in order. Kinds name what
     is weighed together; text is None for tags and for words that are never content."""
-    low = page.lower() if len(page) < 1 << 20 else page
-    where = "marked" if "<article" in low or "<main" in low else "bare"
+    where = "marked" if _CONTENT_TAG.search(page) else "bare"
     stack, opened = [], Counter()
     never = content = block = 0
-    out = []
+    out, marks, regions, open_regions = [], [], [], []
+
+    def close_mark(mark):
+        if mark is not None:
+            marks.append((mark, len(out)))
 
     def pop(to: int):
         nonlocal never, content
         while len(stack) > to:
-            name, bad = stack.pop()
+            name, bad, mark = stack.pop()
             opened[name] -= 1
             never -= bad
-            content -= name in CONTENT
+            close_mark(mark)
+            if name in CONTENT:
+                content -= 1
+                regions[open_regions.pop()][1] = len(out)
 
     for name, attributes, closes, text in pieces(page):
         if name is None:
             words = len(text.split())
             if words or text:
                 inner = stack[-1][0] if stack else ""
+                inner = inner if inner in KNOWN or not inner else "other"
                 if never:
                     out.append(("never", words, None, block, content > 0))
                 else:
@@ -156,7 +188,7 @@ def read_page(page: str) -> list[tuple]:
                 while stack[k][0] != name:
                     k -= 1
                 pop(k)
-            out.append((f"/{name} {where}", 0, None, block, inside))
+            out.append((f"/{name if name in KNOWN else 'other'} {where}", 0, None, block, inside))
             continue
         if name in CLOSES and stack and opened.total():
             closed = CLOSES[name]
@@ -167,14 +199,50 @@ def read_page(page: str) -> list[tuple]:
                 k -= 1
             if k >= 0 and stack[k][0] in closed:
                 pop(k)
+        if name == "h1" or name in CONTENT:
+            for _, _, mark in stack:
+                if mark is not None:
+                    mark.titled = True
         if name not in VOID:
+            bad = name not in WHOLE and (name in NEVER or name == "header" and not content)
             # The page and its content as a whole are what their marks are about, not marked off.
-            bad = name not in WHOLE and (name in NEVER or name == "header" and not content or is_marked(attributes))
-            stack.append((name, bad))
+            marked = name not in WHOLE and not bad and is_marked(name, attributes)
+            stack.append((name, bad, _Mark(len(out), open_regions[-1] if open_regions else None) if marked else None))
             opened[name] += 1
             never += bad
-            content += name in CONTENT
-        out.append((f"{name} {where}" if not never else "never tag", 0, None, block, inside or content > 0))
+            if name in CONTENT:
+                content += 1
+                open_regions.append(len(regions))
+                regions.append([len(out), None])
+        shown = name if name in KNOWN else "other"
+        out.append((f"{shown} {where}" if not never else "never tag", 0, None, block, inside or content > 0))
+    pop(0)
+    return _without_marked(out, marks, regions)
+
+
+def _without_marked(out: list, marks: list, regions: list) -> list:
+    """The runs and tags, those of marked elements as never content, unless what they hold weighs more."""
+    if not marks:
+        return out
+    total = [0]
+    for kind, words, *_ in out:
+        total.append(total[-1] + (words if kind.startswith("word") else 0))
+    for mark, end in marks:
+        own = total[end] - total[mark.start]
+        if mark.titled:
+            continue
+        if mark.around is not None:
+            a, b = regions[mark.around]
+            if own and 2 * own >= total[b] - total[a]:
+                continue
+        for k in range(mark.start, end):
+            kind, words, text, block, content = out[k]
+            if kind.startswith("word"):
+                out[k] = ("never", words, None, block, content)
+            elif kind == "br":
+                out[k] = ("never tag", 0, None, block, content)
+            elif not kind.startswith("never"):
+                out[k] = ("never tag", 0, None, block, content)
     return out
 
 
@@ -185,7 +253,7 @@ def default_weight(kind: str) -> float:
 
 
 def learn_weights(pages: DataFrame, column="html") -> dict[str, float]:
-    """Weights of kinds from all pages that mark their content. Kinds are few: names of elements."""
+    """Weights of kinds from all pages that mark their content. Kinds are few: names of HTML elements."""
     def count(batches):
         for b in batches:
             inside, outside = Counter(), Counter()
@@ -197,14 +265,14 @@ def learn_weights(pages: DataFrame, column="html") -> dict[str, float]:
                         by_name = " ".join([*kind.split(" ")[:2 if kind.startswith("word") else 1], "bare"])
                         for k in (kind, by_name):
                             (inside if content else outside)[k] += words or not kind.startswith("word")
-            kinds = [k for k in {*inside, *outside} if len(k) <= 64]
+            kinds = list({*inside, *outside})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.string()), pa.array([inside[k] for k in kinds], pa.int64()),
                  pa.array([outside[k] for k in kinds], pa.int64())], names=["kind", "inside", "outside"])
 
     bounded_batches(pages.sparkSession, rows=500)
     rows = (pages.select(column).mapInArrow(count, "kind string, inside bigint, outside bigint").groupBy("kind")
-            .agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.expr("i + o")), "kind").limit(2000).collect())
+            .agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect())
     weights = {}
     for r in rows:
         # Default weights count as a few observations.
