@@ -6,11 +6,13 @@ different contexts of toxic documents and hardly in clean ones. Four small trans
 negation, reported speech, emission) are composed once into a single deterministic one, which
 rewrites each clause into weighted matches: plain, targeted, threat, negated, reported. A logistic
 model over the match weights gives the score, so how much a negated or quoted insult still counts
-is learned, not assumed.
+is learned, not assumed. A quotation is reported speech from a report to its closing quote, over any
+number of clauses, and also where the report follows it.
 
 Defined cases: null and empty texts have no clause and get the score of a text without matches.
-Repeated rows are scored one by one and equal texts score alike. Without labelled rows of both
-classes the built-in seed words and default weights apply. Other columns are not read; clashing
+Repeated rows are scored one by one and equal texts score alike; very long texts are scored whole. An
+empty table gives an empty result. Of a labelled id that repeats, one text is learned from (the smallest),
+and an id with both labels is toxic. Without labelled rows of both classes the built-in seed words and default weights apply. Other columns are not read; clashing
 names are no matter.
 """
 
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import bounded_batches, map_texts, words_of
@@ -30,10 +32,13 @@ from driftline.session import cut
 
 # Cue words of the grammar in English, German, French and Spanish.
 SEEDS = ("idiot", "moron", "scum", "loser", "worthless", "pathetic", "disgusting", "stupid", "trash")
-THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab")
+THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "murder", "strangle", "slaughter", "töten", "umbringen", "erschießen",
+           "tuer", "assassiner", "matar", "asesinar")
 TARGETS = ("you", "your", "he", "she", "they", "du", "dich", "ihr", "tu", "vous", "toi", "tú", "usted", "ustedes")
 NEGATIONS = ("not", "no", "never", "isn't", "aren't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca")
 REPORTS = ("said", "says", "wrote", "called", "quoted", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
+# Words after a closing quote in which a report may still follow, and words after which an unclosed quotation ends.
+AFTER_QUOTE, QUOTATION = 3, 100
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP = range(8)
 KINDS = ("plain", "targeted", "threat", "negated", "reported")
@@ -42,9 +47,9 @@ PLAIN, TARGETED, THREATENED, NEGATED, REPORTED = range(5)
 PRIOR = (3.0, 3.5, 3.5, 1.0, 1.0)
 SCOPE = 3
 
+_OPENS, _CLOSES = "\"“”„«»‟", "\"“”«»"
 _STRIP = "\"'“”„«»()[]{}<>*#%&$!?.,;:-–—_|~`"
 _ENDS = ".!?;"
-_QUOTES = "\"“”„«»"
 _LEET = str.maketrans("013457@$", "oieastas")
 
 
@@ -73,12 +78,17 @@ def _negation(state, item):
 
 
 def _reported(state, item):
-    """A quotation after a report, or the rest of a clause after one."""
+    """The rest of a clause after a report (state 1), and a quotation opened there, up to its closing
+    quote (states above 1, which count the words that are left of it)."""
     symbol, kind = item
     if symbol in (INSULT, THREAT) and state:
         kind = REPORTED
+    if symbol == QUOTE:
+        return (1 + QUOTATION if state == 1 else 0 if state > 1 else state), (symbol, kind)
     if symbol == STOP:
-        return 0, (symbol, kind)
+        return (state if state > 1 else 0), (symbol, kind)
+    if state > 1:
+        return (state - 1 if state > 2 else 0), (symbol, kind)
     return (1 if symbol == REPORT else state), (symbol, kind)
 
 
@@ -147,14 +157,15 @@ class Reader:
         self.seen: dict[str, tuple] = {}
 
     def read(self, word):
-        """(symbol, weight, ends the clause)."""
+        """(symbol, weight, ends the clause, opens or closes a quotation)."""
         form, ends = normal_form(word), word.rstrip("\"'”»)").endswith(tuple(_ENDS))
+        opens, closes = word[0] in _OPENS, word.rstrip(".,;:!?)")[-1:] in _CLOSES and len(word) > 1
         weight = self.words.get(form)
         if weight is None:
             weight = next((self.stems[form[:n]] for n in self.lengths if form[:n] in self.stems), None)
         if weight is not None:
-            return INSULT, weight, ends
-        return self.cues.get(form, OTHER), 1.0, ends
+            return INSULT, weight, ends, opens, closes
+        return self.cues.get(form, OTHER), 1.0, ends, opens, closes
 
     def features(self, text: str) -> tuple:
         """Match weights of a text by kind: the strongest match plus a damped rest."""
@@ -169,27 +180,49 @@ class Reader:
         symbols = [seen[w] for w in tokens]
         if not any(s[0] in (INSULT, THREAT) for s in symbols):
             return (0.0,) * 5
-        found = [[] for _ in KINDS]
+        found = []
         state = clause_target = 0
-        threats = []
-        for symbol, weight, ends in symbols:
+        # Matches of the open quotation, or of the one just closed; words in which a report may follow.
+        threats, quoted, within, left = [], [], 0, 0
+
+        def add(kind, weight, inside):
+            found.append([kind, weight])
+            if inside:
+                quoted.append(found[-1])
+
+        for symbol, weight, ends, opens, closes in symbols:
+            if left:
+                left -= 1
+                if symbol == REPORT:
+                    for match in quoted:
+                        match[0] = REPORTED
+                    left = 0
+            if opens and not within:
+                state, _ = GRAMMAR[state, QUOTE]
+                quoted, within, left = [], QUOTATION, 0
             state, kind = GRAMMAR[state, symbol]
             if symbol == TARGET:
                 clause_target = 1
             if symbol == THREAT:
-                threats.append((kind, weight))
+                threats.append((kind, weight, within > 0))
             elif kind is not None:
-                found[kind].append(weight)
+                add(kind, weight, within > 0)
             if ends:
                 state, _ = GRAMMAR[state, STOP]
                 if clause_target:
-                    for kind, weight in threats:
-                        found[kind].append(weight)
+                    for threat in threats:
+                        add(*threat)
                 threats, clause_target = [], 0
+            if within:
+                within -= 1
+                if closes:
+                    state, _ = GRAMMAR[state, QUOTE]
+                    within, left = 0, AFTER_QUOTE
         if clause_target:
-            for kind, weight in threats:
-                found[kind].append(weight)
-        return tuple(max(f) + math.log1p(sum(f) - max(f)) if f else 0.0 for f in found)
+            for threat in threats:
+                add(*threat)
+        by = [[w for k, w in found if k == kind] for kind in range(len(KINDS))]
+        return tuple(max(f) + math.log1p(sum(f) - max(f)) if f else 0.0 for f in by)
 
 
 def _forms(word, lengths):
@@ -200,17 +233,29 @@ def _forms(word, lengths):
 
 
 def _sample(docs, labels, per_class) -> DataFrame:
-    """At most `per_class` labelled texts of each class, in an order that only ids decide."""
+    """At most `per_class` labelled texts of each class, one for each id, in an order that only ids decide."""
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_class = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = by_class[0].unionByName(by_class[1])
-    # At most 2 * per_class rows of two numbers.
-    return cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # At most 2 * per_class rows of two numbers, and one text for each.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return cut(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
-def learn_lexicon(sample: DataFrame, lengths=(4, 5, 6, 7), least=6, precision=0.95, size=5000):
+def _evidence(bad: Column, good: Column, share: float) -> Column:
+    """How unlikely it is (in nats) that `bad` of `bad + good` are toxic, where `share` of all are."""
+    n = (bad + good).cast("double")
+    p = bad / n
+    rest = F.when(good > 0, good * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    return F.when(p > share, bad * F.log(p / share) + rest).otherwise(0.0)
+
+
+def learn_lexicon(sample: DataFrame, share: float, lengths=(4, 5, 6, 7), least=3, evidence=4.0, precision=0.95):
     """Weights of whole words and of beginnings. Documents with a form are counted first; of the
-    forms left, the different words before them, so that copies of a text count once."""
+    forms left, the different words before them, so that copies of a text count once. A form needs
+    `least` of them and an `evidence` that follows from the `share` of toxic documents, the same rule
+    for any number of labels. All forms that meet it are kept; there are no more than the words of the
+    sample, which is bounded, have."""
     def counted(batches):
         for b in batches:
             hits = (Counter(), Counter())
@@ -223,8 +268,8 @@ def learn_lexicon(sample: DataFrame, lengths=(4, 5, 6, 7), least=6, precision=0.
                                              names=["form", "toxic"])
 
     common = (sample.filter("toxic = 1").mapInArrow(counted, "form string, toxic bigint")
-              .groupBy("form").agg(F.sum("toxic").alias("n")).filter(F.col("n") >= least)
-              .orderBy(F.desc("n"), "form").limit(20 * size))
+              .groupBy("form").agg(F.sum("toxic").alias("n"))
+              .filter((F.col("n") >= least) & (_evidence(F.col("n"), F.lit(0), share) >= evidence)))
     common_rows = common.collect()
     candidates = frozenset(r.form for r in common_rows)
     if not candidates:
@@ -264,8 +309,9 @@ def learn_lexicon(sample: DataFrame, lengths=(4, 5, 6, 7), least=6, precision=0.
 
     seen = sample.mapInArrow(contexts, "form string, context string, toxic int").distinct()
     counts = (seen.groupBy("form").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-              .filter((F.col("bad") >= least) & (F.col("bad") >= precision * (F.col("bad") + F.col("good") + 0.25)))
-              .orderBy(F.desc("bad"), "form").limit(size).collect())
+              .filter((F.col("bad") >= least) & (_evidence(F.col("bad"), F.col("good"), share) >= evidence)
+                      & (F.col("bad") >= precision * (F.col("bad") + F.col("good") + 0.25)))
+              .orderBy("form").collect())
     weight = {r.form: math.log((r.bad + 0.5) / (r.good + 0.5)) for r in counts}
     top = max(weight.values(), default=1.0)
     stems, words = {}, {}
@@ -306,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class=8000) -> Model:
     classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(classes) < 2:
         return default
-    words, stems = learn_lexicon(sample, least=6 if classes[1] >= 200 else 3)
+    words, stems = learn_lexicon(sample, classes[1] / sum(classes.values()))
     if not words and not stems:
         return default
     reader = Reader(words, stems)
