@@ -153,11 +153,11 @@ def train(x: np.ndarray, y: np.ndarray, bins=32, rounds=150, pair_bins=8, pair_r
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows=20_000) -> Model:
-    """A model from at most `rows` labelled documents. `labels` has doc_id and quality, and only the
-    rows that may be learned from."""
+    """A model from at most `rows` labelled documents, one text for each id (the smallest where it
+    repeats). `labels` has doc_id and quality, and only the rows that may be learned from."""
     known = (labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = map_texts(chosen, lambda texts: [features(t) for t in texts], ", ".join(f"{f} double" for f in FEATURES),
                     keep=("doc_id", "quality")).toPandas().sort_values(["doc_id", *FEATURES])
     return train(got[list(FEATURES)].to_numpy(float), got["quality"].to_numpy(float))
