@@ -7,6 +7,9 @@ that are common around candidates in the whole corpus. Candidates and base spans
 surroundings or dictionary, and a text counts once for the dictionary however often it repeats, so
 repeated secrets stay novel. Strings that stay incompressible are reported.
 
+The dictionary only makes common words cheap; it holds `dictionary_bytes` of them, the most common. A
+word beyond it is measured like any other candidate, so the bound drops no secret.
+
 Defined cases: null and empty texts have no spans; spans are in code points, end exclusive; repeated
 rows are scanned row by row; an empty table gives an empty result and an empty dictionary.
 """
@@ -29,8 +32,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|auth|bearer|credential|private|access.?key|"
-                       r"signature|client.?id|session|cookie", re.I | re.A)
+# Whole words, also in names such as client_secret; letters beside them make another word.
+SENSITIVE = re.compile(r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?s?|pwd|secrets?|tokens?|api.?keys?|auth(?:orization|entication)?|"
+                       r"bearer|credentials?|(?:private|secret|access|encryption|signing).?keys?|signature|client.?id|session(?:.?id)?|"
+                       r"cookies?)(?![A-Za-z])", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 
@@ -92,6 +97,17 @@ def surroundings(text: str, hidden: str, a: int, b: int, cfg: Novelty) -> str:
     return near.replace(text[a:b], " ")
 
 
+def without_copies(words: set, strings: set) -> list[str]:
+    """The words that hold none of the strings, in time that grows with their lengths."""
+    import ahocorasick
+
+    finder = ahocorasick.Automaton()
+    for x in strings:
+        finder.add_word(x, True)
+    finder.make_automaton()
+    return [w for w in words if next(finder.iter(w), None) is None]
+
+
 def build_dictionary(docs: DataFrame, cfg=Novelty()) -> bytes:
     """Words common around candidates, over all distinct documents, the most common last (near
     matches are cheaper). Bounded by `dictionary_bytes`."""
@@ -107,10 +123,9 @@ def build_dictionary(docs: DataFrame, cfg=Novelty()) -> bytes:
                 hidden = blanked(text, [*found, *((s, e) for _, s, e in taken)])
                 near = set()
                 for a, e in found:
-                    near.update(w for w in surroundings(text, hidden, a, e, cfg).split() if 3 <= len(w) <= 64)
-                for a, e in found:
-                    # A copy may stand near another candidate only.
-                    near = {w for w in near if text[a:e] not in w}
+                    near.update(w for w in surroundings(text, hidden, a, e, cfg).split() if len(w) >= 3)
+                # A copy may stand near another candidate only.
+                near = without_copies(near, {text[a:e] for a, e in found})
                 words += near
                 owners += [hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()] * len(near)
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.binary()), pa.array(words, pa.string())], names=["owner", "word"])
