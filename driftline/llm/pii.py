@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import bounded_batches, map_texts
+from driftline.llm.common import bounded_batches, map_texts, words_of
 from driftline.session import cut
 
 KINDS = ("email", "ip", "card", "phone", "found")
@@ -118,7 +118,7 @@ def candidates(text: str, taken) -> list[tuple]:
     for i, (a, b, word, span) in enumerate(units):
         if span is None:
             core = word.strip(STRIP)
-            if not 4 <= len(core) <= 64 or not ("@" in core or DIGIT.search(core)):
+            if len(core) < 4 or not ("@" in core or DIGIT.search(core)):
                 continue
             a += word.index(core)
             b, word = a + len(core), core
@@ -163,7 +163,7 @@ def learn_patterns(docs: DataFrame, cfg=Bootstrap()) -> dict[str, float]:
             seen, held = Counter(), Counter()
             for text in b.column("text").to_pylist():
                 text = text or ""
-                words = text.split()
+                words = words_of(text)
                 if not firsts.isdisjoint(words):
                     for i, w in enumerate(words[:-1]):
                         if w in firsts:
