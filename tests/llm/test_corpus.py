@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import article, near_components, prose
+from brute import article, near_components, prose, shingles
 
 import corpus_pipeline
 from driftline.llm import components, html_text, near_dedup, quality_model, toxicity
@@ -68,19 +68,61 @@ def test_crowded_regions_keep_all_members(make, spark):
     assert set(range(n)) in regions.values()
 
 
-def test_blocks_find_links_between_components(make, spark):
+@pytest.mark.parametrize("pairwise", [0, 4096])
+def test_blocks_join_components(make, spark, monkeypatch, pairwise):
+    """Links of blocks are true, join what was apart, and leave nothing apart that is linked."""
+    monkeypatch.setattr(near_dedup, "PAIRWISE", pairwise)
     rows = cluster(4, 30, 1, 100, 2) + [(100, prose(8, 100))]
     docs = make(rows)
     members = spark.createDataFrame([(7, i) for i, _ in rows], "key bigint, id bigint")
     labels = spark.createDataFrame([(i, 1) for i in range(1, 16)], "id bigint, component bigint")
     mixed = near_dedup._mixed(members, labels).withColumn("total", near_dedup.F.lit(100))
-    got = {tuple(r) for r in near_dedup._crowded_links(mixed, docs, near_dedup.Near(words=4), block=7).collect()}
+    near = near_dedup.Near(words=4)
+    nodes = near_dedup.shingle_table(docs, near).withColumnRenamed("doc_id", "id")
+    got = {tuple(r) for r in near_dedup._crowded_links(mixed, nodes, docs, near, block=7).collect()}
     comp = {i: 1 if i < 16 else i for i, _ in rows}
-    from brute import shingles
     sets = {i: shingles(t, 4) for i, t in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b]
-            and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert got == want
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert got <= {(a, b) for a, b in linked if comp[a] != comp[b]}
+
+    def parts(links):
+        part = dict(comp)
+        for _ in part:
+            for a, b in links:
+                part[a] = part[b] = min(part[a], part[b])
+        return part
+    assert parts(got) == parts(linked | got)
+    # A block of 7 outsiders and 7 members joins at most 14 components: no row per pair.
+    assert len(got) <= 13 * 3 * 15
+
+
+def test_neighbours_over_batches():
+    """Pairs and members are the same however rows come in batches."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    width = near_dedup.DEEPEST - near_dedup.DEPTH
+    rows = sorted((r.randrange(12), np.array([r.randrange(2) for _ in range(width)], ">u4").tobytes(), k) for k in range(90))
+
+    def run(sizes):
+        batches, at = [], 0
+        while at < len(rows):
+            part = rows[at:at + sizes]
+            at += sizes
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["key", "rest", "id"]))
+        return {tuple(x.values()) for b in near_dedup._neighbours(iter(batches)) for x in b.to_pylist()}
+
+    whole = run(1000)
+    assert all(run(n) == whole for n in (1, 2, 3, 7, 89))
+    want = {(near_dedup.MEMBER, k, i, None, None) for k, _, i in rows if k in (rows[0][0], rows[-1][0]) or sum(x[0] == k for x in rows) > 1}
+    assert {x for x in whole if x[0] == near_dedup.MEMBER} <= want
+    assert {x for x in whole if x[0] == near_dedup.MEMBER} >= {x for x in want if sum(y[0] == x[1] for y in rows) > 1}
+    for k in range(len(rows) - 1):
+        if rows[k][0] == rows[k + 1][0]:
+            a, b = rows[k], rows[k + 1]
+            x, y = (np.frombuffer(z[1], ">u4") for z in (a, b))
+            depth = next((n for n in range(width) if x[n] != y[n]), width) + near_dedup.DEPTH
+            assert (near_dedup.PAIR, a[0], min(a[2], b[2]), max(a[2], b[2]), depth) in whole
 
 
 def test_components(spark, make):
@@ -143,6 +185,53 @@ def test_toxicity_grammar():
     assert matched("No. What an id10t.") == {"plain"}
 
 
+def test_reported_speech():
+    """Quotations count as reported from a report to the closing quote, or where the report follows."""
+    reader = toxicity.Reader({"idiot": 1.0}, {})
+
+    def kinds(text):
+        return {k for k, f in zip(toxicity.KINDS, reader.features(text)) if f}
+
+    assert kinds('He wrote: "You are late. You idiot."') == {"reported"}
+    assert kinds('"You idiot!" she said.') == {"reported"}
+    assert kinds('"You are late," he said. You idiot!') == {"targeted"}
+    assert kinds('He wrote: "Fine." You idiot!') == {"targeted"}
+    assert kinds('"You idiot!" This is no report, she said.') == {"targeted"}
+    assert kinds("He said you are an idiot. Idiot!") == {"reported", "plain"}
+    # An opening quote without an end does not excuse the rest of a long text.
+    assert "targeted" in kinds('He wrote: "' + "word " * 200 + "you idiot")
+    assert kinds("You idiot") == {"targeted"} and kinds('"') == set() and kinds("") == set()
+    many = reader.features('"Idiot!" she said. ' * 20_000)
+    assert many[toxicity.REPORTED] > 1 and not any(many[:4])
+
+
+def test_support_follows_the_share_of_toxic_documents(spark):
+    """One rule for any number of labels: three hits of three prove little where half are toxic."""
+    from pyspark.sql import functions as F
+
+    def nats(bad, good, share):
+        return spark.range(1).select(toxicity._evidence(F.lit(bad), F.lit(good), share)).first()[0]
+
+    assert nats(3, 0, 0.5) < 4 <= nats(6, 0, 0.5) and nats(3, 0, 0.25) >= 4 and nats(3, 0, 0.05) > 8
+    assert nats(1, 9, 0.5) == 0 and 0 < nats(8, 2, 0.5) < nats(10, 0, 0.5)
+
+
+def test_models_gather_one_text_for_an_id(spark, make):
+    rows, labels = labelled("zorgblat", 40)
+    docs = make(rows + rows[:1] * 500)
+    sample = toxicity._sample(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), 100)
+    assert sample.count() == 40
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    sizes = []
+    real = quality_model.train
+    try:
+        quality_model.train = lambda x, y: sizes.append(len(x)) or real(x, y)
+        quality_model.fit(docs, known)
+    finally:
+        quality_model.train = real
+    assert sizes == [40]
+
+
 def test_toxicity_without_labels(make, spark):
     model = toxicity.fit(make([]), spark.createDataFrame([], "doc_id bigint, toxic int"))
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(make([(1, "such an idiot and a moron"), (2, "a fine day")]), model).collect()}
@@ -206,6 +295,34 @@ def test_page_parts_that_are_no_content(spark, make):
     assert got[2].endswith("\n".join(["Big", text[0], text[1]])) and "End of it" not in got[2]
 
 
+def test_marks_weigh_against_what_they_hold():
+    weights = {}
+    text = lambda page: html_text.main_text(page, weights)
+    words = "one two three four five six"
+    assert text(f'<article><div class="content has-sidebar"><p>{words}</p></div></article>') == words
+    assert text(f'<article><section class="post social"><p>{words}</p></section></article>') == words
+    assert text(f'<article><h2 id="related-work">All the related work</h2><p id="search-results">{words}</p></article>') == f"All the related work\n{words}"
+    assert text(f'<div class="has-sidebar"><h1>A title of it</h1><p>{words}</p></div>') == f"A title of it\n{words}"
+    # What is marked and small, or stands by itself outside the content, goes.
+    for mark in ("comments", "ad banner", "related", "cookie-notice"):
+        assert text(f'<article><p>{words} {words}</p><div class="{mark}"><p>other</p></div></article>') == f"{words} {words}"
+    assert text(f'<div><p>{words}</p></div><div class="comments"><p>{words} {words}</p></div>') == words
+
+
+def test_pages_are_read_by_one_rule_at_any_size():
+    pad = "<!-- " + "x" * (1 << 20) + " -->"
+    for extra in ("", pad):
+        kinds = {r[0] for r in html_text.read_page(f"{extra}<ARTICLE><P>text</P></ARTICLE>")}
+        assert "word p in marked" in kinds
+    # A quote belongs to a value only behind an equals sign, however long the tag is.
+    for n in (10, 5000):
+        assert html_text.main_text(f"<p a={'b' * n} \">some words here</p><p>and \" more</p>", {}) == 'some words here\nand " more'
+    names = {r[0] for k in range(3000) for r in html_text.read_page(f"<x-{k}>word</x-{k}>")}
+    assert names == {"other bare", "/other bare", "word other bare"}
+    long = "<article>" + "<p>word word</p>" * 50_000 + "</article>"
+    assert html_text.main_text(long, {}).count("\n") == 49_999
+
+
 def test_best_stretch():
     r = random.Random(1)
     for _ in range(200):

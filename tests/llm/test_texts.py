@@ -1,11 +1,16 @@
 """Packing, BPE, fingerprints, rules, personal data and secrets against plain versions."""
 
+import hashlib
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from brute import pii_spans, prose, secret_spans, sha, words, written
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftline.llm import bpe, fingerprint, packing, pii, quality_rules, secret_scan
@@ -132,13 +137,70 @@ def test_fingerprints(make, odd_rows):
     assert len(set(by_text.values())) == len(by_text)
 
 
-def test_fingerprints_locate_edits(spark):
-    a, b = "One here. Two here.\nThree here. Four here.", "One here. Two here.\nThree HERE. Four here."
-    from pyspark.sql import functions as F
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(
-        fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b")).select(
-        fingerprint.differing(F.col("a"), F.col("b")).alias("d"), fingerprint.leaf_set(F.col("a")).alias("n")).first()
-    assert [x.split(":")[1] for x in row.d] == ["12"] and len(row.n) == 4
+def plain_likeness(a, b):
+    """Two fingerprints compared from the top down with bags of branches, and the clauses left of the first."""
+    def bag(branches):
+        return Counter(branches), Counter((p.split("{")[0].split("(")[0].split(":")[0], x) for p, x in zip(["", *branches], branches))
+
+    def characters(found):
+        return sum(n * sum(map(int, re.findall(":([0-9]+)", x if isinstance(x, str) else x[1]))) for x, n in found.items())
+
+    sides, shared = [[x.split("|")[1]] for x in (a, b)], 0
+    total = sum(characters(Counter(x)) for x in sides)
+    for kind in (r"[0-9a-f]+\{[^}]*\}", r"[0-9a-f]+\([^)]*\)", "[0-9a-f]+:[0-9]+"):
+        sides = [[y for x in side for y in re.findall(kind, x)] for side in sides]
+        (x, xo), (y, yo) = map(bag, sides)
+        shared += characters(x & y) + characters(xo & yo)
+        # Of equal branches the last ones are left; they are in sorted order.
+        sides = [sorted((x - y).elements()), sorted((y - x).elements())]
+    like = 1.0 if a.split("|")[0] == b.split("|")[0] else min(1.0, shared / total) if total else 0.0
+    return like, sides[0]
+
+
+def prints(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    return {r.k: r.f for r in rows.select("k", fingerprint.fingerprint(F.col("t")).alias("f")).collect()}
+
+
+def test_likeness_goes_down_the_tree(spark):
+    r = random.Random(2)
+    line = lambda: ". ".join(prose(r.randrange(40), r.randrange(1, 6)) for _ in range(r.randrange(1, 5)))
+    long = [line() for _ in range(60)]
+    texts = ["A\n" * 1000, "A\n" * 500, "\n".join(long), "\n".join(long[::-1]), "\n".join(long[:30] + [line()] + long[31:]), "\n".join(long[:30]),
+             "", "x", "One here. Two here.\nThree here. Four here.", "One here. Two here.\nThree HERE. Four here.", "b, a, c", "a, b, c", "\n\n"]
+    f = prints(spark, texts)
+    pairs = spark.createDataFrame([(i, j, f[i], f[j]) for i in f for j in f], "i int, j int, a string, b string")
+    got = {(x.i, x.j): (x.near, x.near_left) for x in fingerprint.compare(pairs.withColumn("near_left", F.lit("clash")).drop("near_left"), "a", "b", "near").collect()}
+    for (i, j), (near, left) in got.items():
+        like, rest = plain_likeness(f[i], f[j])
+        assert near == pytest.approx(like) and sorted(left) == rest, (i, j)
+        assert (near == 1.0) == (texts[i] == texts[j]) and near == pytest.approx(got[j, i][0])
+    # Repeated lines and order count; an edited line costs little and is found.
+    assert got[0, 1][0] == pytest.approx(2 / 3, abs=0.01) and len(got[0, 1][1]) == 500
+    assert got[2, 3][0] < 0.8 and 0.8 < got[2, 4][0] < 1 and [x.split(":")[1] for x in got[8, 9][1]] == ["12"]
+
+
+def test_fingerprint_is_a_tree_of_full_hashes(spark):
+    """Every node is the hash of its children's full hashes, computed here bottom-up."""
+    text = "One here. Two here.\nThree, four.\n\n" + "\n".join(prose(k, 8) for k in range(30))
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = [[]]
+    for p in text.split("\n"):
+        clauses = [(h(c), len(c)) for c in re.split(r"(?<=[.!?;:,]\s)|(?<=[。！？，])", p)]
+        full = h(",".join(f"{x}:{n}" for x, n in clauses))
+        sections[-1].append((full, clauses))
+        if int(full[0], 16) % fingerprint.SECTION == 0:
+            sections.append([])
+    short = lambda cs: ",".join(f"{x[:fingerprint.LEAF]}:{n}" for x, n in cs)
+    tops = [(h("".join(f"{x}({short(cs)})" for x, cs in s)), s) for s in sections if s]
+    written = "".join(f"{x[:fingerprint.NODE]}{{" + "".join(f"{y[:fingerprint.NODE]}({short(cs)})" for y, cs in s) + "}" for x, s in tops)
+    assert prints(spark, [text])[0] == h("".join(x for x, _ in tops)) + "|" + written
+
+
+def test_edits_of_empty_and_clashing_tables(spark, make):
+    docs = make([(1, "a b"), (2, None), (2, "c"), (None, "d")]).withColumns({"key": F.lit(1), "n": F.lit(2), "begin": F.lit("x")})
+    assert fingerprint.compare_edits(docs).count() == 4
+    assert fingerprint.compare_edits(docs.filter("doc_id > 9")).count() == 0
 
 
 def plain_rules(text):
@@ -268,6 +330,31 @@ def test_secrets_need_no_digits(make):
     assert got[9] == "" and b"ordinary" in secret_scan.build_dictionary(digitless)
 
 
+def test_ordinary_words_near_sensitive_ones():
+    """Borders of words, and copies left out in linear time."""
+    scanner = secret_scan.Scanner(b"")
+
+    def novel(text):
+        return [s for s in scanner.spans(text)[1] if s[0] == 3]
+
+    assert not novel("the authors uncharacteristically wrote") and not novel("private repository github/enterprise/settings/permissions")
+    key = "q8Zr2LkV9xTn4BwYc7Hs1Dfg"
+    for before in ("Bearer ", "client_secret ", "private key ", "auth: ", "the pwd is "):
+        assert novel(f"{before}{key} and more"), before
+    words = {f"w{k}" for k in range(50_000)} | {"has" + key, key, key[:-1]}
+    left = secret_scan.without_copies(words, {key, *[f"x{k}y" for k in range(50_000)]})
+    assert len(left) == 50_001 and key not in left and key[:-1] in left
+
+
+def test_long_identifiers_in_a_good_context(make):
+    cfg = pii.Bootstrap()
+    rows = [(k, f"{prose(k, 5)} write to member account user{k}@mail{k}.example.org please") for k in range(4 * cfg.seeds)]
+    long = "acct-" + "0123456789abcdef" * 8
+    docs = make([*rows, (999, f"write to member account {long} please")])
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs, pii.learn_patterns(docs)).collect()}
+    assert f"found:24:{24 + len(long)}" in found[999] or f":24:{24 + len(long)}" in found[999]
+
+
 def test_copies_count_once_for_the_dictionary(make):
     text = f"the private key is Zk9/Qw7xT2pLm4VbN8cRd5YhJ3 onlyhere {prose(1, 5)}"
     assert secret_scan.build_dictionary(make([(k, text) for k in range(9)])) == b""
