@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.globs import FilterChain
 from driftline.functions.paths import ancestors, destination_base, map_path, parent
 from driftline.operators.groups import lookup_groups
-from driftline.operators.ordered import Scan, ordered_scan
+from driftline.operators.ordered import BLOCK, Scan, block_scan, range_blocks
 from driftline.session import cut
 
 WRITES = ("mkdir", "symlink", "hardlink", "copy_new", "copy_changed")
@@ -66,9 +66,11 @@ def delete_order(x: DataFrame) -> DataFrame:
 def delete_positions(x: DataFrame, parts=None) -> DataFrame:
     """`delete_order` as a column `position` from 0, for a delete list that is kept as a table.
     Counted in slices of the path order; directories are counted from the end."""
-    rows = x.withColumn("_dir", (F.col("file_type") == "dir").cast("int"))
-    rows = ordered_scan(rows, ["_dir"], ["rel_path"], {"_at": Scan("sum", F.lit(1), before=True)}, parts)
-    position = F.when(F.col("_dir") == 0, F.col("_at")).otherwise(F.lit(rows.count() - 1) - F.col("_at"))
+    slices = range_blocks(x.withColumn("_dir", (F.col("file_type") == "dir").cast("int")), ["_dir"], ["rel_path"], parts)
+    rows = block_scan(slices, ["_dir"], ["rel_path"], {"_at": Scan("sum", F.lit(1), before=True)}).drop(BLOCK)
+    # The rows were written, so counting them reads no more than their number.
+    last = slices.agg(F.count("*") - 1).scalar()
+    position = F.when(F.col("_dir") == 0, F.col("_at")).otherwise(last - F.col("_at"))
     return rows.withColumn("position", position).drop("_dir", "_at")
 
 

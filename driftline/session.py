@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +40,48 @@ def checkpoint_dir(spark) -> str:
     return folder
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below the shared checkpoint folder. This session owns it; see `scratch_scope`."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def _delete(spark, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark):
+    """Deletes the scratch folders made inside when it ends, but for those named in the list it gives:
+
+        with scratch_scope(spark) as kept:
+            result = cut(job(...), kept)
+
+    What is not kept must be written by then: a lazy result would read folders that are gone."""
+    start, kept = len(_MADE), []
+    try:
+        yield kept
+    finally:
+        mine, _MADE[start:] = _MADE[start:], []
+        for path in mine:
+            if path in kept:
+                _MADE.append(path)
+            else:
+                _delete(spark, path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, kept: list = None) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read on from there. Used where
     later steps depend on how rows were laid out, so that a lost executor cannot change the
-    answer, and where an intermediate result is read more than once."""
+    answer, and where an intermediate result is read more than once. `kept` is the list of a
+    `scratch_scope` that the table outlives."""
     path = scratch(df.sparkSession, "cut")
+    if kept is not None:
+        kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

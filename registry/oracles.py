@@ -292,6 +292,9 @@ ORACLES = {
         CAST(coalesce(sum(len) FILTER (block_idx < 0), 0) AS BIGINT) AS literal_bytes, CAST(sum(len) AS BIGINT) AS bytes FROM ops GROUP BY rel_path"""),
     "agg_07_dst_overlaps": """SELECT dst_base, count(*) AS sources FROM (SELECT DISTINCT source, lang, doc_id % 2 AS odd,
         CASE WHEN doc_id % 2 = 0 THEN '/backup' ELSE concat('/backup/', lang) END AS dst_base FROM documents) GROUP BY dst_base HAVING count(*) > 1""",
+    "agg_07_guarded_extraneous": _with(_TREES, f"""SELECT rel_path, file_type FROM dst WHERE {_keep()}
+        AND rel_path NOT IN (SELECT rel_path FROM src WHERE NOT suffix(rel_path, '.bin')) AND string_split(rel_path, '/')[1] NOT IN (SELECT source FROM documents
+          WHERE source <> 'src0' OR lang = 'en' GROUP BY source HAVING count(DISTINCT lang) > 1)"""),
     "agg_08_verify_summary": _with(f"{_FILES}, {_VERIFY}", "SELECT status, count(*) AS files FROM v GROUP BY status"),
     "agg_09_summary": _with(f"{_EV}, c AS (SELECT run_id, {_COUNTERS} FROM ev GROUP BY run_id)", """SELECT run_id, files_copied AS files,
         bytes_copied AS bytes, bytes_copied / (elapsed_us / 1e6) AS avg_bytes_per_s, elapsed_us, files_verified AS verified,

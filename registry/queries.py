@@ -365,6 +365,17 @@ def agg_07_dst_overlaps(spark, sf):
     return sync.dst_overlaps(_sources(spark, sf), "/backup")
 
 
+@query
+def agg_07_guarded_extraneous(spark, sf):
+    """Extraneous entries but for destinations that several sources share. Each top folder is a
+    destination, `.bin` files are missing from the sources, and src0 comes from one source only."""
+    top = F.concat(F.lit("/backup/"), F.substring_index("rel_path", "/", 1))
+    s, d = (m.withColumn("dst_base", top) for m in (x.src(spark, sf).filter("NOT endswith(rel_path, '.bin')"), x.dst(spark, sf)))
+    sources = (x.table(spark, sf, "documents").filter("source <> 'src0' OR lang = 'en'")
+               .select(F.concat(F.lit("/data/"), "lang", F.lit("/"), "source").alias("src_arg"), F.lit(True).alias("is_dir")).distinct())
+    return sync.guarded_extraneous(s, d, sync.dst_overlaps(sources, "/backup"), CHAIN).select("rel_path", "file_type")
+
+
 @query
 def agg_08_verify_summary(spark, sf):
     return verify.verify_summary(joi_04_verify(spark, sf))

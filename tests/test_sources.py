@@ -87,3 +87,27 @@ def test_log(spark, tmp_path):
     rows = tables.read_events(spark, str(tmp_path)).orderBy("ts").collect()
     assert [(r.run_id, r.type, r.path, r.size, r.worker, r.error) for r in rows] == [
         ("run1.json", "FileCompleted", "/d/a", 5, 2, None), ("run1.json", "FileFailed", "/d/b", 6, 1, "io")]
+
+
+def test_scratch_folders_are_deleted_by_their_owner(spark):
+    """A job's intermediate tables go with its scope, its kept result with the scope around it."""
+    from driftline import session
+
+    def alive(n):
+        return [os.path.exists(p.removeprefix("file:")) for p in session._MADE[n:]]
+
+    start = len(session._MADE)
+    with session.scratch_scope(spark):
+        with session.scratch_scope(spark) as kept:
+            a = session.cut(spark.range(5).toDF("x"))
+            b = session.cut(a.filter("x > 2"), kept)
+            none = session.cut(a.filter("x > 9"), kept)
+            paths = session._MADE[start:]
+            assert alive(start) == [True] * 3
+        assert alive(start) == [True] * 2 and not os.path.exists(paths[0].removeprefix("file:"))
+        assert sorted(r.x for r in b.collect()) == [3, 4] and none.count() == 0
+    assert len(session._MADE) == start and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+    with pytest.raises(ZeroDivisionError), session.scratch_scope(spark):
+        session.cut(spark.range(1))
+        1 / 0
+    assert len(session._MADE) == start
