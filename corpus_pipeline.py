@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftline.llm import near_dedup, packing, quality_rules, secret_scan, toxicity
 from driftline.llm.common import table
 from driftline.llm.queries import WORD_BPE, training_labels
-from driftline.session import cut
+from driftline.session import cut, scratch_scope
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order. Tables that a stage makes on its way are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch_scope(spark) as kept:
+            docs = cut(stage(spark, docs, sf_dir), kept)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 QUERIES = {"pipeline": run}
