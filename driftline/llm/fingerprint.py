@@ -6,8 +6,8 @@ section border but those beside it. Every node is the SHA-256 of the full hashes
 equal roots mean equal texts. Only what is written out is shortened: below the root, hashes serve to
 compare the branches of two trees.
 
-The fingerprint is one string: the root, then per section its hash and its paragraphs, each with
-its hash and its clauses as `hash:characters`. It is the same for equal texts, and two of them can
+The fingerprint is one string: the root, then per section its paragraphs and per paragraph its clauses,
+each as `hash:characters`. It is the same for equal texts, and two of them can
 be compared without the texts.
 
 Two fingerprints are compared from the top down. Branches that both have, as often as both have them,
@@ -34,80 +34,98 @@ from driftline.session import cut
 SECTION = 4
 # Hexadecimal digits of inner nodes and of leaves as they are written; the root has all 64.
 NODE = 16
+REST = 64 - NODE
 LEAF = 8
 # A clause ends after a mark and white space.
 CLAUSE_END = "(?<=[.!?;:,]\\s)|(?<=[。！？，])"
 
 
 def _sha(value: Column) -> Column:
-    return F.sha2(F.encode(value, "utf-8"), 256)
+    return F.sha2(value.cast("binary"), 256)
 
 
 def fingerprint(text: Column) -> Column:
-    """The whole tree as a string: `root|section{paragraph(leaf,leaf)paragraph(leaf)}section{...}`."""
-    clauses = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.transform(
-        F.split(p, CLAUSE_END), lambda s: F.concat(_sha(s), F.lit(":"), F.length(s).cast("string"))))
-    # A paragraph with its full hash, over the full hashes of its clauses; the clauses shortened.
-    nodes = F.transform(F.transform(clauses, lambda p: F.array_join(p, ",")), lambda p: F.concat(
-        _sha(p), F.lit("("), F.regexp_replace(p, f"([0-9a-f]{{{LEAF}}})[0-9a-f]{{{64 - LEAF}}}:", "$1:"), F.lit(")")))
-    # A section ends after a node whose first hexadecimal digit divides by SECTION.
-    marked = F.array_join(F.transform(nodes, lambda n: F.when(
-        F.conv(F.substring(n, 1, 1), 16, 10).cast("int") % SECTION == 0, F.concat(n, F.lit("\n"))).otherwise(n)), "")
-    sections = F.transform(F.filter(F.split(marked, "\n"), lambda s: s != ""), lambda s: F.concat(_sha(s), F.lit("{"), s, F.lit("}")))
-    whole = F.array_join(sections, "")
+    """The whole tree as a string, every node as `hash:characters`:
+    `root|section{paragraph(clause,clause)paragraph(clause)}section{...}`."""
+    clauses = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.struct(
+        F.length(p).alias("n"), F.transform(F.split(p, CLAUSE_END), lambda s: F.struct(_sha(s).alias("h"), F.length(s).alias("n"))).alias("c")))
+    paragraphs = F.transform(clauses, lambda p: F.struct(
+        _sha(F.array_join(F.transform(p["c"], lambda x: x["h"]), "")).alias("h"), p["n"].alias("n"),
+        F.array_join(F.transform(p["c"], lambda x: F.concat(F.substring(x["h"], 1, LEAF), F.lit(":"), x["n"].cast("string"))), ",").alias("w")))
+    # A section ends after a paragraph whose first hexadecimal digit divides by SECTION. The rest of its
+    # hash stands behind a paragraph until its section is hashed.
+    marked = F.array_join(F.transform(paragraphs, lambda p: F.concat(
+        F.substring(p["h"], 1, NODE), F.lit(":"), p["n"].cast("string"), F.lit("("), p["w"], F.lit(")"), F.substring(p["h"], NODE + 1, REST),
+        F.when(F.conv(F.substring(p["h"], 1, 1), 16, 10).cast("int") % SECTION == 0, "~\n").otherwise("~"))), "")
+    sections = F.transform(F.filter(F.split(marked, "\n"), lambda s: s != ""), lambda s: F.struct(
+        _sha(s).alias("h"), F.transform(F.filter(F.split(s, "~"), lambda p: p != ""), lambda p: F.substring(p, F.lit(1), F.length(p) - REST)).alias("p")))
+    written = F.transform(sections, lambda s: F.struct(s["h"].alias("h"), F.concat(
+        F.substring(s["h"], 1, NODE), F.lit(":"), _characters(s["p"], "(").cast("string"), F.lit("{"), F.array_join(s["p"], ""), F.lit("}")).alias("w")))
     # The root is over the full hashes of sections, each of which is over those of its paragraphs.
-    top = _sha(F.array_join(F.transform(sections, lambda s: F.substring(s, 1, 64)), ""))
-    return F.concat(top, F.lit("|"), F.regexp_replace(whole, f"([0-9a-f]{{{NODE}}})[0-9a-f]{{{64 - NODE}}}([({{])", "$1$2"))
+    # A list of one, so that the sections are worked out once for both uses.
+    return F.get(F.transform(F.array(written), lambda w: F.concat(
+        _sha(F.array_join(F.transform(w, lambda s: s["h"]), "")), F.lit("|"), F.array_join(F.transform(w, lambda s: s["w"]), ""))), 0)
 
 
 def root(print_: Column) -> Column:
     return F.substring_index(print_, "|", 1)
 
 
-SECTIONS, PARAGRAPHS, CLAUSES = "[0-9a-f]+\\{[^}]*\\}", "[0-9a-f]+\\([^)]*\\)", "[0-9a-f]+:[0-9]+"
+def _key(branch: Column, opener: str) -> Column:
+    """`hash:characters` of a branch, without what is below it."""
+    return F.substring_index(branch, opener, 1)
 
 
-def _branches(written: Column, kind: str) -> Column:
-    return F.regexp_extract_all(written, F.lit(f"({kind})"), F.lit(1))
+def _characters(branches: Column, opener: str) -> Column:
+    return F.aggregate(branches, F.lit(0).cast("long"), lambda n, x: n + F.substring_index(_key(x, opener), ":", -1).cast("long"))
 
 
-def _counted(branches: Column) -> Column:
-    """Branches numbered among their equals, so that sets of them count as bags: `branch#1`, `branch#2`.
-    Equals meet by sorting and are taken in runs, so the work is that of the sort."""
+def _counted(branches: Column, keys: Column) -> Column:
+    """Branches numbered among their equals, so that sets of them count as bags: `branch`, `branch#2`.
+    Where some are equal, they meet by sorting and are taken in runs, so the work is that of the sort."""
     runs = F.regexp_extract_all(F.concat(F.array_join(F.array_sort(branches), "\n"), F.lit("\n")), F.lit("(([^\\n]++\\n)\\2*+)"), F.lit(1))
-    return F.flatten(F.transform(runs, lambda r: F.transform(
+    numbered = F.flatten(F.transform(runs, lambda r: F.transform(
         F.sequence(F.lit(1), (F.length(r) / F.instr(r, "\n")).cast("int")),
-        lambda k: F.concat(F.substring_index(r, "\n", 1), F.lit("#"), k.cast("string")))))
+        lambda k: F.concat(F.substring_index(r, "\n", 1), F.when(k == 1, "").otherwise(F.concat(F.lit("#"), k.cast("string")))))))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), branches).otherwise(numbered)
 
 
-def _after(branches: Column) -> Column:
-    """Every branch with the hash of the one before it in front."""
-    return F.transform(branches, lambda x, k: F.concat(
-        F.when(k == 0, F.lit("")).otherwise(F.regexp_extract(F.get(branches, k - 1), "^[0-9a-f]+", 0)), F.lit(">"), x))
+def _after(keys: Column) -> Column:
+    """Every key with the one before it in front."""
+    return F.transform(keys, lambda x, k: F.concat(F.when(k == 0, "").otherwise(F.get(keys, k - 1)), F.lit(">"), x))
 
 
-def _characters(branches: Column) -> Column:
-    """Characters below some branches."""
-    counts = F.regexp_extract_all(F.array_join(branches, ","), F.lit(":([0-9]+)"), F.lit(1))
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+# Levels of the tree: what a branch is cut off by, and what opens what is below it ("#" stands for nothing).
+LEVELS = (("\\}", "{"), ("\\)", "("), (",", "#"))
 
 
 def compare(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """`rows` with the likeness (0 to 1) of the fingerprints in columns `a` and `b` in column `name`, and in
     `name_left` the clauses of `a` that `b` lacks, as often as it lacks them: where a text was edited."""
     columns = rows.columns
-    # Each step is a column of its own, so that it is worked out once.
-    step = rows.withColumns({"_a0": F.array(F.substring_index(a, "|", -1)), "_b0": F.array(F.substring_index(b, "|", -1))})
-    shared, total = F.lit(0.0), _characters(F.col("_a0")) + _characters(F.col("_b0"))
-    for k, kind in enumerate((SECTIONS, PARAGRAPHS, CLAUSES), 1):
-        step = step.withColumns({f"_{x}{k}s": _branches(F.array_join(f"_{x}{k - 1}", ""), kind) for x in "ab"} if k < 3 else {
-            f"_{x}3s": _branches(F.array_join(f"_{x}2", ","), kind) for x in "ab"})
-        step = step.withColumns({f"_{x}{k}c": _counted(F.col(f"_{x}{k}s")) for x in "ab"} | {
-            f"_{x}{k}o": _counted(_after(F.col(f"_{x}{k}s"))) for x in "ab"})
-        step = step.withColumns({f"_{x}{k}": F.array_except(f"_{x}{k}c", f"_{y}{k}c") for x, y in ("ab", "ba")} | {
-            f"_m{k}": _characters(F.array_intersect(f"_a{k}c", f"_b{k}c")) + _characters(F.array_intersect(f"_a{k}o", f"_b{k}o"))})
-        shared = shared + F.col(f"_m{k}")
-    # Both sides have what they share, and each counts twice: by itself and behind its predecessor.
+    # Each step is a column of its own, so that it is worked out once. Level 0 has one branch, the tree.
+    step = rows.withColumns({"_a0": F.array(a), "_b0": F.array(b)})
+    shared, total, above = F.lit(0), None, "|"
+    for k, (end, opener) in enumerate(LEVELS, 1):
+        # What is below the branches left so far, in their order.
+        step = step.withColumns({f"_{x}s{k}": F.flatten(F.transform(f"_{x}{k - 1}", lambda y: F.filter(
+            F.split(F.substring_index(F.substring_index(y, above, -1), "#", 1), end), lambda z: z != ""))) for x in "ab"})
+        step = step.withColumns({f"_{x}k{k}": F.transform(f"_{x}s{k}", lambda y: _key(y, opener)) for x in "ab"})
+        # Trees without a common branch here keep all of them for the level below.
+        step = step.withColumn(f"_meet{k}", F.arrays_overlap(f"_ak{k}", f"_bk{k}"))
+        meet = F.col(f"_meet{k}")
+        step = step.withColumns({f"_{x}c{k}": F.when(meet, _counted(F.col(f"_{x}s{k}"), F.col(f"_{x}k{k}"))) for x in "ab"} | {
+            f"_{x}o{k}": F.when(meet, _after(F.col(f"_{x}k{k}"))) for x in "ab"})
+        step = step.withColumns({f"_{x}{k}": F.when(meet, F.array_except(f"_{x}c{k}", f"_{y}c{k}")).otherwise(F.col(f"_{x}s{k}"))
+                                 for x, y in ("ab", "ba")})
+        own = _characters(F.col(f"_ak{k}"), opener)
+        total = own + _characters(F.col(f"_bk{k}"), opener) if total is None else total
+        # Both sides have what they share, and each counts twice: by itself and behind its predecessor.
+        orders = [_counted(F.col(f"_{x}o{k}"), F.col(f"_{x}o{k}")) for x in "ab"]
+        behind = F.transform(F.array_intersect(*orders), lambda y: F.substring_index(y, "#", 1))
+        step = step.withColumn(f"_m{k}", F.when(meet, own - _characters(F.transform(f"_a{k}", lambda y: F.substring_index(y, "#", 1)), opener)
+                                                + _characters(behind, opener)).otherwise(0))
+        shared, above = shared + F.col(f"_m{k}"), opener
     like = (F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), 1.0)
             .when(total > 0, F.least(shared / total, F.lit(1.0))).otherwise(0.0))
     left = F.transform("_a3", lambda x: F.substring_index(x, "#", 1))

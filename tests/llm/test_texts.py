@@ -139,24 +139,36 @@ def test_fingerprints(make, odd_rows):
 
 def plain_likeness(a, b):
     """Two fingerprints compared from the top down with bags of branches, and the clauses left of the first."""
-    def bag(branches):
-        return Counter(branches), Counter((p.split("{")[0].split("(")[0].split(":")[0], x) for p, x in zip(["", *branches], branches))
+    def bags(branches):
+        keys = [re.split("[{(]", x)[0] for x in branches]
+        return Counter(branches), Counter(zip(["", *keys], keys))
 
     def characters(found):
-        return sum(n * sum(map(int, re.findall(":([0-9]+)", x if isinstance(x, str) else x[1]))) for x, n in found.items())
+        return sum(n * int(re.split("[{(]", x if isinstance(x, str) else x[1])[0].split(":")[1]) for x, n in found.items())
 
-    sides, shared = [[x.split("|")[1]] for x in (a, b)], 0
-    total = sum(characters(Counter(x)) for x in sides)
-    for kind in (r"[0-9a-f]+\{[^}]*\}", r"[0-9a-f]+\([^)]*\)", "[0-9a-f]+:[0-9]+"):
+    sides, shared, total = [[x.split("|")[1]] for x in (a, b)], 0, None
+    for kind in (r"[0-9a-f]+:\d+\{[^}]*\}", r"[0-9a-f]+:\d+\([^)]*\)", r"[0-9a-f]+:[0-9]+(?![0-9({])"):
         sides = [[y for x in side for y in re.findall(kind, x)] for side in sides]
-        (x, xo), (y, yo) = map(bag, sides)
+        (x, xo), (y, yo) = map(bags, sides)
+        total = characters(x) + characters(y) if total is None else total
         shared += characters(x & y) + characters(xo & yo)
-        # Of equal branches the last ones are left; they are in sorted order.
-        sides = [sorted((x - y).elements()), sorted((y - x).elements())]
+        sides = [left(p, q) for p, q in ((sides[0], y), (sides[1], x))]
     like = 1.0 if a.split("|")[0] == b.split("|")[0] else min(1.0, shared / total) if total else 0.0
     return like, sides[0]
 
 
+def left(branches, others):
+    """Branches that the others have less often: in their order if all are different, else sorted."""
+    if len(set(branches)) < len(branches):
+        branches = sorted(branches)
+    seen, out = Counter(), []
+    for x in branches:
+        seen[x] += 1
+        if seen[x] > others[x]:
+            out.append(x)
+    return out
+
+
 def prints(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     return {r.k: r.f for r in rows.select("k", fingerprint.fingerprint(F.col("t")).alias("f")).collect()}
@@ -173,7 +185,7 @@ def test_likeness_goes_down_the_tree(spark):
     got = {(x.i, x.j): (x.near, x.near_left) for x in fingerprint.compare(pairs.withColumn("near_left", F.lit("clash")).drop("near_left"), "a", "b", "near").collect()}
     for (i, j), (near, left) in got.items():
         like, rest = plain_likeness(f[i], f[j])
-        assert near == pytest.approx(like) and sorted(left) == rest, (i, j)
+        assert near == pytest.approx(like) and sorted(left) == sorted(rest), (i, j)
         assert (near == 1.0) == (texts[i] == texts[j]) and near == pytest.approx(got[j, i][0])
     # Repeated lines and order count; an edited line costs little and is found.
     assert got[0, 1][0] == pytest.approx(2 / 3, abs=0.01) and len(got[0, 1][1]) == 500
@@ -187,13 +199,13 @@ def test_fingerprint_is_a_tree_of_full_hashes(spark):
     sections = [[]]
     for p in text.split("\n"):
         clauses = [(h(c), len(c)) for c in re.split(r"(?<=[.!?;:,]\s)|(?<=[。！？，])", p)]
-        full = h(",".join(f"{x}:{n}" for x, n in clauses))
-        sections[-1].append((full, clauses))
+        full = h("".join(x for x, _ in clauses))
+        sections[-1].append((full, f":{len(p)}(" + ",".join(f"{x[:fingerprint.LEAF]}:{n}" for x, n in clauses) + ")", len(p)))
         if int(full[0], 16) % fingerprint.SECTION == 0:
             sections.append([])
-    short = lambda cs: ",".join(f"{x[:fingerprint.LEAF]}:{n}" for x, n in cs)
-    tops = [(h("".join(f"{x}({short(cs)})" for x, cs in s)), s) for s in sections if s]
-    written = "".join(f"{x[:fingerprint.NODE]}{{" + "".join(f"{y[:fingerprint.NODE]}({short(cs)})" for y, cs in s) + "}" for x, s in tops)
+    n = fingerprint.NODE
+    tops = [(h("".join(x[:n] + below + x[n:] + "~" for x, below, _ in s)), s) for s in sections if s]
+    written = "".join(f"{x[:n]}:{sum(c for *_, c in s)}{{" + "".join(y[:n] + below for y, below, _ in s) + "}" for x, s in tops)
     assert prints(spark, [text])[0] == h("".join(x for x, _ in tops)) + "|" + written
 
 
