@@ -101,8 +101,10 @@ def transfer_events(spark, sf_dir) -> DataFrame:
 
 
 def _stream(spark, sf_dir, name) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files. A stream over a plain path
+    must name a folder, so the path is a pattern that this name alone matches."""
     schema = table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+    return spark.readStream.schema(schema).option("basePath", sf_dir).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 def event_stream(spark, sf_dir) -> DataFrame:

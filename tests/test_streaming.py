@@ -10,6 +10,7 @@ from driftline.schemas import TRANSFER_EVENTS
 from driftline.streaming import events as live
 from driftline.streaming import planning, sinks, stateful
 from registry import samples
+from registry.queries import QUERIES
 
 from tests_util import SF
 
@@ -44,6 +45,23 @@ def test_counters_equal_the_batch(spark):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_tables_stream_from_a_file_or_a_folder(spark, tmp_path):
+    for name in ("documents", "events", "pages"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        # Another table whose name begins alike stays out.
+        spark.range(5).write.parquet(f"{tmp_path}/{name}.parquet2")
+    for stream, batch in ((samples.src_stream, samples.src_files), (samples.event_stream, samples.transfer_events)):
+        want = None
+        for sf in (SF, str(tmp_path)):
+            seen = stream(spark, sf)
+            got = sinks.drain(seen).select(*[c for c in batch(spark, sf).columns if c in seen.columns])
+            rows = sorted(map(str, got.collect()))
+            want = want or sorted(map(str, batch(spark, SF).select(*got.columns).collect()))
+            assert rows == want and rows
+    plan = [sorted(map(tuple, QUERIES["stm_07_incremental_plan"](spark, sf).collect())) for sf in (SF, str(tmp_path))]
+    assert plan[0] == plan[1] and plan[0]
+
+
 def test_worker_state(spark, feed, tmp_path):
     add, stream = feed(TRANSFER_EVENTS)
     add(event(0, "FileStarted", path="a"), event(0, "FileStarted", worker=2, path="x"))
