@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.llm.common import ASCII_LOWER, bounded_batches, texts_of, words_of
-from driftline.llm.components import components
+from driftline.llm.components import components, merged, small
 from driftline.operators.groups import lookup_groups
 from driftline.session import cut
 
@@ -275,7 +275,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
 
 def _other_component(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not yet in one component; an id without a label is its own."""
-    named = pairs
+    named, labels = pairs, small(labels)
     for x in ("a", "b"):
         named = named.join(labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left")
     return named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
@@ -284,7 +284,7 @@ def _other_component(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of regions with several components: key, id, component, the region's largest
     component `main`, and how many rows the region (`total`) and the rest of it (`rest`) has."""
-    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = members.join(small(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"))
             .filter("k > 1").select("key", F.col("top")["component"].alias("main"), "total", (F.col("total") - F.col("top")["n"]).alias("rest")))
@@ -381,7 +381,7 @@ def _hub_pairs(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataF
               .join(labels, "id"))
     top = W.partitionBy("component").orderBy(F.desc("d"), "id")
     hubs = degree.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= HUBS).select("component", F.col("id").alias("hub"))
-    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = members.join(small(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (sizes.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("top"))
             .filter("k > 1").select("key", F.col("top")["component"].alias("main")))
@@ -409,8 +409,8 @@ def link_nodes(nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
         nonlocal links, labels
         if found.isEmpty():
             return
-        links = cut(links.unionAll(found))
-        labels = cut(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(found)))
+        links = links.unionAll(found)
+        labels = cut(merged(labels, found))
 
     also(_other_component(likely, labels).select("a", "b"))
     also(_agreement(_hub_pairs(members, labels, links), nodes, near).select("a", "b"))

@@ -146,6 +146,32 @@ def test_components(spark, make):
     assert {i: c for i, c in got.items()} == {i: find(i) for i in part if not (i in alone and i not in got)}
 
 
+def test_merged_components(spark, make, monkeypatch):
+    """Further links give what all links at once give, and only a round that changes something is run."""
+    make([])
+    r = random.Random(5)
+    old = [(r.randrange(200), r.randrange(200)) for _ in range(90)]
+    new = [(r.randrange(260), r.randrange(260)) for _ in range(70)] + [(k, k + 1) for k in range(300, 320)]
+
+    def table(links):
+        return spark.createDataFrame([x for x in links if x[0] != x[1]], "a bigint, b bigint")
+
+    def labels(df):
+        return sorted(map(tuple, df.collect()))
+
+    for few in (0, 500_000):
+        monkeypatch.setattr(components, "BROADCAST_ROWS", few)
+        before = components.cut(components.components(table(old)))
+        assert labels(components.merged(before, table(new))) == labels(components.components(table(old + new)))
+        # Links inside a component change nothing, whatever star they hang on.
+        assert labels(components.merged(before, table([(i, c) for i, c in labels(before)]))) == labels(before)
+    rounds = []
+    star = components._star
+    monkeypatch.setattr(components, "_star", lambda *a: rounds.append(1) or star(*a))
+    assert labels(components.components(table([(1, 5), (1, 7), (2, 6)]))) == [(1, 1), (2, 2), (5, 1), (6, 2), (7, 1)]
+    assert not rounds
+
+
 def labelled(bad_word, n=240):
     rows, labels = [], []
     for k in range(n):
