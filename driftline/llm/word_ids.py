@@ -7,6 +7,7 @@ are the ids of its words one after another and every distinct word needs to be e
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 # White space as the tokenizers' patterns see it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -28,8 +29,10 @@ def bare_words(text: str) -> list[str]:
     return BARE.findall(text) if _CONTROL.search(text) else text.split()
 
 
+@lru_cache(maxsize=2)
 def open_tokenizer(path: str):
-    """The tokenizer of a file, with its truncation and padding unused, on one thread."""
+    """The tokenizer of a file, with its truncation and padding unused, on one thread. A worker opens a
+    file once for all its tasks."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,6 +44,18 @@ def open_tokenizer(path: str):
     return tok
 
 
+@lru_cache(maxsize=2)
+def _borders(path: str, spaced: bool):
+    """For every id, whether a word begins (pieces with a space in front) or ends there."""
+    import numpy as np
+
+    vocab = open_tokenizer(path).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    for piece, i in vocab.items():
+        out[i] = piece.startswith("\u0120") if spaced else piece.endswith("</w>")
+    return out
+
+
 class WordIds:
     """Ids of words as little-endian unsigned 32-bit bytes. Holds at most `memory` words.
 
@@ -58,13 +73,8 @@ class WordIds:
         return {**self.__dict__, "known": {}, "tok": None, "border": None}
 
     def _open(self):
-        import numpy as np
-
         self.tok = open_tokenizer(self.path)
-        vocab = self.tok.get_vocab()
-        self.border = np.zeros(max(vocab.values()) + 1, bool)
-        for piece, i in vocab.items():
-            self.border[i] = piece.startswith("\u0120") if self.spaced else piece.endswith("</w>")
+        self.border = _borders(self.path, self.spaced)
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
         import numpy as np
@@ -123,4 +133,4 @@ class WordIds:
             new = set().union(*split)
         if new:
             self.learn(new)
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]

@@ -177,3 +177,20 @@ def test_hard_negatives_query_equals_its_sql(spark, make, tmp_path):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.sql(ORACLES["op12_hard_negatives"])
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_a_worker_opens_a_tokenizer_once():
+    """Tasks of a worker share the open file and its tables; what a task has learned is its own."""
+    import pickle
+
+    import public_tokenizers
+
+    from driftline.llm import packing, word_ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = word_ids.WordIds(path, word_ids.bare_words, spaced=False)
+    want = first.of_texts(["One word, two words.", "", "l\u00f6we 12x"])
+    second = pickle.loads(pickle.dumps(first))
+    assert not second.known and second.of_texts(["One word, two words.", "", "l\u00f6we 12x"]) == want
+    assert first.tok is second.tok and first.border is second.border
+    assert packing.sentence_ends(path) is packing.sentence_ends(path)
