@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import ASCII_LOWER, bounded_batches, texts_of, words_of
+from driftline.llm.common import bounded_batches, texts_of
 from driftline.llm.components import components, merged, small
 from driftline.operators.groups import lookup_groups
 from driftline.session import cut
@@ -61,55 +61,93 @@ class Near:
     percent: int = 80
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts. Keeps the hashes of at most `memory` words."""
+# Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in place; every bit depends on all."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words `[^\\x20\\x09-\\x0D]+` of `data` begin, and their 64-bit hashes. All words go
+    through the rounds together, eight bytes a round, as long as they last."""
+    import xxhash
+
+    chars = np.frombuffer(b" " + data + b" " * 8, np.uint8)
+    # Places where white space ends or begins, in turn; offsets are those of `chars`.
+    edges = np.flatnonzero(np.diff(_WHITE[chars])) + 1
+    at, ends = edges[0::2], edges[1::2]
+    size = ends - at
+    eight = np.ndarray(len(chars) - 7, "<u8", chars, strides=(1,))
+    out = _mixed_bits(size.astype(np.uint64))
+    some = np.flatnonzero(size <= LONG_WORD)
+    k = 0
+    while len(some):
+        left = size[some] - k
+        block = eight[at[some] + k]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[some] = _mixed_bits((out[some] + np.uint64(0x9E3779B97F4A7C15)) ^ block)
+        some = some[left > 8]
+        k += 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(chars[at[i]:ends[i]])
+    return at - 1, out
 
-    def __init__(self, words: int, memory=250_000):
-        self.words, self.memory = words, memory
-        self.known: dict[str, int] = {}
 
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}}
+class Shingler:
+    """Sorted distinct shingle hashes of texts, A-Z lower-cased."""
+
+    def __init__(self, words: int):
+        self.words = words
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        import xxhash
-
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        split = [words_of(t.translate(ASCII_LOWER)) for t in texts]
-        new = set().union(*split).difference(known) if split else ()
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = set().union(*split)
-        for w in new:
-            known[w] = digest(w.encode("utf-8", "surrogatepass"))
-        return [self._shingles(np.fromiter([known[w] for w in ws], np.uint64, len(ws))) for ws in split]
-
-    def _shingles(self, h: np.ndarray) -> np.ndarray:
-        if not len(h):
-            return h
-        k = min(self.words, len(h))
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        begin = np.cumsum([0, *[len(t) + 1 for t in data]])
+        # Bytes are lower-cased in ASCII alone.
+        at, h = word_hashes(b"\n".join(data).lower())
+        first = np.searchsorted(at, begin).tolist()
+        full = self._hashes(h, self.words)
+        out = []
+        for i, j in zip(first, first[1:]):
+            s = full[i:j - self.words + 1].copy() if j - i >= self.words else self._hashes(h[i:j], j - i)
+            s.sort()
+            out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+        return out
+
+    @staticmethod
+    def _hashes(h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all `k` words in a row."""
         n = len(h) - k + 1
-        with np.errstate(over="ignore"):
-            s = np.full(n, k, np.uint64)
-            for i in range(k):
-                s = s * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n]
-                s ^= s >> np.uint64(31)
-            s = (s ^ (s >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            s = (s ^ (s >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        if not k or n <= 0:
+            return np.zeros(0, np.uint64)
+        s = np.full(n, k, np.uint64)
+        for i in range(k):
+            s *= np.uint64(0x9E3779B97F4A7C15)
+            s += h[i:i + n]
             s ^= s >> np.uint64(31)
-        return np.unique(s)
+        return _mixed_bits(s)
+
+
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64)[:, None] | np.uint64(1)
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """HASHES minima as big-endian unsigned 32-bit numbers, so that bytes sort as values do."""
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(shingles), 4096):
-            part = shingles[k:k + 4096]
-            out = np.minimum(out, ((part[None, :] * a[:, None]) >> np.uint64(32)).min(axis=1))
-    return out.astype(">u4").tobytes()
+    """HASHES minima as big-endian unsigned 32-bit numbers, so that bytes sort as values do. The upper
+    half of the least product is the least upper half."""
+    out = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(0, len(shingles), 4096):
+        out = np.minimum(out, (shingles[None, k:k + 4096] * _FACTORS).min(axis=1))
+    return (out >> np.uint64(32)).astype(">u4").tobytes()
 
 
 def shingle_table(docs: DataFrame, near: Near) -> DataFrame:
