@@ -151,8 +151,8 @@ def _parts_of(src: DataFrame, chunk_bytes: int) -> DataFrame:
     return file_sizes(src).filter("size > 0").select("rel_path", F.explode(last).alias("part"))
 
 
-def _matches_of(row, reach):
-    """Match positions of one chunk row."""
+def _matches_of(row, reach, bases):
+    """Match positions of one chunk row. `bases` keeps the basis of the file at hand for its next chunk."""
     if row.rolls is None or len(row.rolls) == 0:
         none = np.empty(0, dtype="int64")
         return none, none, MIN_BLOCK, -1, 0, -1
@@ -165,9 +165,11 @@ def _matches_of(row, reach):
     tail_idx = n - 1 if tail_len else -1
     full = n - 1 if tail_len else n
     tail_at = int(row.src_size) - tail_len - int(row.start)
+    if row.rel_path not in bases:
+        bases.clear()
+        bases[row.rel_path] = rolling.Basis(np.asarray(row.rolls[:full], dtype="int64"), list(row.strongs[:full]))
     pos, idx = rolling.chunk_matches(
-        row.buf, int(row.length), width, np.asarray(row.rolls[:full], dtype="int64"),
-        list(row.strongs[:full]), tail_len, row.strongs[-1] if tail_len else b"", tail_idx, tail_at)
+        row.buf, int(row.length), width, bases[row.rel_path], tail_len, row.strongs[-1] if tail_len else b"", tail_idx, tail_at)
     return pos, idx, width, tail_idx, tail_len, tail_at
 
 
@@ -179,10 +181,11 @@ def _find(reach):
     """Matches of every chunk, and where a walk leaves it for every place it may enter at. The bytes
     stay behind."""
     def find(batches):
+        bases = {}
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                pos, idx, width, tail_idx, tail_len, tail_at = _matches_of(row, reach)
+                pos, idx, width, tail_idx, tail_len, tail_at = _matches_of(row, reach, bases)
                 starts = to = None
                 if 0 < len(pos) and row.chunk_idx < row.n_chunks - 1:
                     starts, to = rolling.exits(pos, width, int(row.length), tail_at, tail_len)

@@ -9,13 +9,27 @@ import hashlib
 import numpy as np
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+# Powers that a task keeps for all its chunks (1 MB a table); longer chunks make their own.
+KEPT_POWERS = 1 << 17
+
+
+class _Once(dict):
+    """Tables made once by a task. Kernels travel without them."""
+
+    def __reduce__(self):
+        return _Once, ()
+
+
+_KEPT = _Once()
 
 
 def _tables(which: int):
-    return np.random.default_rng(which + 1).integers(0, 2**64, 256, dtype=np.uint64)
+    if which not in _KEPT:
+        _KEPT[which] = np.random.default_rng(which + 1).integers(0, 2**64, 256, dtype=np.uint64)
+    return _KEPT[which]
 
 
-def _powers(which: int, inverse: bool, n: int):
+def _made_powers(which: int, inverse: bool, n: int):
     base = _BASES[which]
     base = pow(base, -1, 2**64) if inverse else base
     p = np.full(n, base, dtype=np.uint64)
@@ -23,6 +37,14 @@ def _powers(which: int, inverse: bool, n: int):
     return np.multiply.accumulate(p)
 
 
+def _powers(which: int, inverse: bool, n: int):
+    if n > KEPT_POWERS:
+        return _made_powers(which, inverse, n)
+    if (which, inverse) not in _KEPT:
+        _KEPT[which, inverse] = _made_powers(which, inverse, KEPT_POWERS)
+    return _KEPT[which, inverse][:n]
+
+
 def window_hashes(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """Hash of every window of `width` bytes."""
     n = len(data)
@@ -50,47 +72,55 @@ def block_hashes(blocks, slab=8 << 20) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def full_matches(buf: bytes, width: int, rolls: np.ndarray, strongs, limit: int):
+class Basis:
+    """The whole blocks of a basis file, to be looked up by window hash. Serves all chunks of a file."""
+
+    def __init__(self, rolls: np.ndarray, strongs):
+        self.strongs = strongs
+        self.keys, by_key = np.unique(rolls.astype(np.uint64), return_inverse=True)
+        # The blocks of a key in rising order.
+        self.blocks = np.argsort(by_key, kind="stable").tolist()
+        self.first = np.searchsorted(by_key[self.blocks], np.arange(len(self.keys) + 1)).tolist()
+        self.low = np.zeros(1 << 16, dtype=bool)
+        self.low[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def lowest(self, key: int, data: bytes) -> int:
+        """The lowest block of a key with these bytes, or -1."""
+        digest = hashlib.sha256(data).digest()
+        return next((i for i in self.blocks[self.first[key]:self.first[key + 1]] if self.strongs[i] == digest), -1)
+
+
+def full_matches(buf: bytes, width: int, basis: Basis, limit: int):
     """Positions below `limit` whose window equals a basis block, and the lowest such block.
 
     The window hash only nominates; SHA-256 decides, once per distinct hash for all windows that
     also agree in a second hash, so repetitive data costs one digest and not one per position."""
     none = np.empty(0, dtype=np.int64)
     data = np.frombuffer(buf, dtype=np.uint8)
+    keys = basis.keys
     hashes = window_hashes(data, width)[:limit]
-    if not len(hashes) or not len(rolls):
+    if not len(hashes) or not len(keys):
         return none, none
-    keys, by_key = np.unique(rolls.astype(np.uint64), return_inverse=True)
-    blocks_of = [[] for _ in keys]
-    for i, k in enumerate(by_key.reshape(-1).tolist()):
-        blocks_of[k].append(i)
-    low = np.zeros(1 << 16, dtype=bool)
-    low[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-    pos = np.flatnonzero(low[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+    pos = np.flatnonzero(basis.low[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
     key = np.minimum(np.searchsorted(keys, hashes[pos]), len(keys) - 1)
     same = keys[key] == hashes[pos]
     pos, key = pos[same], key[same]
     if not len(pos):
         return none, none
-
-    def block_at(at, k):
-        digest = hashlib.sha256(buf[at:at + width]).digest()
-        return next((i for i in blocks_of[k] if strongs[i] == digest), -1)
-
-    first = np.full(len(keys), -1, dtype=np.int64)
-    first[key[::-1]] = np.arange(len(key))[::-1]
-    verdict = np.array([block_at(int(pos[f]), k) if f >= 0 else -1 for k, f in enumerate(first.tolist())])
-    hit = verdict[key]
-    second = window_hashes(data, width, 1)[pos]
-    for n in np.flatnonzero(second != second[first[key]]).tolist():      # same hash, other bytes
-        hit[n] = block_at(int(pos[n]), int(key[n]))
+    # A key that is found is verified at its first position.
+    found, first, which = np.unique(key, return_index=True, return_inverse=True)
+    hit = np.array([basis.lowest(k, buf[p:p + width]) for k, p in zip(found.tolist(), pos[first].tolist())])[which]
+    if len(pos) > len(found):
+        second = window_hashes(data, width, 1)[pos]
+        for n in np.flatnonzero(second != second[first[which]]).tolist():      # same hash, other bytes
+            hit[n] = basis.lowest(int(key[n]), buf[pos[n]:pos[n] + width])
     return pos[hit >= 0], hit[hit >= 0]
 
 
-def chunk_matches(buf, length, width, rolls, strongs, tail_len, tail_strong, tail_idx, tail_at):
+def chunk_matches(buf, length, width, basis, tail_len, tail_strong, tail_idx, tail_at):
     """All match positions of a chunk of `length` bytes (`buf` reads on past it): whole basis
     blocks anywhere, and the short last basis block only where the source file ends."""
-    pos, idx = full_matches(buf, width, rolls, strongs, length)
+    pos, idx = full_matches(buf, width, basis, length)
     if tail_len and 0 <= tail_at < length and hashlib.sha256(buf[tail_at:tail_at + tail_len]).digest() == tail_strong:
         pos, idx = np.append(pos, tail_at), np.append(idx, tail_idx)
     return pos, idx
@@ -114,22 +144,22 @@ def exits(pos, width, length, tail_at, tail_len):
     """Where a greedy walk leaves a chunk that is not the file's last, per entry offset below
     `width`: runs (first entry, exit), exits counted from the chunk's end.
 
-    Worked out from the end in strides of `width`: a match leads into a later stride, any other
-    byte leads to the next match, so each stride is one vector step."""
+    An entry leads to the next match. A match leads out of the chunk or to the first match behind it;
+    these steps are followed by all matches at once, twice as far each time."""
     pos = np.asarray(pos, dtype=np.int64)
-    next_match = np.repeat(np.append(pos, length), np.diff(np.concatenate([[-1], pos, [length - 1]])))
-    dest = np.zeros(length + width, dtype=np.int64)
-    dest[length:] = np.arange(width)
-    is_match = np.zeros(length + 1, dtype=bool)
-    is_match[pos] = True
-    for lo in range((length - 1) // width * width, -1, -width):
-        here = np.arange(lo, min(lo + width, length))
-        m = here[is_match[here]]
-        dest[m] = dest[m + width]
-        if tail_len and lo <= tail_at < min(lo + width, length) and is_match[tail_at]:
-            dest[tail_at] = tail_at + tail_len - length
-        rest = here[~is_match[here]]
-        dest[rest] = dest[next_match[rest]]
-    table = dest[:width]
-    starts = np.flatnonzero(np.diff(table, prepend=table[0] - 1))
-    return starts.astype(np.int32), table[starts].astype(np.int32)
+    end = pos + width
+    if tail_len and len(pos) and pos[-1] == tail_at:
+        end[-1] = tail_at + tail_len
+    # Behind the last match, the walk enters the next chunk at its start.
+    out = np.append(end - length, 0)
+    to = np.append(np.where(end < length, np.searchsorted(pos, end), np.arange(len(pos))), len(pos))
+    while True:
+        further = to[to]
+        if (further == to).all():
+            break
+        to = further
+    starts = np.append(0, pos + 1)
+    starts = starts[:np.searchsorted(starts, width)]
+    table = out[to[:len(starts)]]
+    new = np.append(True, table[1:] != table[:-1])
+    return starts[new].astype(np.int32), table[new].astype(np.int32)

@@ -2,10 +2,12 @@ import hashlib
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import delta
+from driftline.operators import delta, rolling
 from driftline.plans.delta_sync import delta_sync
 from driftline.plans.verify import file_hashes, verify_summary, verify_trees
 
@@ -116,3 +118,24 @@ def test_verify(spark, manifest):
                    "dst_gone": ("dst_error", False, True)}
     assert {r.status: r.files for r in verify_summary(v).collect()} == {"ok": 1, "mismatch": 1, "src_error": 1, "dst_error": 1}
     assert file_hashes(content(a=b"x")).first().hash == hashlib.sha256(b"x").hexdigest()
+
+
+def test_chunks_of_a_file_share_tables_and_basis(monkeypatch):
+    """Byte tables, powers and the look-up of a basis are made once, not once per chunk; the matches are the same."""
+    rows = []
+    for name, basis in (("x", B[:15_000]), ("y", b"q" + B[300:])):
+        blocks = [basis[k:k + 512] for k in range(0, len(basis), 512)]
+        rolls = rolling.block_hashes(blocks)
+        strongs = [hashlib.sha256(b).digest() for b in blocks]
+        for k in range(0, len(B), 1024):
+            rows.append((name, len(B), -(-len(B) // 1024), k // 1024, k, min(1024, len(B) - k), B[k:k + 1024 + 511], 512, len(basis), rolls, strongs))
+    pdf = pd.DataFrame(rows, columns=["rel_path", "src_size", "n_chunks", "chunk_idx", "start", "length", "buf", "block_size", "basis_size",
+                                      "rolls", "strongs"])
+    alone = [next(delta._find(512)(iter([pdf.iloc[k:k + 1]]))) for k in range(len(pdf))]
+    made = []
+    real, basis_of = np.random.default_rng, rolling.Basis
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: made.append("table") or real(*a))
+    monkeypatch.setattr(rolling, "Basis", lambda *a: made.append("basis") or basis_of(*a))
+    together = next(delta._find(512)(iter([pdf])))
+    assert made == ["basis"] * 2
+    assert pd.concat(alone).astype(str).values.tolist() == together.astype(str).values.tolist()
