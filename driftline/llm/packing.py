@@ -57,18 +57,24 @@ def plan_cuts(positions, penalties, length: int, size: int, tail_penalty=None) -
     """The positions of the cheapest cuts of a stream of `size` ids. `positions` rise and leave no
     gap above `length`. With `tail_penalty` the rest after the last cut is cut into power-of-two
     lengths, each of which costs that much; else the last position is a cut."""
-    at, value, back, queue = [0], [0.0], [-1], deque([0])
+    at, queue = [0, *positions], deque([0])
+    value, back = [0] * len(at), [-1] * len(at)
+    push, pop = queue.append, queue.pop
+    # The best window begins at the front of the queue, which changes seldom.
+    i, begin, least = 0, 0, 0
     for j, (p, extra) in enumerate(zip(positions, penalties), start=1):
-        while at[queue[0]] < p - length:
-            queue.popleft()
-        i = queue[0]
-        v = value[i] + length + extra
-        at.append(p)
-        value.append(v)
-        back.append(i)
+        if begin < p - length:
+            while at[queue[0]] < p - length:
+                queue.popleft()
+            i = queue[0]
+            begin, least = at[i], value[i]
+        value[j] = v = least + length + extra
+        back[j] = i
         while queue and value[queue[-1]] >= v:
-            queue.pop()
-        queue.append(j)
+            pop()
+        if not queue:
+            i, begin, least = j, p, v
+        push(j)
     j = len(at) - 1
     if tail_penalty is not None:
         near = [i for i in range(len(at)) if size - at[i] < length]

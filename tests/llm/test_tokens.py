@@ -14,9 +14,9 @@ from brute import prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import alignment, byte_words, hard_negatives
+from driftline.llm import alignment, byte_words, hard_negatives, word_ids
 from driftline.llm.bpe import piece_table
-from driftline.llm.queries import BYTE_BPE, BYTE_RANKS, ORACLES, PIECE_BPE, QUERIES
+from driftline.llm.queries import BYTE_BPE, BYTE_RANKS, ORACLES, PIECE_BPE, QUERIES, WORD_BPE
 
 PATTERN = public_tokenizers.PATTERN
 NASTY = ["a<|endoftext|>b <|endoftext|>", "tab\tand\x0bvertical\x1fcontrol\xa0nbsp  two", "12 345,67 x1y2", " lead and trail ", "''s 's 't we'll",
@@ -194,3 +194,19 @@ def test_a_worker_opens_a_tokenizer_once():
     assert not second.known and second.of_texts(["One word, two words.", "", "l\u00f6we 12x"]) == want
     assert first.tok is second.tok and first.border is second.border
     assert packing.sentence_ends(path) is packing.sentence_ends(path)
+
+
+@pytest.mark.parametrize("path, split, spaced", [(WORD_BPE, word_ids.bare_words, False), (BYTE_BPE, word_ids.SPACED.findall, True)])
+def test_words_are_encoded_without_their_places(path, split, spaced):
+    """Ids of words come from the calls that keep no offsets, joined and one by one, and are those of the plain call."""
+    tok = word_ids.open_tokenizer(path)
+
+    class FastOnly:
+        encode_batch_fast = tok.encode_batch_fast
+
+    ids = word_ids.WordIds(path, split, spaced)
+    ids._open()
+    ids.tok = FastOnly()
+    texts = [prose(3, 800), "x1 y_2 émigré, naïve! Straße 東京 \U0001f600 áb", " two  spaces\n\nend. ", ""]
+    for t, got in zip(texts, ids.of_texts(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
